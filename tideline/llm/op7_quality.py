@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.llm._dist import Scratch
 from tideline.llm._text import _SPACE, blocks, covered
@@ -70,17 +71,18 @@ def _vote(value: Column, bad: Column, good: Column) -> Column:
     return F.when(value.isNull(), 0).when(bad, 2).when(good, 1).otherwise(0)
 
 
-def rules() -> dict[str, Column]:
+def rules(prefix: str = "") -> dict[str, Column]:
     """The rules: each is a column over `features` that is 0 (abstains), 1 (good) or 2 (bad)."""
-    share = lambda a, b: F.col(a) / F.when(F.col(b) > 0, F.col(b))
+    col = lambda name: F.col(prefix + name)
+    share = lambda a, b: col(a) / F.when(col(b) > 0, col(b))
     length, symbols = share("word_chars", "n_words"), share("n_symbols", "n_words")
     dups, again = share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words")
     upper, shouts, stops = share("n_upper", "n_letters"), share("n_shouts", "n_words"), share("n_stops", "n_words")
-    words = F.col("n_words")
+    words = col("n_words")
     return {
         "word_length": _vote(length, (length < 2.5) | (length > 10), (length >= 3) & (length <= 8)),
         "symbols": _vote(symbols, symbols > 0.1, symbols <= 0.02),
-        "repeated_lines": _vote(dups, dups > 0.3, (dups == 0) & (F.col("n_lines") >= 3)),
+        "repeated_lines": _vote(dups, dups > 0.3, (dups == 0) & (col("n_lines") >= 3)),
         "repeated_words": _vote(again, again > 0.3, again <= 0.1),
         "capitals": _vote(upper, upper > 0.3, upper <= 0.15),
         "shouting": _vote(shouts, shouts > 0.1, shouts <= 0.02),
@@ -115,6 +117,20 @@ def fit(patterns: np.ndarray, counts: np.ndarray, iterations: int = 200) -> tupl
     return prior, votes, posterior
 
 
+def _code(prefix: str = "") -> Column:
+    return sum((rule * 3**i for i, rule in enumerate(rules(prefix).values())), F.lit(0)).cast("int")
+
+
+def posteriors(counted: DataFrame) -> list[tuple[int, float]]:
+    """The posterior of each vote pattern, from a frame with `votes` and `count` of at most 3 ** rules rows."""
+    seen = sorted((r["votes"], r["count"]) for r in counted.collect())
+    codes = np.array([v for v, _ in seen], np.int64)
+    m = len(rules())
+    patterns = np.stack([codes // 3**i % 3 for i in range(m)], 1) if seen else np.zeros((0, m), np.int64)
+    found = fit(patterns, np.array([c for _, c in seen], float))[2]
+    return [(int(c), float(p)) for c, p in zip(codes, found, strict=True)]
+
+
 def judge(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, the counts of `features`, votes (pattern of `rules` in base 3) and quality (posterior of being good).
 
@@ -123,14 +139,8 @@ def judge(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
-    by_rule = list(rules().values())
-    code = sum((rule * 3**i for i, rule in enumerate(by_rule)), F.lit(0))
-    measured = scratch.write(features(docs).withColumn("votes", code.cast("int")))
-    seen = sorted((r["votes"], r["count"]) for r in measured.groupBy("votes").count().collect())  # 3 ** rules rows at most
-    codes = np.array([v for v, _ in seen], np.int64)
-    patterns = np.stack([codes // 3**i % 3 for i in range(len(by_rule))], 1) if seen else np.zeros((0, len(by_rule)), np.int64)
-    posterior = fit(patterns, np.array([c for _, c in seen], float))[2]
-    table = spark.createDataFrame([(int(c), float(p)) for c, p in zip(codes, posterior, strict=True)], "votes int, quality double")
+    measured = scratch.write(features(docs).withColumn("votes", _code()))
+    table = spark.createDataFrame(posteriors(measured.groupBy("votes").count()), "votes int, quality double")
     return measured.join(F.broadcast(table), "votes")
 
 
@@ -143,6 +153,28 @@ def verdicts(docs: DataFrame, threshold: float = 0.5, scratch: Scratch | None =
     return judge(docs, scratch).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
 
+def keep_good(docs: DataFrame, threshold: float = 0.5, repeats: int = 50) -> DataFrame:
+    """The rows of documents whose quality is `threshold` or more and of whose words no more than `repeats` percent repeat,
+    all columns unchanged and texts not moved: one pass counts votes, another one filters. Rows without a doc_id go."""
+    counted = features(docs).withColumn("votes", _code()).groupBy("votes").count()
+    good = [votes for votes, p in posteriors(counted) if p >= threshold]
+    kept = docs.columns
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for counts in measure(iter([batch])):
+                n = counts.num_rows
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, n).columns, *counts.columns[1:]], names=[*kept, *(f"_m_{c}" for c in _BASE)])
+                at += n
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"_m_{c}", T.LongType()) for c in _BASE)])
+    measured = docs.where("doc_id is not null").mapInArrow(beside, schema)
+    votes = measured.select("*", _code("_m_").alias("_votes"))
+    repeated = 100 * F.col("_m_n_repeat_words") > repeats * F.col("_m_n_words")
+    return votes.where((F.col("_votes").isin(good) if good else F.lit(False)) & ~repeated).select(*kept)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     out = verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
