@@ -20,12 +20,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long, so few of them go to a Python worker at once; what a session has set below that stays."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8_000_000)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 class Scratch:
     """Tables that one call writes below the shared folder; reading them back cuts the lineage and survives lost executors."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/tideline-{uuid.uuid4().hex}"
         self.n = 0
+        small_batches(spark)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1

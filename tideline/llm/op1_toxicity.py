@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm._dist import small_batches
 from tideline.llm._text import _TABLE, LOWER, U64, Block, Rolling, blocks, mix
 
 MAX_TRAIN = 20_000
@@ -167,6 +168,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max_train: int = MAX_TRAIN, folds: int = 4) -> Chain:
     """A chain over the categories, in their order; each is a column over labels: 1, 0 or null. Rows with null ids, and
     labels without a document, take no part; a repeated label counts each time."""
+    small_batches(docs.sparkSession)
     sample = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), *[c.cast("double").alias(f"y{i}") for i, c in enumerate(categories.values())])
     sample = sample.orderBy(F.xxhash64("_id"), "_id").limit(max_train)  # max_train rows of a few numbers: bounded, so it may be broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).drop("_id")
@@ -185,6 +187,7 @@ def predict(docs: DataFrame, chain: Chain) -> DataFrame:
     """doc_id and p_<category> for every row with a doc_id. Takes doc_id and text; other columns are not looked at. Null and
     empty texts get what the models give to a text without words; repeated rows repeat the result. The model that goes
     to the executors has a fixed size."""
+    small_batches(docs.sparkSession)
     names = [f"p_{n}" for n in chain.names]
     models = [(np.flatnonzero(m.words).astype(np.int32), m.words[np.flatnonzero(m.words)], m.earlier, m.bias) for m in chain.models]
 

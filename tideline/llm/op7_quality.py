@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm._dist import Scratch
+from tideline.llm._dist import Scratch, small_batches
 from tideline.llm._text import _SPACE, blocks, covered
 
 _SYMBOLS = np.zeros(256, bool)
@@ -62,6 +62,7 @@ def features(docs: DataFrame) -> DataFrame:
     """doc_id and, of each whole text, the counts in _BASE: words, code points in words, symbols, lines equal to an
     earlier line, words in a 3-word window found twice, lines with a word, upper-case and all ASCII letters, words
     that end in a shout or symbol, words that end a sentence."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     return docs.mapInArrow(measure, "doc_id long, " + ", ".join(f"{c} long" for c in _BASE))
 
