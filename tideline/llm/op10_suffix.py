@@ -232,7 +232,7 @@ def dedup_bytes(docs: DataFrame, length: int = 100, scratch: Scratch | None = No
     scratch = scratch or Scratch(spark)
     gram = max(1, length * 44 // 100)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    buckets = deal(docs, 2_500_000)
+    buckets = deal(docs, 16_000_000)
     found = answers(repeated(docs, lambda _, block: _hashes(block, length, gram), buckets, False), "minimizers")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
