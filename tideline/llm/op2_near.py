@@ -2,12 +2,13 @@
 
 A signature is read in several orders (trees): tree t starts at another place of the signature. Signatures sorted in
 one order put similar documents next to each other, and the longest common prefix of neighbours tells how similar they
-are. Links are confirmed on the full shingle sets, in three passes, each of which compares only documents that the
-passes before left in different components:
+are. A region is the documents of one tree with one common prefix. Links are confirmed on the full shingle sets, in
+passes, each of which compares only documents that the passes before left in different components:
 
-1. neighbours in the first trees' orders, 2. neighbours in all trees' orders, 3. in every region (documents of one tree
-with one common prefix) that still holds several components, all pairs across components. A region with many
-components is searched at a greater depth (adaptive depth); one that is dense even at full depth is compared there.
+1. every document with the hub of its regions, the one whose full prefixes are the most common (the text that others
+were copied from), 2. neighbours in all trees' orders, 3. in every region that still holds several components, all
+pairs across components. A region with many components is searched at a greater depth (adaptive depth); one that is
+dense even at full depth is compared there.
 A pair of similarity s shares a prefix of depth d in one of l trees with probability 1 - (1 - s**d)**l.
 """
 
@@ -117,9 +118,28 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([int(last[1])], pa.int64()), pa.nulls(1, pa.int64()), pa.array([int(last[0])], pa.int32()), pa.array([last[2]], pa.binary()), pa.array([False], pa.bool_())], names=["a", "b", "tree", "label", "first"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+#: Bits of the table that marks documents whose sets are needed, at most; a document marked by chance costs only its set.
+MARK_BITS = 1 << 27
+
+
+def _marks(ids: DataFrame) -> np.ndarray:
+    """A bit table of hashed ids, of a bounded size: MARK_BITS / 64 words at most reach the driver."""
+    bits = 1 << min(MARK_BITS.bit_length() - 1, max(16, (16 * ids.count()).bit_length()))
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    words = ids.select(F.shiftright(h, 6).alias("word"), F.expr("1").cast("long").alias("one"), (h % 64).cast("int").alias("bit"))
+    rows = words.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.col("one"), F.col("bit"))).alias("mask")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[np.asarray(rows.column("word"))] = np.asarray(rows.column("mask"))
+    return out.view(U64)
+
+
+def _sets(batches: Iterator[pa.RecordBatch], size: int, marked: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sets of the documents that are marked; `mark` is the hash of the id."""
+    bits = U64(len(marked) * 64)
     for batch in batches:
-        for block in blocks(batch):
+        mark = np.asarray(batch.column("mark")).astype(np.int64) % np.int64(bits)
+        hit = (marked[mark >> 6] >> (mark & 63).astype(U64)) & U64(1)
+        for block in blocks(batch.filter(pa.array(hit.astype(bool)))):
             h, bounds = shingle_sets(block, size)
             yield pa.RecordBatch.from_arrays([pa.array(block.ids), pa.array([h[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(block.ids))], pa.binary())], names=["doc_id", "shingles"])
 
@@ -175,12 +195,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratc
     pairs = near.where("b is not null").select("a", "b")
     if over:
         pairs = pairs.unionByName(spark.createDataFrame(over, "a long, b long"))
-    pairs = scratch.write(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees")))
+    pairs = scratch.write(pairs.distinct())
 
     # Whoever shares a prefix with anybody is the neighbour of somebody: only these need their sets.
-    touched = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = docs.join(touched, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = scratch.write(wanted.mapInArrow(lambda it: _sets(it, shingle), "doc_id long, shingles binary"))
+    touched = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    marked = _marks(touched)
+    sets = scratch.write(docs.withColumn("mark", F.xxhash64("doc_id")).mapInArrow(lambda it: _sets(it, shingle, marked), "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
     sigs = scratch.write(reps.join(touched, "doc_id", "left_semi"))
 
     def links(candidates: DataFrame) -> DataFrame:
@@ -199,9 +219,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratc
         both = candidates.join(x, "a", "left").join(y, "b", "left")
         return both.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
-    linked = scratch.write(links(pairs.where("trees >= 4").select("a", "b")))
+    linked = scratch.write(links(_hubs(sigs)))
     of = scratch.write(components(linked, scratch))
-    linked = linked.unionByName(scratch.write(links(across(pairs.where("trees < 4").select("a", "b"), of))))
+    linked = linked.unionByName(scratch.write(links(across(pairs, of))))
     of = scratch.write(components(linked, scratch))
     rest = _regions(sigs, of, scratch)
     linked = linked.unionByName(scratch.write(links(across(rest, of))))
@@ -229,11 +249,26 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("component"), *map(pa.array, keys)], names=["doc_id", "component", *[f"p{d}" for d in range(DEPTH, FULL_DEPTH + 1)]])
 
 
+_KEYS = [f"p{d}" for d in range(DEPTH, FULL_DEPTH + 1)]
+_PREFIXES = "doc_id long, component long, " + ", ".join(f"{k} long" for k in _KEYS)
+
+
+def _hubs(sigs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of every document with the hub of each of its regions."""
+    rows = sigs.select("doc_id", F.col("doc_id").alias("component"), "sig").mapInArrow(_prefixes, _PREFIXES).select("doc_id", _KEYS[0], _KEYS[-1])
+    common = rows.groupBy(_KEYS[-1]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    weight = rows.join(common, _KEYS[-1]).groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    rows = rows.join(weight, "doc_id", "left").withColumn("rank", F.struct(F.coalesce("weight", F.lit(0)), -F.col("doc_id")))
+    hubs = rows.groupBy(_KEYS[0]).agg((-F.max("rank")["col2"]).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs = rows.join(hubs, _KEYS[0]).where("doc_id <> hub")
+    return pairs.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+
+
 def _regions(sigs: DataFrame, of: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of documents of different components that share a region."""
-    keys = [f"p{d}" for d in range(DEPTH, FULL_DEPTH + 1)]
+    keys = _KEYS
     rows = sigs.join(of, sigs["doc_id"] == of["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "sig")
-    rows = rows.mapInArrow(_prefixes, "doc_id long, component long, " + ", ".join(f"{k} long" for k in keys))
+    rows = rows.mapInArrow(_prefixes, _PREFIXES)
     # Regions of a single component are done. What is left goes one value deeper where a region is dense.
     found = None
     for k in keys:
@@ -245,6 +280,8 @@ def _regions(sigs: DataFrame, of: DataFrame, scratch: Scratch) -> DataFrame:
         y = here.select(F.col(k).alias("region"), F.col("doc_id").alias("y"), F.col("component").alias("c_y"))
         pairs = x.join(y, "region").where("c_x < c_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         found = pairs if found is None else found.unionByName(pairs)
+        if rows.isEmpty():
+            break
     return found.distinct()
 
 
