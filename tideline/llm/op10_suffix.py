@@ -7,8 +7,9 @@ or the next smaller position in suffix order.
 One suffix array over a corpus does not fit a cluster's tasks, so suffixes are dealt by content. Each string of
 `length` bytes picks its smallest `gram`-byte hash (a minimizer, the leftmost of equals); equal strings pick equal
 minimizers at equal places, so a task that holds every fragment around a minimizer sees all copies of its strings.
-Minimizers that occur once cannot repeat a string and are dropped first; identical fragments are folded into their
-earliest one; what is left gets suffix ranks and the previous-factor test.
+First only hashes are dealt: a minimizer that occurs once cannot repeat a string, and of identical fragments all but
+the earliest repeat wholly. Only different fragments around one minimizer, where copies begin to differ, then travel
+as bytes and get suffix ranks and the previous-factor test.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm._dist import Scratch, deal
-from tideline.llm._shared import answers, repeated
 from tideline.llm._text import U64, Block, blocks, by_key, covered, ints, mix, runs
 
 #: Low bits of the key that orders minimizers; they hold the position, so that the leftmost of equals wins.
@@ -84,12 +84,6 @@ def _minimizers(block: Block, length: int, gram: int) -> tuple[np.ndarray, np.nd
     return h[place[new]], place[new], starts[new], np.diff(np.concatenate((new, [len(starts)])))
 
 
-def _hashes(block: Block, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    h, place, start, _ = _minimizers(block, length, gram)
-    doc = np.searchsorted(block.offs, start, "right") - 1
-    return h, block.ids[doc], start - block.offs[doc]
-
-
 def _earliest(f: np.ndarray, d: np.ndarray, p: np.ndarray) -> np.ndarray:
     """True for the earliest row, by document and position, of each fragment."""
     order = np.lexsort((p, d, f))
@@ -99,19 +93,60 @@ def _earliest(f: np.ndarray, d: np.ndarray, p: np.ndarray) -> np.ndarray:
     return out
 
 
-_FRAGMENT = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("h", pa.binary()), ("f", pa.binary()), ("d", pa.binary()), ("p", pa.binary()), ("n", pa.binary()), ("text", pa.binary()), ("s", pa.binary())])
+_FRAGMENT = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), *((c, pa.binary()) for c in ("h", "f", "d", "p", "n", "text", "s"))])
+_FRAGMENT_DDL = "bucket int, key long, h binary, f binary, d binary, p binary, n binary, text binary, s binary"
 _KINDS = {"h": U64, "f": U64, "d": np.int64, "p": np.int32, "n": np.int32}
 
 
-def _ranges(out: dict[str, list], d: np.ndarray, p: np.ndarray, n: np.ndarray, deal_to: int | None) -> None:
-    """Answers: for each document its flagged starts as packed (first, count) pairs."""
-    for key, (pp, nn) in by_key(d, p, n):
-        out["key"].append(key)
-        out["s"].append(np.stack((pp, nn), 1).astype(np.int32).tobytes())
-        if deal_to:
-            out["bucket"].append(key % deal_to)
-            for name in ("h", "f", "d", "p", "n", "text"):
-                out[name].append(None)
+def _answers(d: np.ndarray, p: np.ndarray, n: np.ndarray) -> list[dict]:
+    """For each document its packed (first start, count) pairs: these starts repeat; with a count of 0, the fragment
+    at that start is to be compared."""
+    return [{"key": key, "s": np.stack((pp, nn), 1).astype(np.int32).tobytes()} for key, (pp, nn) in by_key(d, p, n)]
+
+
+def _pairs(parts: list[bytes] | None) -> np.ndarray:
+    return ints(parts).reshape(-1, 2).astype(np.int64)
+
+
+def _send_hashes(batches: Iterator[pa.RecordBatch], length: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Hashes of minimizers and of the fragments around them, one for each different fragment of a block."""
+    for batch in batches:
+        for block in blocks(batch):
+            h, place, start, n = _minimizers(block, length, gram)
+            if not len(h):
+                continue
+            doc = np.searchsorted(block.offs, start, "right") - 1
+            d, p = block.ids[doc], start - block.offs[doc]
+            f = mix(block.rolling_bytes().hash(start, start + n + length - 1) ^ mix(h + (place - start).astype(U64)))
+            first = _earliest(f, d, p)
+            rows = [{"bucket": x["key"] % buckets, **x} for x in _answers(d[~first], p[~first], n[~first])]
+            h, f, d, p, n = (x[first] for x in (h, f, d, p, n))
+            for bucket, packed in by_key((h >> U64(40)).astype(np.int64) % buckets, h, f, d, p.astype(np.int32), n.astype(np.int32)):
+                rows.append({"bucket": bucket, **{c: x.tobytes() for c, x in zip(_KINDS, packed, strict=True)}})
+            yield pa.RecordBatch.from_pylist(rows, schema=_FRAGMENT)
+
+
+def _read(table: pa.Table) -> tuple[list[dict], pa.Table]:
+    """A bucket's rows: answers that are ready, and the others."""
+    ready = table.filter(table.column("h").is_null()).select(["key", "s"]).to_pylist()
+    return ready, table.filter(table.column("h").is_valid())
+
+
+_ANSWER = pa.schema([("key", pa.int64()), ("s", pa.binary())])
+
+
+def _settle_hashes(table: pa.Table) -> pa.Table:
+    out, table = _read(table)
+    if table.num_rows:
+        h, f, d, p, n = (np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in _KINDS.items())
+        first = _earliest(f, d, p)
+        out += _answers(d[~first], p[~first], n[~first])
+        h, d, p = h[first], d[first], p[first]
+        order = np.argsort(h, kind="stable")
+        new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
+        many = order[np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1]
+        out += _answers(d[many], p[many], np.zeros(len(many), np.int32))
+    return pa.Table.from_pylist(out, schema=_ANSWER)
 
 
 def _take(offs: np.ndarray, text: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,37 +157,26 @@ def _take(offs: np.ndarray, text: np.ndarray, rows: np.ndarray) -> tuple[np.ndar
 
 
 def _send(batches: Iterator[pa.RecordBatch], length: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The fragments that are to be compared, as bytes, dealt by minimizer."""
     for batch in batches:
-        hits = batch.column("minimizers")
+        hits = batch.column("known")
         for block in blocks(batch):
             h, place, start, n = _minimizers(block, length, gram)
-            if not len(h):
-                continue
             doc = np.searchsorted(block.offs, start, "right") - 1
-            local = start - block.offs[doc]
-            keep = np.zeros(len(h), bool)
+            local, keep = start - block.offs[doc], np.zeros(len(h), bool)
             cuts = np.searchsorted(doc, np.arange(len(block.ids) + 1))
             for i in range(len(block.ids)):
-                if cuts[i] < cuts[i + 1]:
-                    keep[cuts[i] : cuts[i + 1]] = np.isin(local[cuts[i] : cuts[i + 1]], ints(hits[block.first + i].as_py()))
-            h, place, start, n, doc, local = (x[keep] for x in (h, place, start, n, doc, local))
-            rolling = block.rolling_bytes()
-            f = mix(rolling.hash(start, start + n + length - 1) ^ mix(h + (place - start).astype(U64)))
-            d = block.ids[doc]
-            first = _earliest(f, d, local)
-            out: dict[str, list] = {name: [] for name in _FRAGMENT.names}
-            _ranges(out, d[~first], local[~first], n[~first], buckets)
-            offs, text = _gather(block.buf, start[first], n[first] + length - 1)
-            to = (h[first] >> U64(40)).astype(np.int64) % buckets
-            rows = np.arange(len(to))
-            for b, (r,) in by_key(to, rows):
-                _, piece = _take(offs, text, r)
-                out["bucket"].append(b)
-                out["key"].append(None)
-                out["s"].append(None)
-                for name, x in (("h", h[first][r]), ("f", f[first][r]), ("d", d[first][r]), ("p", local[first][r].astype(np.int32)), ("n", n[first][r].astype(np.int32)), ("text", piece)):
-                    out[name].append(x.tobytes())
-            yield pa.RecordBatch.from_pydict(out, schema=_FRAGMENT)
+                pairs = _pairs(hits[block.first + i].as_py())
+                keep[cuts[i] : cuts[i + 1]] = np.isin(local[cuts[i] : cuts[i + 1]], pairs[pairs[:, 1] == 0, 0])
+            h, start, n, doc, local = (x[keep] for x in (h, start, n, doc, local))
+            if not len(h):
+                continue
+            rows = []
+            offs, text = _gather(block.buf, start, n + length - 1)
+            for bucket, (r,) in by_key((h >> U64(40)).astype(np.int64) % buckets, np.arange(len(h))):
+                packed = {"h": h[r], "d": block.ids[doc[r]], "p": local[r].astype(np.int32), "n": n[r].astype(np.int32), "text": _take(offs, text, r)[1]}
+                rows.append({"bucket": bucket, **{c: x.tobytes() for c, x in packed.items()}})
+            yield pa.RecordBatch.from_pylist(rows, schema=_FRAGMENT)
 
 
 def _gather(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,22 +189,12 @@ _RANK_BYTES = 4_000_000
 
 
 def _settle(table: pa.Table, length: int) -> pa.Table:
-    out: dict[str, list] = {"key": [], "s": []}
-    ready = table.filter(table.column("h").is_null())
-    out["key"] += ready.column("key").to_pylist()
-    out["s"] += ready.column("s").to_pylist()
-    table = table.filter(table.column("h").is_valid())
+    out, table = _read(table)
     if table.num_rows:
-        h, f, d, p, n = (np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in _KINDS.items())
+        h, d, p, n = (np.concatenate([np.frombuffer(x, _KINDS[c]) for x in table.column(c).to_pylist()]) for c in ("h", "d", "p", "n"))
         text = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("text").to_pylist()])
         offs = np.concatenate(([0], np.cumsum(n + length - 1, dtype=np.int64)))
-        first = _earliest(f, d, p)
-        _ranges(out, d[~first], p[~first], n[~first], None)
-        rows = np.flatnonzero(first)
-        order = rows[np.lexsort((p[rows], d[rows], h[rows]))]
-        hs = h[order]
-        group = np.cumsum(np.concatenate(([True], hs[1:] != hs[:-1]))) - 1
-        order = order[np.bincount(group)[group] > 1]
+        order = np.lexsort((p, d, h))
         while len(order):
             many = int(np.searchsorted(np.cumsum(n[order] + length - 1), _RANK_BYTES)) + 1
             if many < len(order):  # to the end of the minimizer's fragments
@@ -197,8 +211,8 @@ def _settle(table: pa.Table, length: int) -> pa.Table:
             cut = np.unique(np.concatenate((a, ends[hit[ends - 1] & hit[ends]] if len(ends) else ends)))
             stop = np.minimum(np.concatenate((cut[1:], [len(hit)])), b[np.searchsorted(b, cut, "right")]) if len(cut) else cut
             row = part[of[cut]]
-            _ranges(out, d[row], p[row] + inside[cut], stop - cut, None)
-    return pa.table({"key": pa.array(out["key"], pa.int64()), "s": pa.array(out["s"], pa.binary())})
+            out += _answers(d[row], p[row] + inside[cut], stop - cut)
+    return pa.Table.from_pylist(out, schema=_ANSWER)
 
 
 _CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
@@ -208,9 +222,10 @@ _CUT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {k: [] for k in _CUT.names}
-        for key, text, starts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "starts")), strict=True):
+        for key, text, known, starts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "known", "starts")), strict=True):
             raw = np.frombuffer((text or "").encode(), np.uint8)
-            pair = ints(starts).reshape(-1, 2).astype(np.int64)
+            pair = np.concatenate((_pairs(known), _pairs(starts)))
+            pair = pair[pair[:, 1] > 0]
             gone = covered(pair[:, 0], pair[:, 0] + pair[:, 1] + length - 1, len(raw))
             kept = raw[~gone].tobytes()
             a, b = runs(gone)
@@ -233,22 +248,23 @@ def dedup_bytes(docs: DataFrame, length: int = 100, scratch: Scratch | None = No
     gram = max(1, length * 44 // 100)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     buckets = deal(docs, 16_000_000)
-    found = answers(repeated(docs, lambda _, block: _hashes(block, length, gram), buckets, False), "minimizers")
+    by_doc = lambda answers, name: answers.groupBy(F.col("key").alias("_doc")).agg(F.collect_list("s").alias(name))
+    found = by_doc(docs.mapInArrow(lambda it: _send_hashes(it, length, gram, buckets), _FRAGMENT_DDL).groupBy("bucket").applyInArrow(_settle_hashes, "key long, s binary"), "known")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits, texts = batch.column("minimizers"), batch.column("text").to_pylist()
+            hits, texts = batch.column("known"), batch.column("text").to_pylist()
             open_ = np.asarray(hits.is_valid()) if len(hits) else np.zeros(0, bool)
             raw = [b"" if o else (t or "").encode() for t, o in zip(texts, open_, strict=True)]
             sha = [None if o else hashlib.sha256(r).hexdigest() for r, o in zip(raw, open_, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(r) for r in raw], pa.int64()), pa.array(sha, pa.string()), pa.array([t if o else None for t, o in zip(texts, open_, strict=True)], pa.string()), hits], names=["doc_id", "n_bytes", "sha", "text", "minimizers"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(r) for r in raw], pa.int64()), pa.array(sha, pa.string()), pa.array([t if o else None for t, o in zip(texts, open_, strict=True)], pa.string()), hits], names=["doc_id", "n_bytes", "sha", "text", "known"])
 
-    known = docs.join(found, docs["doc_id"] == found["_doc"], "left").select("doc_id", "text", "minimizers")
-    known = scratch.write(known.mapInArrow(split, "doc_id long, n_bytes long, sha string, text string, minimizers array<binary>"))
+    known = docs.join(found, docs["doc_id"] == found["_doc"], "left").select("doc_id", "text", "known")
+    known = scratch.write(known.mapInArrow(split, "doc_id long, n_bytes long, sha string, text string, known array<binary>"))
     hit = known.where("sha is null")
-    sent = hit.select("doc_id", "text", "minimizers").mapInArrow(lambda it: _send(it, length, gram, buckets), "bucket int, key long, h binary, f binary, d binary, p binary, n binary, text binary, s binary")
-    starts = sent.groupBy("bucket").applyInArrow(lambda t: _settle(t, length), "key long, s binary").groupBy(F.col("key").alias("_doc")).agg(F.collect_list("s").alias("starts"))
-    cut = hit.join(starts, hit["doc_id"] == starts["_doc"], "left").select("doc_id", "text", "starts").mapInArrow(lambda it: _cut(it, length), _CUT_DDL)
+    sent = hit.select("doc_id", "text", "known").mapInArrow(lambda it: _send(it, length, gram, buckets), _FRAGMENT_DDL)
+    starts = by_doc(sent.groupBy("bucket").applyInArrow(lambda t: _settle(t, length), "key long, s binary"), "starts")
+    cut = hit.join(starts, hit["doc_id"] == starts["_doc"], "left").select("doc_id", "text", "known", "starts").mapInArrow(lambda it: _cut(it, length), _CUT_DDL)
     none = F.lit(0).cast("long")
     clean = known.where("sha is not null").select("doc_id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"), F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)").alias("spans"))
     return clean.unionByName(cut)
