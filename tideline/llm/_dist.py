@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -44,6 +45,11 @@ class Scratch:
         out.tideline_path = path
         return out
 
+    def release(self) -> None:
+        """Let Spark's cleaner delete the shuffle files of what has been written and is no longer referred to."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *written: DataFrame) -> None:
         jvm = self.spark._jvm
         for df in written:

@@ -261,6 +261,8 @@ def dedup_bytes(docs: DataFrame, length: int = 100, scratch: Scratch | None = No
 
     known = docs.join(found, docs["doc_id"] == found["_doc"], "left").select("doc_id", "text", "known")
     known = scratch.write(known.mapInArrow(split, "doc_id long, n_bytes long, sha string, text string, known array<binary>"))
+    del found
+    scratch.release()
     hit = known.where("sha is null")
     sent = hit.select("doc_id", "text", "known").mapInArrow(lambda it: _send(it, length, gram, buckets), _FRAGMENT_DDL)
     starts = by_doc(sent.groupBy("bucket").applyInArrow(lambda t: _settle(t, length), "key long, s binary"), "starts")

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm._dist import Scratch, components
@@ -118,6 +118,23 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([int(last[1])], pa.int64()), pa.nulls(1, pa.int64()), pa.array([int(last[0])], pa.int32()), pa.array([last[2]], pa.binary()), pa.array([False], pa.bool_())], names=["a", "b", "tree", "label", "first"])
 
 
+#: Values of the wide signature, four bits each, sixteen to a word; it tells near from not quite near without the sets.
+WIDE = 512
+_WORDS = [f"w{j}" for j in range(WIDE // 16)]
+_WIDE_SEEDS = mix(np.arange(1001, WIDE + 1001, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
+
+
+def _wide(h: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    """The wide signature's words; zero for documents without shingles."""
+    full = np.flatnonzero(np.diff(bounds))
+    words = np.zeros((len(bounds) - 1, len(_WORDS)), U64)
+    for j, seed in enumerate(_WIDE_SEEDS if len(full) else ()):
+        x = h * seed
+        least = np.minimum.reduceat((x ^ (x >> U64(29))) * U64(0xBF58476D1CE4E5B9), bounds[:-1][full])
+        words[full, j // 16] |= (mix(least) & U64(15)) << U64(4 * (j % 16))
+    return [pa.array(np.ascontiguousarray(w).view(np.int64)) for w in words.T]
+
+
 #: Bits of the table that marks documents whose sets are needed, at most; a document marked by chance costs only its set.
 MARK_BITS = 1 << 27
 
@@ -141,7 +158,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, marked: np.ndarray) -> I
         hit = (marked[mark >> 6] >> (mark & 63).astype(U64)) & U64(1)
         for block in blocks(batch.filter(pa.array(hit.astype(bool)))):
             h, bounds = shingle_sets(block, size)
-            yield pa.RecordBatch.from_arrays([pa.array(block.ids), pa.array([h[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(block.ids))], pa.binary())], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(block.ids), pa.array([h[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(block.ids))], pa.binary()), *_wide(h, bounds)], names=["doc_id", "shingles", *_WORDS])
 
 
 def _likely(percent: int):
@@ -200,8 +217,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratc
     # Whoever shares a prefix with anybody is the neighbour of somebody: only these need their sets.
     touched = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     marked = _marks(touched)
-    sets = scratch.write(docs.withColumn("mark", F.xxhash64("doc_id")).mapInArrow(lambda it: _sets(it, shingle, marked), "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
-    sigs = scratch.write(reps.join(touched, "doc_id", "left_semi"))
+    sets = scratch.write(docs.withColumn("mark", F.xxhash64("doc_id")).mapInArrow(lambda it: _sets(it, shingle, marked), "doc_id long, shingles binary, " + ", ".join(f"{w} long" for w in _WORDS)).dropDuplicates(["doc_id"]))
+    sigs = scratch.write(reps.join(touched, "doc_id", "left_semi").join(sets.select("doc_id", *_WORDS), "doc_id"))
 
     def links(candidates: DataFrame) -> DataFrame:
         """Candidates that are linked: by size and signature what cannot be is put aside, then the sets decide."""
@@ -223,7 +240,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratc
     of = scratch.write(components(linked, scratch))
     linked = linked.unionByName(scratch.write(links(across(pairs, of))))
     of = scratch.write(components(linked, scratch))
-    rest = _regions(sigs, of, scratch)
+    rest = _regions(sigs, of, percent, scratch)
     linked = linked.unionByName(scratch.write(links(across(rest, of))))
     of = scratch.write(components(linked, scratch))
 
@@ -239,6 +256,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), ">u4").reshape(-1, HASHES).astype(U64)
+        rest = [c for c in batch.schema.names if c != "sig"]
         for tree in range(TREES):
             x = np.full(len(sig), tree + 1, U64)
             keys = []
@@ -246,16 +264,28 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x = mix(x * U64(0x9E3779B97F4A7C15) + sig[:, j])
                 if depth >= DEPTH:
                     keys.append(x.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("component"), *map(pa.array, keys)], names=["doc_id", "component", *[f"p{d}" for d in range(DEPTH, FULL_DEPTH + 1)]])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *map(pa.array, keys)], names=[*rest, *_KEYS])
 
 
 _KEYS = [f"p{d}" for d in range(DEPTH, FULL_DEPTH + 1)]
-_PREFIXES = "doc_id long, component long, " + ", ".join(f"{k} long" for k in _KEYS)
+_PREFIXES = ", ".join(f"{k} long" for k in _KEYS)
+
+
+def _alike(percent: int) -> Column:
+    """True where as many of the wide signatures' nibbles agree (x and y) as a linked pair's do, less four and a half standard deviations."""
+    p = percent / 100 + (1 - percent / 100) / 16
+    differ = F.lit(0)
+    for w in _WORDS:
+        z = F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}"))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+        differ = differ + F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+    return F.lit(WIDE) - differ >= F.lit(WIDE * p - 4.5 * float(np.sqrt(WIDE * p * (1 - p))))
 
 
 def _hubs(sigs: DataFrame) -> DataFrame:
     """Pairs (a, b) of every document with the hub of each of its regions."""
-    rows = sigs.select("doc_id", F.col("doc_id").alias("component"), "sig").mapInArrow(_prefixes, _PREFIXES).select("doc_id", _KEYS[0], _KEYS[-1])
+    rows = sigs.select("doc_id", "sig").mapInArrow(_prefixes, f"doc_id long, {_PREFIXES}").select("doc_id", _KEYS[0], _KEYS[-1])
     common = rows.groupBy(_KEYS[-1]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     weight = rows.join(common, _KEYS[-1]).groupBy("doc_id").agg(F.sum("n").alias("weight"))
     rows = rows.join(weight, "doc_id", "left").withColumn("rank", F.struct(F.coalesce("weight", F.lit(0)), -F.col("doc_id")))
@@ -264,11 +294,11 @@ def _hubs(sigs: DataFrame) -> DataFrame:
     return pairs.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
 
 
-def _regions(sigs: DataFrame, of: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of documents of different components that share a region."""
+def _regions(sigs: DataFrame, of: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of documents of different components that share a region and may be linked by their signatures."""
     keys = _KEYS
-    rows = sigs.join(of, sigs["doc_id"] == of["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "sig")
-    rows = rows.mapInArrow(_prefixes, _PREFIXES)
+    rows = sigs.join(of, sigs["doc_id"] == of["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), *_WORDS, "sig")
+    rows = rows.mapInArrow(_prefixes, "doc_id long, component long, " + ", ".join(f"{w} long" for w in _WORDS) + f", {_PREFIXES}")
     # Regions of a single component are done. What is left goes one value deeper where a region is dense.
     found = None
     for k in keys:
@@ -276,9 +306,11 @@ def _regions(sigs: DataFrame, of: DataFrame, scratch: Scratch) -> DataFrame:
         open_ = scratch.write(rows.join(spans.where("components > 1"), k))
         here = open_ if k == keys[-1] else open_.where(F.col("components") <= DENSE)
         rows = open_.where(F.col("components") > DENSE).drop("components")
-        x = here.select(F.col(k).alias("region"), F.col("doc_id").alias("x"), F.col("component").alias("c_x"))
-        y = here.select(F.col(k).alias("region"), F.col("doc_id").alias("y"), F.col("component").alias("c_y"))
-        pairs = x.join(y, "region").where("c_x < c_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        # Each pair comes from the first region that its documents share at this depth.
+        by_doc = here.groupBy("doc_id", "component", *_WORDS).agg(F.array_sort(F.collect_set(k)).alias("all")).withColumn("region", F.explode("all"))
+        x, y = (by_doc.select(F.col("region").alias(f"r_{c}"), F.col("all").alias(f"all_{c}"), F.col("doc_id").alias(c), F.col("component").alias(f"c_{c}"), *[F.col(w).alias(f"{c}_{w}") for w in _WORDS]) for c in "xy")
+        on = (F.col("r_x") == F.col("r_y")) & (F.col("c_x") < F.col("c_y")) & _alike(percent) & (F.array_min(F.array_intersect("all_x", "all_y")) == F.col("r_x"))
+        pairs = x.join(y, on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         found = pairs if found is None else found.unionByName(pairs)
         if rows.isEmpty():
             break
