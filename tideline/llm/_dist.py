@@ -40,7 +40,13 @@ class Scratch:
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(cleanup, "false")
+        self.spark.conf.set(cleanup, "true")  # nothing reads this write's shuffles again
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(cleanup, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.tideline_path = path
         return out

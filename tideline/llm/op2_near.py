@@ -222,10 +222,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratc
 
     def links(candidates: DataFrame) -> DataFrame:
         """Candidates that are linked: by size and signature what cannot be is put aside, then the sets decide."""
+        return confirmed(likely(candidates))
+
+    def likely(candidates: DataFrame) -> DataFrame:
         x = sigs.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sig").alias("sig_a"))
         y = sigs.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sig").alias("sig_b"))
         fit = candidates.join(x, "a").join(y, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        fit = fit.select("a", "b", "sig_a", "sig_b").mapInArrow(_likely(percent), "a long, b long")
+        return fit.select("a", "b", "sig_a", "sig_b").mapInArrow(_likely(percent), "a long, b long")
+
+    def confirmed(fit: DataFrame) -> DataFrame:
         x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
         y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
         return fit.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(lambda it: _confirmed(it, percent), "a long, b long")
@@ -241,7 +246,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratc
     linked = linked.unionByName(scratch.write(links(across(pairs, of))))
     of = scratch.write(components(linked, scratch))
     rest = _regions(sigs, of, percent, scratch)
-    linked = linked.unionByName(scratch.write(links(across(rest, of))))
+    linked = linked.unionByName(scratch.write(confirmed(rest)))
     of = scratch.write(components(linked, scratch))
 
     members = sketches.select("doc_id", "n_shingles", "key1", "key2").join(classes, ["key1", "key2", "n_shingles"], "left")
@@ -297,8 +302,8 @@ def _hubs(sigs: DataFrame) -> DataFrame:
 def _regions(sigs: DataFrame, of: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of documents of different components that share a region and may be linked by their signatures."""
     keys = _KEYS
-    rows = sigs.join(of, sigs["doc_id"] == of["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), *_WORDS, "sig")
-    rows = rows.mapInArrow(_prefixes, "doc_id long, component long, " + ", ".join(f"{w} long" for w in _WORDS) + f", {_PREFIXES}")
+    rows = sigs.join(of, sigs["doc_id"] == of["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "n_shingles", *_WORDS, "sig")
+    rows = rows.mapInArrow(_prefixes, "doc_id long, component long, n_shingles long, " + ", ".join(f"{w} long" for w in _WORDS) + f", {_PREFIXES}")
     # Regions of a single component are done. What is left goes one value deeper where a region is dense.
     found = None
     for k in keys:
@@ -307,9 +312,10 @@ def _regions(sigs: DataFrame, of: DataFrame, percent: int, scratch: Scratch) ->
         here = open_ if k == keys[-1] else open_.where(F.col("components") <= DENSE)
         rows = open_.where(F.col("components") > DENSE).drop("components")
         # Each pair comes from the first region that its documents share at this depth.
-        by_doc = here.groupBy("doc_id", "component", *_WORDS).agg(F.array_sort(F.collect_set(k)).alias("all")).withColumn("region", F.explode("all"))
-        x, y = (by_doc.select(F.col("region").alias(f"r_{c}"), F.col("all").alias(f"all_{c}"), F.col("doc_id").alias(c), F.col("component").alias(f"c_{c}"), *[F.col(w).alias(f"{c}_{w}") for w in _WORDS]) for c in "xy")
-        on = (F.col("r_x") == F.col("r_y")) & (F.col("c_x") < F.col("c_y")) & _alike(percent) & (F.array_min(F.array_intersect("all_x", "all_y")) == F.col("r_x"))
+        by_doc = here.groupBy("doc_id", "component", "n_shingles", *_WORDS).agg(F.array_sort(F.collect_set(k)).alias("all")).withColumn("region", F.explode("all"))
+        x, y = (by_doc.select(F.col("region").alias(f"r_{c}"), F.col("all").alias(f"all_{c}"), F.col("doc_id").alias(c), F.col("component").alias(f"c_{c}"), F.col("n_shingles").alias(f"n_{c}"), *[F.col(w).alias(f"{c}_{w}") for w in _WORDS]) for c in "xy")
+        fit = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
+        on = (F.col("r_x") == F.col("r_y")) & (F.col("c_x") < F.col("c_y")) & fit & _alike(percent) & (F.array_min(F.array_intersect("all_x", "all_y")) == F.col("r_x"))
         pairs = x.join(y, on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         found = pairs if found is None else found.unionByName(pairs)
         if rows.isEmpty():

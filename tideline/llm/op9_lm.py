@@ -317,7 +317,7 @@ def score(docs: DataFrame, context_bits: int = 16, sweeps: int = 3, burn_in: int
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    n = deal(docs, 16_000_000)
+    n = deal(docs, 5_000_000)
     merged = scratch.write(docs.mapInArrow(lambda it: _send(it, n, context_bits), _DDL).groupBy("bucket").applyInArrow(_merge, _MERGED_DDL))
     model = train(merged, context_bits, sweeps, strength, seed)
     parts = merged.select("bucket", "kind", "pairs", "u", "c", "inc", "doc", "blocks", "docs").mapInArrow(lambda it: _score(it, model, burn_in), "block long, place binary, sums binary, docs binary")
