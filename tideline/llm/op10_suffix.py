@@ -93,6 +93,15 @@ def _earliest(f: np.ndarray, d: np.ndarray, p: np.ndarray) -> np.ndarray:
     return out
 
 
+def _once(h: np.ndarray, d: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """One row for each minimizer, document and position: a row that repeats an id and text is the same place."""
+    order = np.lexsort((p, d, h))
+    h, d, p = h[order], d[order], p[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1])
+    return np.sort(order[new])
+
+
 _FRAGMENT = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), *((c, pa.binary()) for c in ("h", "f", "d", "p", "n", "text", "s"))])
 _FRAGMENT_DDL = "bucket int, key long, h binary, f binary, d binary, p binary, n binary, text binary, s binary"
 _KINDS = {"h": U64, "f": U64, "d": np.int64, "p": np.int32, "n": np.int32}
@@ -118,6 +127,7 @@ def _send_hashes(batches: Iterator[pa.RecordBatch], length: int, gram: int, buck
             doc = np.searchsorted(block.offs, start, "right") - 1
             d, p = block.ids[doc], start - block.offs[doc]
             f = mix(block.rolling_bytes().hash(start, start + n + length - 1) ^ mix(h + (place - start).astype(U64)))
+            h, f, d, p, n = (x[_once(h, d, p)] for x in (h, f, d, p, n))
             first = _earliest(f, d, p)
             rows = [{"bucket": x["key"] % buckets, **x} for x in _answers(d[~first], p[~first], n[~first])]
             h, f, d, p, n = (x[first] for x in (h, f, d, p, n))
@@ -139,6 +149,7 @@ def _settle_hashes(table: pa.Table) -> pa.Table:
     out, table = _read(table)
     if table.num_rows:
         h, f, d, p, n = (np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in _KINDS.items())
+        h, f, d, p, n = (x[_once(h, d, p)] for x in (h, f, d, p, n))
         first = _earliest(f, d, p)
         out += _answers(d[~first], p[~first], n[~first])
         h, d, p = h[first], d[first], p[first]
@@ -194,7 +205,8 @@ def _settle(table: pa.Table, length: int) -> pa.Table:
         h, d, p, n = (np.concatenate([np.frombuffer(x, _KINDS[c]) for x in table.column(c).to_pylist()]) for c in ("h", "d", "p", "n"))
         text = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("text").to_pylist()])
         offs = np.concatenate(([0], np.cumsum(n + length - 1, dtype=np.int64)))
-        order = np.lexsort((p, d, h))
+        order = _once(h, d, p)
+        order = order[np.lexsort((p[order], d[order], h[order]))]
         while len(order):
             many = int(np.searchsorted(np.cumsum(n[order] + length - 1), _RANK_BYTES)) + 1
             if many < len(order):  # to the end of the minimizer's fragments

@@ -94,7 +94,7 @@ class Plan:
 
 def plan(sizes: list[tuple[str | None, int]], block: int, shards: int, seed: int, **options) -> Plan:
     sources = targets(sizes, **options)
-    slots = np.array([min(2 * -(-s.size // block), round(s.target / block)) for s in sources], np.int64)
+    slots = np.array([round(s.target * -(-s.size // block) / s.size) if s.size else 0 for s in sources], np.int64)  # by the mean block, as the last may be shorter
     return Plan(sources, block, draw(slots, shards, seed) if len(slots) else np.zeros((shards, 0), np.int64), seed)
 
 
