@@ -173,9 +173,9 @@ def _(spark, d):
     return rounded(rollup.where("event_type = 'click'").select("bucket_us", "avg"), "avg").orderBy("bucket_us")
 
 
-@query("stddev_variance", f"select event_type, epoch_us(ts) - epoch_us(ts) % {DAY} as bucket_us, round(stddev_samp(value), 4) as stddev, round(var_samp(value), 4) as variance from events group by 1, 2")
+@query("stddev_variance", f"select event_type, epoch_us(ts) - epoch_us(ts) % {DAY} as bucket_us, round(stddev_samp(value), 7) as stddev, round(var_samp(value), 7) as variance from events group by 1, 2")
 def _(spark, d):
-    return rounded(bucketed(events(spark, d), "1d", ("stddev", "variance"), ["event_type"]), "stddev", "variance", digits=4)
+    return rounded(bucketed(events(spark, d), "1d", ("stddev", "variance"), ["event_type"]), "stddev", "variance", digits=7)
 
 
 @query("median_p95", "select event_type, round(quantile_cont(value, 0.5), 6) as median, round(quantile_cont(value, 0.95), 6) as p95 from events group by 1")
