@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -24,6 +26,15 @@ def session(app: str = "tideline", master: str | None = None, **more: str) -> Sp
 
 def pin_utc(spark: SparkSession) -> SparkSession:
     """Times without a zone are read as UTC; nothing else is touched."""
+    worker_path(spark)
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
+
+
+def worker_path(spark: SparkSession) -> None:
+    """Python workers find the library where the driver found it, whatever folder they start in."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
