@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tideline.session import worker_path
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
@@ -23,6 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def small_batches(spark: SparkSession) -> None:
     """Texts are long, so few of them go to a Python worker at once; what a session has set below that stays."""
+    worker_path(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8_000_000)):
         now = spark.conf.get(key).removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:
