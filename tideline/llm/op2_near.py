@@ -241,13 +241,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratc
         both = candidates.join(x, "a", "left").join(y, "b", "left")
         return both.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
-    linked = scratch.write(links(_hubs(sigs)))
-    of = scratch.write(components(linked, scratch))
-    linked = linked.unionByName(scratch.write(links(across(pairs, of))))
-    of = scratch.write(components(linked, scratch))
-    rest = _regions(sigs, of, percent, scratch)
-    linked = linked.unionByName(scratch.write(confirmed(rest)))
-    of = scratch.write(components(linked, scratch))
+    def grown(of: DataFrame, more: DataFrame) -> DataFrame:
+        """Components after more links: the rounds run over the components that these join, not over all documents."""
+        if more.isEmpty():
+            return of
+        x, y = (of.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+        ends = more.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+        merged = scratch.write(components(ends, scratch))
+        to = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        old = of.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        return scratch.write(old.unionByName(merged.join(of, "node", "left_anti").select("node", "component")))
+
+    of = scratch.write(components(scratch.write(links(_hubs(sigs))), scratch))
+    of = grown(of, scratch.write(links(across(pairs, of))))
+    of = grown(of, scratch.write(confirmed(_regions(sigs, of, percent, scratch))))
 
     members = sketches.select("doc_id", "n_shingles", "key1", "key2").join(classes, ["key1", "key2", "n_shingles"], "left")
     members = members.withColumn("rep", F.coalesce("rep", "doc_id"))
