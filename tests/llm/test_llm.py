@@ -221,6 +221,68 @@ def test_empty_tables(spark):
     assert op1_toxicity.predict(none, chain).count() == 0
 
 
+def clusters(sets, percent):
+    """The smallest id of each document's component, by comparing all pairs."""
+    of = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                low, high = sorted((of[a], of[b]))
+                of = {k: low if v == high else v for k, v in of.items()}
+    return of
+
+
+def test_near_chain_over_passes(spark):
+    """Links that only later passes find join components of earlier ones: each text differs a little from the one before."""
+    base = [f"w{i}" for i in range(80)]
+    rows, sets = [], {}
+    for i in range(30):
+        w = [f"v{j}" if j < i else x for j, x in enumerate(base)]
+        rows.append((100 - i, " ".join(w)))
+        sets[100 - i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+    expected = clusters(sets, 90)
+    got = op2_near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == expected and set(expected.values()) == {71}
+
+
+def test_pipeline_stages(spark, docs):
+    """Each stage on what the stage before kept, against brute force."""
+    import corpus_pipeline
+
+    scratch, stages = op2_near.Scratch(spark), dict(corpus_pipeline.STAGES)
+    step = lambda name, df: scratch.write(stages[name](spark, df, SF))
+    good = step("quality rules", docs)
+    assert good.columns == docs.columns
+    judged = op7_quality.judge(docs).where("quality >= 0.5 and 100 * n_repeat_words <= 50 * n_words").select("doc_id")
+    before = texts_of(docs)
+    now = texts_of(good)
+    assert set(now) == {r[0] for r in judged.collect()} and all(before[i] == t for i, t in now.items())
+
+    single = step("near-dedup", good)
+    sets = {}
+    for i, t in now.items():
+        w = t.encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))).split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    kept = {i: now[i] for i, root in clusters(sets, 80).items() if i == root}
+    assert texts_of(single) == kept and single.count() == len(kept)
+
+    cut = step("substring dedup", single)
+    expected = brute_words(kept)
+    got = texts_of(cut)
+    assert cut.columns == docs.columns and set(got) >= {i for i, x in expected.items() if x[1] < x[0]}
+    for i, t in got.items():
+        assert t == kept[i] if not expected[i][1] else hashlib.sha256(t.encode()).hexdigest() == expected[i][2]
+
+    mixed = step("mixing", cut)
+    taken = {r["doc_id"]: r["taken"] for r in op5_mix.mix_documents(cut)[0].collect() if r["taken"]}
+    texts = texts_of(mixed)
+    assert {i: len(words(t)) for i, t in texts.items()} == taken and mixed.columns == docs.columns
+    assert all(set(words(t)) <= set(words(got[i])) for i, t in texts.items())
+
+    packed = step("packing", mixed).toPandas()
+    assert packed.doc_id.is_unique and dict(zip(packed.doc_id, packed.n_tokens)) == taken and (packed.padding >= 0).all()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
