@@ -6,7 +6,9 @@ import gc
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -105,25 +107,52 @@ def ranked(df: DataFrame, scratch: Scratch, order: list[str], restart: list[str]
     )
 
 
+#: Nodes that one task holds while it joins edges.
+FOREST_NODES = 1 << 17
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) replaced by others of the same reach: every node with the smallest it reaches within a bounded part."""
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def stars() -> pa.RecordBatch:
+        found = [(x, r) for x in parent if (r := root(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    parent: dict[int, int] = {}
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            parent.setdefault(a, a), parent.setdefault(b, b)
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+        if len(parent) >= FOREST_NODES:
+            yield stars()
+            parent = {}
+    yield stars()
+
+
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
-    """node, component (the smallest node reachable) for every node of edges (a, b), by alternating large-star and small-star steps.
+    """node, component (the smallest node reachable) for every node of edges (a, b).
 
-    Each step hands every node the smallest of its neighbours; minima are pre-aggregated, so hubs do not gather in one task.
+    A round hands every node's larger neighbours the smallest of its neighbours (large star), then deals edges by the
+    larger end and joins what meets there, which includes the small star. Tasks join the edges that they hold before
+    they send them, so that a hot node arrives as one edge from each part. Rounds end once all edges form stars.
     """
-    swap = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    now = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    contract = lambda e: e.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_contracted, "a long, b long")
+    now = scratch.write(contract(edges))
     for _ in range(rounds):
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if state == seen or not state[0]:
+        ends = now.unionByName(now.select(F.col("b").alias("a"), "b"))
+        if ends.groupBy("a").agg(F.min("b").alias("least"), F.max("b").alias("most")).where("least < most").isEmpty():
             break
-        seen = state
-        both = swap(now)
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a").select(F.col("b"), F.col("m")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select("a", F.col("m").alias("b"))).distinct()
-        old, now = now, scratch.write(small)
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        old, now = now, scratch.write(contract(contract(large).repartition("a")))
         scratch.drop(old)
-    nodes = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-    return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

@@ -200,8 +200,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratc
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     sketches = scratch.write(docs.mapInArrow(lambda it: _sketch(it, shingle), "doc_id long, n_shingles long, key1 long, key2 long, sig binary"))
     some = sketches.where("sig is not null")
-    classes = some.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = scratch.write(some.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "sig").dropDuplicates(["doc_id"]))
+    classes = scratch.write(some.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")))
+    reps = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "sig")
 
     forest = reps.select("doc_id", "sig").mapInArrow(lambda it: _forest(it, TREES), "tree int, label binary, doc_id long")
     ordered = forest.repartitionByRange("tree", "label", "doc_id").sortWithinPartitions("tree", "label", "doc_id").withColumn("part", F.spark_partition_id())
@@ -252,11 +252,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratc
         old = of.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
         return scratch.write(old.unionByName(merged.join(of, "node", "left_anti").select("node", "component")))
 
-    of = scratch.write(components(scratch.write(links(_hubs(sigs))), scratch))
+    of = scratch.write(components(scratch.write(links(_hubs(sigs, scratch))), scratch))
     of = grown(of, scratch.write(links(across(pairs, of))))
     of = grown(of, scratch.write(confirmed(_regions(sigs, of, percent, scratch))))
 
-    members = sketches.select("doc_id", "n_shingles", "key1", "key2").join(classes, ["key1", "key2", "n_shingles"], "left")
+    members = sketches.select("doc_id", "n_shingles", "key1", "key2").join(classes.drop("sig"), ["key1", "key2", "n_shingles"], "left")
     members = members.withColumn("rep", F.coalesce("rep", "doc_id"))
     out = members.join(of, members["rep"] == of["node"], "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
@@ -295,39 +295,38 @@ def _alike(percent: int) -> Column:
     return F.lit(WIDE) - differ >= F.lit(WIDE * p - 4.5 * float(np.sqrt(WIDE * p * (1 - p))))
 
 
-def _hubs(sigs: DataFrame) -> DataFrame:
+def _hubs(sigs: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of every document with the hub of each of its regions."""
     rows = sigs.select("doc_id", "sig").mapInArrow(_prefixes, f"doc_id long, {_PREFIXES}").select("doc_id", _KEYS[0], _KEYS[-1])
     common = rows.groupBy(_KEYS[-1]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    weight = rows.join(common, _KEYS[-1]).groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    rows = rows.join(weight, "doc_id", "left").withColumn("rank", F.struct(F.coalesce("weight", F.lit(0)), -F.col("doc_id")))
-    hubs = rows.groupBy(_KEYS[0]).agg((-F.max("rank")["col2"]).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = rows.join(hubs, _KEYS[0]).where("doc_id <> hub")
+    weighed = rows.join(common, _KEYS[-1], "left").groupBy("doc_id").agg(F.sum(F.coalesce("n", F.lit(0))).alias("weight"), F.collect_set(_KEYS[0]).alias("regions"))
+    rows = scratch.write(weighed).select("doc_id", F.struct("weight", -F.col("doc_id")).alias("rank"), F.explode("regions").alias("region"))
+    hubs = rows.groupBy("region").agg((-F.max("rank")["col2"]).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs = rows.join(hubs, "region").where("doc_id <> hub")
     return pairs.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
 
 
 def _regions(sigs: DataFrame, of: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of documents of different components that share a region and may be linked by their signatures."""
-    keys = _KEYS
-    rows = sigs.join(of, sigs["doc_id"] == of["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "n_shingles", *_WORDS, "sig")
-    rows = rows.mapInArrow(_prefixes, "doc_id long, component long, n_shingles long, " + ", ".join(f"{w} long" for w in _WORDS) + f", {_PREFIXES}")
+    rows = sigs.select("doc_id", "sig").join(of, sigs["doc_id"] == of["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "sig")
+    rows = rows.mapInArrow(_prefixes, f"doc_id long, component long, {_PREFIXES}")
     # Regions of a single component are done. What is left goes one value deeper where a region is dense.
     found = None
-    for k in keys:
+    for k in _KEYS:
         spans = rows.groupBy(k, "component").agg(F.count(F.lit(1)).alias("n")).groupBy(k).agg(F.count(F.lit(1)).alias("components"))
         open_ = scratch.write(rows.join(spans.where("components > 1"), k))
-        here = open_ if k == keys[-1] else open_.where(F.col("components") <= DENSE)
+        here = (open_ if k == _KEYS[-1] else open_.where(F.col("components") <= DENSE)).select("doc_id", "component", F.col(k).alias("region"))
+        found = here if found is None else found.unionByName(here)
         rows = open_.where(F.col("components") > DENSE).drop("components")
-        # Each pair comes from the first region that its documents share at this depth.
-        by_doc = here.groupBy("doc_id", "component", "n_shingles", *_WORDS).agg(F.array_sort(F.collect_set(k)).alias("all")).withColumn("region", F.explode("all"))
-        x, y = (by_doc.select(F.col("region").alias(f"r_{c}"), F.col("all").alias(f"all_{c}"), F.col("doc_id").alias(c), F.col("component").alias(f"c_{c}"), F.col("n_shingles").alias(f"n_{c}"), *[F.col(w).alias(f"{c}_{w}") for w in _WORDS]) for c in "xy")
-        fit = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
-        on = (F.col("r_x") == F.col("r_y")) & (F.col("c_x") < F.col("c_y")) & fit & _alike(percent) & (F.array_min(F.array_intersect("all_x", "all_y")) == F.col("r_x"))
-        pairs = x.join(y, on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        found = pairs if found is None else found.unionByName(pairs)
         if rows.isEmpty():
             break
-    return found.distinct()
+    # Each pair comes from the first region that its documents share, whatever its depth.
+    by_doc = found.groupBy("doc_id", "component").agg(F.array_sort(F.collect_set("region")).alias("all"))
+    by_doc = by_doc.join(sigs.select("doc_id", "n_shingles", *_WORDS), "doc_id").withColumn("region", F.explode("all"))
+    x, y = (by_doc.select(F.col("region").alias(f"r_{c}"), F.col("all").alias(f"all_{c}"), F.col("doc_id").alias(c), F.col("component").alias(f"c_{c}"), F.col("n_shingles").alias(f"n_{c}"), *[F.col(w).alias(f"{c}_{w}") for w in _WORDS]) for c in "xy")
+    fit = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
+    on = (F.col("r_x") == F.col("r_y")) & (F.col("c_x") < F.col("c_y")) & fit & _alike(percent) & (F.array_min(F.array_intersect("all_x", "all_y")) == F.col("r_x"))
+    return x.join(y, on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
