@@ -15,6 +15,7 @@ A pair of similarity s shares a prefix of depth d in one of l trees with probabi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -118,9 +119,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([int(last[1])], pa.int64()), pa.nulls(1, pa.int64()), pa.array([int(last[0])], pa.int32()), pa.array([last[2]], pa.binary()), pa.array([False], pa.bool_())], names=["a", "b", "tree", "label", "first"])
 
 
-#: Values of the wide signature, four bits each, sixteen to a word; it tells near from not quite near without the sets.
-WIDE = 512
-_WORDS = [f"w{j}" for j in range(WIDE // 16)]
+#: Values of the wide signature, four bits each; it tells near from not quite near without the sets. Four words hold 64
+#: values, one bit of each to a word, so that a join's condition compares them in a few operations.
+WIDE, PLANES = 512, 4
+_WORDS = [f"w{j}" for j in range(WIDE // 64 * PLANES)]
 _WIDE_SEEDS = mix(np.arange(1001, WIDE + 1001, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
@@ -131,7 +133,8 @@ def _wide(h: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
     for j, seed in enumerate(_WIDE_SEEDS if len(full) else ()):
         x = h * seed
         least = np.minimum.reduceat((x ^ (x >> U64(29))) * U64(0xBF58476D1CE4E5B9), bounds[:-1][full])
-        words[full, j // 16] |= (mix(least) & U64(15)) << U64(4 * (j % 16))
+        for plane in range(PLANES):
+            words[full, j // 64 * PLANES + plane] |= (mix(least) >> U64(plane) & U64(1)) << U64(j % 64)
     return [pa.array(np.ascontiguousarray(w).view(np.int64)) for w in words.T]
 
 
@@ -284,14 +287,12 @@ _PREFIXES = ", ".join(f"{k} long" for k in _KEYS)
 
 
 def _alike(percent: int) -> Column:
-    """True where as many of the wide signatures' nibbles agree (x and y) as a linked pair's do, less four and a half standard deviations."""
-    p = percent / 100 + (1 - percent / 100) / 16
+    """True where as many of the wide signatures' values agree (x and y) as a linked pair's do, less four and a half standard deviations."""
+    p = percent / 100 + (1 - percent / 100) / 2**PLANES
     differ = F.lit(0)
-    for w in _WORDS:
-        z = F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}"))
-        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
-        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
-        differ = differ + F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+    for at in range(0, len(_WORDS), PLANES):
+        planes = [F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}")) for w in _WORDS[at : at + PLANES]]
+        differ = differ + F.bit_count(reduce(Column.bitwiseOR, planes))
     return F.lit(WIDE) - differ >= F.lit(WIDE * p - 4.5 * float(np.sqrt(WIDE * p * (1 - p))))
 
 
@@ -322,7 +323,9 @@ def _regions(sigs: DataFrame, of: DataFrame, percent: int, scratch: Scratch) ->
             break
     # Each pair comes from the first region that its documents share, whatever its depth.
     by_doc = found.groupBy("doc_id", "component").agg(F.array_sort(F.collect_set("region")).alias("all"))
-    by_doc = by_doc.join(sigs.select("doc_id", "n_shingles", *_WORDS), "doc_id").withColumn("region", F.explode("all"))
+    # Columns that cannot be null keep the condition's code short enough to be compiled.
+    wide = sigs.select("doc_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_shingles", *_WORDS)])
+    by_doc = by_doc.join(wide, "doc_id").withColumn("region", F.explode("all"))
     x, y = (by_doc.select(F.col("region").alias(f"r_{c}"), F.col("all").alias(f"all_{c}"), F.col("doc_id").alias(c), F.col("component").alias(f"c_{c}"), F.col("n_shingles").alias(f"n_{c}"), *[F.col(w).alias(f"{c}_{w}") for w in _WORDS]) for c in "xy")
     fit = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
     on = (F.col("r_x") == F.col("r_y")) & (F.col("c_x") < F.col("c_y")) & fit & _alike(percent) & (F.array_min(F.array_intersect("all_x", "all_y")) == F.col("r_x"))
