@@ -245,6 +245,18 @@ def test_near_chain_over_passes(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == expected and set(expected.values()) == {71}
 
 
+def test_near_pairs_in_a_large_family(spark):
+    """Several hundred look-alikes just below the threshold, and among them pairs just above it."""
+    base, rows, sets = [f"w{i}" for i in range(82)], [], {}
+    for i in range(400):
+        w = [*base, *[f"p{i // 2}x{j}" for j in range(7)], *[f"o{i}x{j}" for j in range(11)]]
+        rows.append((i, " ".join(w)))
+        sets[i] = set(w)
+    expected = clusters(sets, 80)
+    got = op2_near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80).collect()
+    assert expected == {i: i - i % 2 for i in range(400)} and {r["doc_id"]: r["component_id"] for r in got} == expected
+
+
 def test_pipeline_stages(spark, docs):
     """Each stage on what the stage before kept, against brute force."""
     import corpus_pipeline

@@ -7,8 +7,8 @@ passes, each of which compares only documents that the passes before left in dif
 
 1. every document with the hub of its regions, the one whose full prefixes are the most common (the text that others
 were copied from), 2. neighbours in all trees' orders, 3. in every region that still holds several components, all
-pairs across components. A region with many components is searched at a greater depth (adaptive depth); one that is
-dense even at full depth is compared there.
+pairs across components. Documents of regions with many components are joined by the prefixes of their sets instead,
+which misses no pair: with shingles in one order, rare ones first, linked sets share one of their first shingles.
 A pair of similarity s shares a prefix of depth d in one of l trees with probability 1 - (1 - s**d)**l.
 """
 
@@ -29,8 +29,10 @@ HASHES = 64
 TREES = 16
 #: Least and greatest length of a common prefix, in signature values.
 DEPTH, FULL_DEPTH = 4, 8
-#: Components in a region from which it is searched one value deeper.
+#: Components in a region from which its documents are joined by the prefixes of their sets.
 DENSE = 48
+#: Bits of the table of hashed shingle counts, which only decides the order of shingles.
+COUNT_BITS = 21
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
@@ -257,7 +259,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratc
 
     of = scratch.write(components(scratch.write(links(_hubs(sigs, scratch))), scratch))
     of = grown(of, scratch.write(links(across(pairs, of))))
-    of = grown(of, scratch.write(confirmed(_regions(sigs, of, percent, scratch))))
+    of = grown(of, scratch.write(confirmed(_regions(sigs, sets, of, percent, scratch))))
 
     members = sketches.select("doc_id", "n_shingles", "key1", "key2").join(classes.drop("sig"), ["key1", "key2", "n_shingles"], "left")
     members = members.withColumn("rep", F.coalesce("rep", "doc_id"))
@@ -307,29 +309,63 @@ def _hubs(sigs: DataFrame, scratch: Scratch) -> DataFrame:
     return pairs.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
 
 
-def _regions(sigs: DataFrame, of: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (mix(h) >> U64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            slot, n = np.unique(_slots(np.frombuffer(b"".join(batch.column("shingles").to_pylist()), U64)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n)], names=["slot", "n"])
+
+
+def _first_shingles(batches: Iterator[pa.RecordBatch], percent: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of each set of n shingles the rarest n - ceil(n * percent / 100) + 1: a linked set shares at least the rest and one more."""
+    for batch in batches:
+        for i, x in enumerate(batch.column("shingles")):
+            h = np.frombuffer(x.as_buffer(), U64)
+            first = h[np.lexsort((h, counts[_slots(h)]))[: len(h) - -(-len(h) * percent // 100) + 1]]
+            rest = [pa.array(np.full(len(first), batch.column(c)[i].as_py(), np.int64)) for c in ("doc_id", "component")]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(first.view(np.int64))], names=["doc_id", "component", "region"])
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows whose region holds several components, with their number."""
+    spans = rows.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.count(F.lit(1)).alias("components"))
+    return rows.join(spans.where("components > 1"), "region")
+
+
+def _regions(sigs: DataFrame, sets: DataFrame, of: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of documents of different components that share a region and may be linked by their signatures."""
     rows = sigs.select("doc_id", "sig").join(of, sigs["doc_id"] == of["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "sig")
-    rows = rows.mapInArrow(_prefixes, f"doc_id long, component long, {_PREFIXES}")
-    # Regions of a single component are done. What is left goes one value deeper where a region is dense.
-    found = None
-    for k in _KEYS:
-        spans = rows.groupBy(k, "component").agg(F.count(F.lit(1)).alias("n")).groupBy(k).agg(F.count(F.lit(1)).alias("components"))
-        open_ = scratch.write(rows.join(spans.where("components > 1"), k))
-        here = (open_ if k == _KEYS[-1] else open_.where(F.col("components") <= DENSE)).select("doc_id", "component", F.col(k).alias("region"))
-        found = here if found is None else found.unionByName(here)
-        rows = open_.where(F.col("components") > DENSE).drop("components")
-        if rows.isEmpty():
-            break
-    # Each pair comes from the first region that its documents share, whatever its depth.
-    by_doc = found.groupBy("doc_id", "component").agg(F.array_sort(F.collect_set("region")).alias("all"))
+    rows = rows.mapInArrow(_prefixes, f"doc_id long, component long, {_PREFIXES}").select("doc_id", "component", F.col(_KEYS[0]).alias("region"))
+    # Regions of a single component are done.
+    open_ = scratch.write(_shared(rows))
     # Columns that cannot be null keep the condition's code short enough to be compiled.
     wide = sigs.select("doc_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_shingles", *_WORDS)])
-    by_doc = by_doc.join(wide, "doc_id").withColumn("region", F.explode("all"))
-    x, y = (by_doc.select(F.col("region").alias(f"r_{c}"), F.col("all").alias(f"all_{c}"), F.col("doc_id").alias(c), F.col("component").alias(f"c_{c}"), F.col("n_shingles").alias(f"n_{c}"), *[F.col(w).alias(f"{c}_{w}") for w in _WORDS]) for c in "xy")
-    fit = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
-    on = (F.col("r_x") == F.col("r_y")) & (F.col("c_x") < F.col("c_y")) & fit & _alike(percent) & (F.array_min(F.array_intersect("all_x", "all_y")) == F.col("r_x"))
-    return x.join(y, on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    def alike(rows: DataFrame, *more: str) -> DataFrame:
+        x, y = (rows.select(F.col("region").alias(f"r_{c}"), F.col("doc_id").alias(c), F.col("component").alias(f"c_{c}"), F.col("n_shingles").alias(f"n_{c}"), *[F.col(m).alias(f"{m}_{c}") for m in more], *[F.col(w).alias(f"{c}_{w}") for w in _WORDS]) for c in "xy")
+        fit = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
+        on = (F.col("r_x") == F.col("r_y")) & (F.col("c_x") < F.col("c_y")) & fit & _alike(percent)
+        # Each pair comes from the first region that its documents share.
+        on = on & (F.array_min(F.array_intersect("all_x", "all_y")) == F.col("r_x")) if more else on
+        return x.join(y, on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    by_doc = open_.where(F.col("components") <= DENSE).groupBy("doc_id", "component").agg(F.array_sort(F.collect_set("region")).alias("all"))
+    found = alike(by_doc.join(wide, "doc_id").withColumn("region", F.explode("all")), "all")
+
+    dense = open_.where(F.col("components") > DENSE).select("doc_id", "component").distinct()
+    if dense.isEmpty():
+        return found
+    crowd = scratch.write(sets.select("doc_id", "shingles").join(dense, "doc_id"))
+    slots = crowd.select("shingles").mapInArrow(_slot_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    counts = np.ones(1 << COUNT_BITS, np.int32)
+    counts[np.asarray(slots.column("slot"))] = np.minimum(np.asarray(slots.column("n")), 2**31 - 1)
+    first = crowd.mapInArrow(lambda it: _first_shingles(it, percent, counts), "doc_id long, component long, region long")
+    crowded = _shared(scratch.write(first)).drop("components").join(wide, "doc_id")
+    return found.unionByName(alike(crowded)).distinct()
 
 
 def query(spark, sf_dir: str) -> DataFrame:
