@@ -185,6 +185,21 @@ def test_language_model(odd, docs):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_language_model_keeps_contexts_apart(spark):
+    """Previous words whose hashes agree in their first 16 bits have a restaurant each."""
+    import pyarrow as pa
+
+    from tideline.llm._text import blocks, mix
+
+    names = [f"w{i}" for i in range(3000)]
+    hashes = next(blocks(pa.RecordBatch.from_pydict({"doc_id": [0], "text": [" ".join(names)]}))).words(lower=True).hash
+    seen = {}
+    a, b = next((seen[k], w) for w, k in zip(names, (mix(hashes) >> np.uint64(48)).tolist()) if seen.setdefault(k, w) != w)
+    df = spark.createDataFrame([(i, f"{a} x" if i % 2 else f"{b} y") for i in range(400)], "doc_id long, text string")
+    # Half of the texts begin with either word; what follows it is nearly certain.
+    assert all(r["score"] > math.log10(0.5) - 0.15 for r in op9_lm.score(df).collect())
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 8)).astype(np.float32)

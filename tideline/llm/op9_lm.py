@@ -1,12 +1,13 @@
 """A hierarchical Pitman-Yor language model over words, seated by Gibbs sampling.
 
-Restaurants: one for each class of the previous word (its hash in `context_bits` bits), all of which share the unigram
+Restaurants: one for each previous word (by its 64-bit hash), all of which share the unigram
 restaurant as their parent; its parent is uniform over the vocabulary and one unknown word. A dish's customers in the
 unigram restaurant are its tables in the context restaurants.
 
 The corpus is dealt by word: a word's bucket holds its counts in every context, hence all its unigram customers. Across
-buckets a restaurant is known only by its totals (customers, tables), of which there are 2 ** context_bits at most. A
-sweep draws, in every bucket, the tables of each (context, word) from their conditional distribution given the totals
+buckets a restaurant is known only by its totals (customers, tables). After a sweep every bucket sends its share of them
+by part of the contexts, where they are added up, and is sent back those of its own contexts; they are written and
+joined by bucket, and the driver sees counts over all restaurants only. A sweep draws, in every bucket, the tables of each (context, word) from their conditional distribution given the totals
 of the sweep before: exactly, by generalised Stirling numbers, up to EXACT customers, and beyond by seating in batches.
 A sweep is replayed from its seed and the totals instead of being stored. Predictive probabilities are averaged over
 the sweeps after the burn-in.
@@ -18,6 +19,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm._dist import Scratch, deal
-from tideline.llm._text import U64, Block, blocks, by_key, mix
+from tideline.llm._text import U64, Block, blocks, by_key
 
 #: Customers of a dish up to which its tables are drawn exactly.
 EXACT = 32
@@ -36,16 +38,14 @@ _END = U64(0x9D8F3B1C5E7A6421)
 
 @dataclass
 class Totals:
-    """Of one sweep: customers and tables of each context restaurant, and tables of the unigram restaurant."""
+    """Of one sweep: tables of all context restaurants, and of the unigram restaurant."""
 
-    tables: np.ndarray
+    tables: int
     top_tables: int
 
 
 @dataclass
 class Model:
-    context_bits: int
-    customers: np.ndarray  # of each context restaurant
     train_tokens: int
     vocabulary: int
     discount: float
@@ -59,28 +59,28 @@ def held_out(doc_id: int, fold: int = 2, folds: int = 7) -> bool:
     return zlib.crc32(str(doc_id).encode()) % folds == fold
 
 
-def _tokens(block: Block, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hash, context and document of each token; every document ends in one end token, which is also its first context."""
+def _tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hash, context (the hash of the word before) and document of each token; every document ends in one end token, which is also its first context."""
     words = block.words(lower=True)
     n = len(block.ids)
     doc = np.concatenate((words.doc(), np.arange(n)))
     order = np.argsort(doc, kind="stable")
     doc, h = doc[order], np.concatenate((words.hash, np.full(n, _END)))[order]
     before = np.concatenate(([_END], h[:-1]))
-    return h, (mix(before) >> U64(64 - bits)).astype(np.int32), doc
+    return h, before, doc
 
 
 _SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("w", pa.binary()), ("pairs", pa.binary()), ("u", pa.binary()), ("inc", pa.binary()), ("doc", pa.binary()), ("docs", pa.binary())])
 _DDL = "bucket int, block long, kind int, w binary, pairs binary, u binary, inc binary, doc binary, docs binary"
 
 
-def _send(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _send(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """For each block and bucket: distinct words, their contexts, and for each of those the documents it occurs in (once for each time)."""
     part, count = TaskContext.get().partitionId(), 0
     for batch in batches:
         for block in blocks(batch):
             uid, count = (part << 32) | count, count + 1
-            h, u, doc = _tokens(block, bits)
+            h, u, doc = _tokens(block)
             rows: list[dict] = []
             train = np.array([not held_out(i) for i in block.ids.tolist()])
             ids = np.stack((block.ids, np.bincount(doc, minlength=len(block.ids)), train), 1).astype(np.int64)
@@ -94,21 +94,21 @@ def _send(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator[pa.R
                 pair = np.flatnonzero(new_pair)
                 per_word = np.bincount((np.cumsum(new_w) - 1)[pair])
                 inc = np.diff(np.concatenate((pair, [len(hh)])))
-                rows.append({"bucket": bucket, "block": uid, "kind": 1, "w": hh[new_w].tobytes(), "pairs": per_word.astype(np.int32).tobytes(), "u": uu[pair].astype(np.int32).tobytes(), "inc": inc.astype(np.int32).tobytes(), "doc": dd.astype(np.int32).tobytes(), "docs": train.astype(np.int8).tobytes()})
+                rows.append({"bucket": bucket, "block": uid, "kind": 1, "w": hh[new_w].tobytes(), "pairs": per_word.astype(np.int32).tobytes(), "u": uu[pair].tobytes(), "inc": inc.astype(np.int32).tobytes(), "doc": dd.astype(np.int32).tobytes(), "docs": train.astype(np.int8).tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema=_SENT)
 
 
-_MERGED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("pairs", pa.binary()), ("u", pa.binary()), ("c", pa.binary()), ("inc", pa.binary()), ("doc", pa.binary()), ("blocks", pa.binary()), ("docs", pa.binary())])
-_MERGED_DDL = "bucket int, kind int, pairs binary, u binary, c binary, inc binary, doc binary, blocks binary, docs binary"
+_MERGED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("pairs", pa.binary()), ("contexts", pa.binary()), ("u", pa.binary()), ("c", pa.binary()), ("inc", pa.binary()), ("doc", pa.binary()), ("blocks", pa.binary()), ("docs", pa.binary())])
+_MERGED_DDL = "bucket int, kind int, pairs binary, contexts binary, u binary, c binary, inc binary, doc binary, blocks binary, docs binary"
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """A bucket's blocks as one: words in the order of their hash, their contexts with training counts, and where they occur."""
+    """A bucket's blocks as one: words in the order of their hash, their contexts (as places in the sorted `contexts`) with training counts, and where they occur."""
     out: dict[str, list] = {name: [] for name in _MERGED.names}
     bucket = table.column("bucket")[0].as_py()
     head = table.filter(pc.equal(table.column("kind"), 0))
     for uid, docs in zip(head.column("block").to_pylist(), head.column("docs").to_pylist(), strict=True):
-        for name, x in (("bucket", bucket), ("kind", 0), ("pairs", None), ("u", None), ("c", None), ("inc", None), ("doc", None), ("blocks", np.array([uid], np.int64).tobytes()), ("docs", docs)):
+        for name, x in (("bucket", bucket), ("kind", 0), ("pairs", None), ("contexts", None), ("u", None), ("c", None), ("inc", None), ("doc", None), ("blocks", np.array([uid], np.int64).tobytes()), ("docs", docs)):
             out[name].append(x)
     body = table.filter(pc.equal(table.column("kind"), 1)).sort_by("block")
     if body.num_rows:
@@ -118,7 +118,7 @@ def _merge(table: pa.Table) -> pa.Table:
         doc = np.concatenate([d + b for d, b in zip(read("doc", np.int32), base[:-1], strict=True)])
         inc = np.concatenate(read("inc", np.int32))
         h = np.repeat(np.concatenate(read("w", U64)), np.concatenate(read("pairs", np.int32)))
-        u = np.concatenate(read("u", np.int32))
+        u = np.concatenate(read("u", U64))
         order = np.lexsort((u, h))
         start = np.concatenate(([0], np.cumsum(inc)))[:-1][order]
         size = inc[order]
@@ -132,8 +132,9 @@ def _merge(table: pa.Table) -> pa.Table:
         learn = np.concatenate(train)[doc]
         c = np.add.reduceat(learn.astype(np.int64), cuts[:-1][first])
         pairs = np.bincount((np.cumsum(new_w) - 1)[first])
+        contexts, u = np.unique(u[first], return_inverse=True)
         uids = np.array(body.column("block").to_pylist(), np.int64)
-        for name, x in (("bucket", bucket), ("kind", 1), ("pairs", pairs.astype(np.int32)), ("u", u[first].astype(np.int32)), ("c", c.astype(np.int32)), ("inc", inc.astype(np.int32)), ("doc", doc.astype(np.int32)), ("blocks", np.stack((uids, np.diff(base)), 1).astype(np.int64)), ("docs", None)):
+        for name, x in (("bucket", bucket), ("kind", 1), ("pairs", pairs.astype(np.int32)), ("contexts", contexts), ("u", u.astype(np.int32)), ("c", c.astype(np.int32)), ("inc", inc.astype(np.int32)), ("doc", doc.astype(np.int32)), ("blocks", np.stack((uids, np.diff(base)), 1).astype(np.int64)), ("docs", None)):
             out[name].append(x if isinstance(x, int) or x is None else x.tobytes())
     return pa.table(out, schema=_MERGED)
 
@@ -181,6 +182,13 @@ class Bucket:
 
     def __init__(self, row: dict):
         self.bucket = row["bucket"]
+        self.contexts = np.frombuffer(row["contexts"], U64)
+        # Of each sweep so far the tables, and the customers, of the bucket's contexts; parts are in the order of contexts.
+        known: dict[int, list[dict]] = {}
+        for x in sorted(row.get("totals") or [], key=lambda x: (x["sweep"], x["part"])):
+            known.setdefault(x["sweep"], []).append(x)
+        self.tables = [np.frombuffer(b"".join(x["tables"] for x in known[k]), np.int64) for k in sorted(known)]
+        self.customers = np.frombuffer(b"".join(x["customers"] for x in known.get(0, [])), np.int64)
         self.pairs, self.u, self.c = (np.frombuffer(row[k], np.int32) for k in ("pairs", "u", "c"))
         self.word = np.repeat(np.arange(len(self.pairs)), self.pairs)
         self.count = np.bincount(self.word, self.c, len(self.pairs)).astype(np.int64)
@@ -201,66 +209,84 @@ class Bucket:
         for k, totals in enumerate(model.sweeps):
             rng = np.random.Generator(np.random.PCG64([model.seed, k, self.bucket]))
             customers = np.bincount(self.word, t, len(self.pairs)).astype(np.int64)
-            p = self.top(model, customers, top_t, int(totals.tables.sum()), totals.top_tables)
+            p = self.top(model, customers, top_t, totals.tables, totals.top_tables)
             yield t, top_t, p
-            others = np.maximum(totals.tables[self.u] - t, 0)
+            others = np.maximum(self.tables[k][self.u] - t, 0)
             t = seat(self.c, others, p[self.word], model.discount, model.strength, rng)
             customers = np.bincount(self.word, t, len(self.pairs)).astype(np.int64)
             top_t = seat(customers, np.maximum(totals.top_tables - top_t, 0), uniform, model.top_discount, model.strength, rng)
         yield t, top_t, uniform
 
-    def pair_probability(self, model: Model, t: np.ndarray, p: np.ndarray, totals: Totals) -> np.ndarray:
+    def pair_probability(self, model: Model, t: np.ndarray, p: np.ndarray, sweep: int) -> np.ndarray:
         d, s = model.discount, model.strength
-        rest = (s + d * totals.tables[self.u]) * p[self.word]
-        return (np.maximum(self.c - d * t, 0) + rest) / (s + model.customers[self.u])
+        rest = (s + d * self.tables[sweep][self.u]) * p[self.word]
+        return (np.maximum(self.c - d * t, 0) + rest) / (s + self.customers[self.u])
 
 
-_SUMS = "part int, customers binary, tables binary, more binary"
-_PARTS = 16
+_SUMS = "part int, bucket int, contexts binary, customers binary, tables binary, more binary"
+_TOTALS = "part int, bucket int, customers binary, tables binary, more binary"
+_SUMS_SCHEMA = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("contexts", "customers", "tables", "more"))])
+_TOTALS_SCHEMA = pa.schema([f for f in _SUMS_SCHEMA if f.name != "contexts"])
 
 
-def _totals(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """A task's share of the totals: by part of the contexts, customers and tables; in part 0 also counts of counts."""
-    size = 1 << model.context_bits
-    customers, tables = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    more = np.zeros(7, np.int64)
+def _totals(batches: Iterator[pa.RecordBatch], model: Model, parts: int) -> Iterator[pa.RecordBatch]:
+    """A bucket's share of the totals: by part of the contexts (their high bits) customers and tables; in part -1 counts over all."""
+    edges = np.arange(1, parts, dtype=U64) << U64(64 - (parts.bit_length() - 1))
     for batch in batches:
         for row in batch.to_pylist():
             b = Bucket(row)
             for t, top_t, _ in b.replay(model):
                 pass
-            customers += np.bincount(b.u, b.c, size).astype(np.int64)
-            tables += np.bincount(b.u, t, size).astype(np.int64)
+            sums = [np.bincount(b.u, x, len(b.contexts)).astype(np.int64) for x in (b.c, t)]
             top = np.bincount(b.word, t, len(b.pairs))
-            more += [top_t.sum(), b.count.sum(), (b.count > 0).sum(), (b.c == 1).sum(), (b.c == 2).sum(), (top == 1).sum(), (top == 2).sum()]
-    step = size // _PARTS
-    yield pa.RecordBatch.from_pydict({"part": pa.array(range(_PARTS), pa.int32()), "customers": [customers[i * step : (i + 1) * step].tobytes() for i in range(_PARTS)], "tables": [tables[i * step : (i + 1) * step].tobytes() for i in range(_PARTS)], "more": [(more if i == 0 else more * 0).tobytes() for i in range(_PARTS)]})
+            more = np.array([top_t.sum(), b.count.sum(), (b.count > 0).sum(), (b.c == 1).sum(), (b.c == 2).sum(), (top == 1).sum(), (top == 2).sum(), t.sum()], np.int64)
+            cuts = [0, *np.searchsorted(b.contexts, edges).tolist(), len(b.contexts)]
+            rows: list[dict] = [{"part": -1, "bucket": -1, "more": more.tobytes()}]
+            for part, (i, j) in enumerate(zip(cuts, cuts[1:])):
+                if i < j:
+                    rows.append({"part": part, "bucket": b.bucket, "contexts": b.contexts[i:j].tobytes(), "customers": sums[0][i:j].tobytes(), "tables": sums[1][i:j].tobytes()})
+            yield pa.RecordBatch.from_pylist(rows, schema=_SUMS_SCHEMA)
 
 
 def _add(table: pa.Table) -> pa.Table:
-    total = lambda name: np.sum([np.frombuffer(x, np.int64) for x in table.column(name).to_pylist()], axis=0).tobytes()
-    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), **{k: pa.array([total(k)], pa.binary()) for k in ("customers", "tables", "more")}})
-
-
-def _gather(merged: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The totals over all buckets: _PARTS rows of fixed size reach the driver."""
-    rows = merged.where("kind = 1").select("bucket", "pairs", "u", "c").mapInArrow(lambda it: _totals(it, model), _SUMS).groupBy("part").applyInArrow(_add, _SUMS).orderBy("part").collect()
-    join = lambda name: np.concatenate([np.frombuffer(r[name], np.int64) for r in rows]) if rows else np.zeros(1 << model.context_bits, np.int64)
-    more = np.sum([np.frombuffer(r["more"], np.int64) for r in rows], axis=0) if rows else np.zeros(7, np.int64)
-    return join("customers"), join("tables"), more
-
-
-def train(merged: DataFrame, context_bits: int, sweeps: int, strength: float, seed: int) -> Model:
-    model = Model(context_bits, np.zeros(0), 0, 0, 0.5, 0.5, strength, seed, [])
-    customers, tables, more = _gather(merged, model)
-    model.customers, model.train_tokens, model.vocabulary = customers, int(more[1]), int(more[2])
-    # Discounts from counts of counts, as for absolute discounting.
-    model.discount, model.top_discount = (float(np.clip(one / max(1, one + 2 * two), 0.05, 0.95)) for one, two in ((more[3], more[4]), (more[5], more[6])))
-    model.sweeps.append(Totals(tables, int(more[0])))
-    for _ in range(sweeps):
-        _, tables, more = _gather(merged, model)
-        model.sweeps.append(Totals(tables, int(more[0])))
-    return model
+    """The sums over all buckets, for each bucket those of its own contexts."""
+    read = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+    if table.column("part")[0].as_py() < 0:
+        return pa.Table.from_pylist([{"part": -1, "bucket": -1, "more": np.sum(read("more", np.int64), axis=0).tobytes()}], schema=_TOTALS_SCHEMA)
+    contexts = read("contexts", U64)
+    cuts = np.cumsum([len(x) for x in contexts])[:-1]
+    place = np.unique(np.concatenate(contexts), return_inverse=True)[1]
+    out: dict[str, object] = {"part": table.column("part"), "bucket": table.column("bucket")}
+    for name in ("customers", "tables"):
+        sums = np.bincount(place, np.concatenate(read(name, np.int64))).astype(np.int64)
+        out[name] = pa.array([x.tobytes() for x in np.split(sums[place], cuts)], pa.binary())
+    return pa.table({**out, "more": pa.nulls(table.num_rows, pa.binary())}, schema=_TOTALS_SCHEMA)
+
+
+def _with_totals(body: DataFrame, written: list[DataFrame]) -> DataFrame:
+    """Buckets with the totals of their contexts in each sweep so far."""
+    if not written:
+        return body
+    rows = [x.where("bucket >= 0").select("bucket", F.struct(F.lit(k).alias("sweep"), "part", *[F.col(c) if k == 0 or c == "tables" else F.lit(None).cast("binary").alias(c) for c in ("customers", "tables")]).alias("one")) for k, x in enumerate(written)]
+    totals = reduce(DataFrame.unionByName, rows).groupBy("bucket").agg(F.collect_list("one").alias("totals"))
+    return body.join(totals.hint("merge"), "bucket", "left")
+
+
+def train(merged: DataFrame, parts: int, sweeps: int, strength: float, seed: int, scratch: Scratch) -> tuple[Model, list[DataFrame]]:
+    """The model's counts over all, and the written totals of each sweep."""
+    body = merged.where("kind = 1").select("bucket", "pairs", "contexts", "u", "c")
+    model, written = Model(0, 0, 0.5, 0.5, strength, seed, []), []
+    for k in range(sweeps + 1):
+        sums = _with_totals(body, written).mapInArrow(lambda it: _totals(it, model, parts), _SUMS)
+        written.append(scratch.write(sums.groupBy("part").applyInArrow(_add, _TOTALS)))
+        found = written[-1].where("bucket < 0").select("more").collect()
+        more = np.frombuffer(found[0]["more"], np.int64) if found else np.zeros(8, np.int64)
+        if k == 0:
+            model.train_tokens, model.vocabulary = int(more[1]), int(more[2])
+            # Discounts from counts of counts, as for absolute discounting.
+            model.discount, model.top_discount = (float(np.clip(one / max(1, one + 2 * two), 0.05, 0.95)) for one, two in ((more[3], more[4]), (more[5], more[6])))
+        model.sweeps.append(Totals(int(more[7]), int(more[0])))
+    return model, written
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model, burn_in: int) -> Iterator[pa.RecordBatch]:
@@ -274,10 +300,10 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, burn_in: int) -> Ite
             mean, n = np.zeros(len(b.c)), 0
             for k, (t, top_t, _) in enumerate(b.replay(model)):
                 if k > burn_in or k == len(model.sweeps) - 1:
-                    totals = model.sweeps[min(k, len(model.sweeps) - 1)]
+                    totals = model.sweeps[k]
                     customers = np.bincount(b.word, t, len(b.pairs)).astype(np.int64)
-                    p = b.top(model, customers, top_t, int(totals.tables.sum()), totals.top_tables)
-                    mean, n = mean + b.pair_probability(model, t, p, totals), n + 1
+                    p = b.top(model, customers, top_t, totals.tables, totals.top_tables)
+                    mean, n = mean + b.pair_probability(model, t, p, k), n + 1
                 if k == len(model.sweeps) - 1:
                     break
             base = np.log10((b.count + 1) / (model.train_tokens + model.vocabulary + 1))
@@ -306,7 +332,7 @@ def _finish(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": docs[:, 0], "held_out": docs[:, 2] == 0, "n_tokens": docs[:, 1], "n_known": np.rint(sums[:, 2]).astype(np.int64), "base_score": sums[:, 1], "score": sums[:, 0]})
 
 
-def score(docs: DataFrame, context_bits: int = 16, sweeps: int = 3, burn_in: int = 1, strength: float = 1.0, seed: int = 9, scratch: Scratch | None = None) -> DataFrame:
+def score(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, strength: float = 1.0, seed: int = 9, scratch: Scratch | None = None) -> DataFrame:
     """Score every document with a model learnt from those that are not held out.
 
     Takes doc_id and text; other columns are not looked at. Returns doc_id, held_out, n_tokens, n_known, train_tokens,
@@ -318,9 +344,11 @@ def score(docs: DataFrame, context_bits: int = 16, sweeps: int = 3, burn_in: int
     scratch = scratch or Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     n = deal(docs, 5_000_000)
-    merged = scratch.write(docs.mapInArrow(lambda it: _send(it, n, context_bits), _DDL).groupBy("bucket").applyInArrow(_merge, _MERGED_DDL))
-    model = train(merged, context_bits, sweeps, strength, seed)
-    parts = merged.select("bucket", "kind", "pairs", "u", "c", "inc", "doc", "blocks", "docs").mapInArrow(lambda it: _score(it, model, burn_in), "block long, place binary, sums binary, docs binary")
+    merged = scratch.write(docs.mapInArrow(lambda it: _send(it, n), _DDL).groupBy("bucket").applyInArrow(_merge, _MERGED_DDL))
+    model, written = train(merged, n // 2, sweeps, strength, seed, scratch)
+    columns = ["bucket", "kind", "pairs", "contexts", "u", "c", "inc", "doc", "blocks", "docs"]
+    scored = lambda rows: rows.mapInArrow(lambda it: _score(it, model, burn_in), "block long, place binary, sums binary, docs binary")
+    parts = scored(merged.where("kind = 0").select(*columns)).unionByName(scored(_with_totals(merged.where("kind = 1").select(*columns), written)))
     out = parts.groupBy("block").applyInArrow(_finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score", F.expr("power(10, -score / n_tokens)").alias("perplexity"))
 
