@@ -239,12 +239,19 @@ def test_empty_tables(spark):
 def clusters(sets, percent):
     """The smallest id of each document's component, by comparing all pairs."""
     of = {i: i for i in sets}
-    for a in sorted(sets):
-        for b in sorted(sets):
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                low, high = sorted((of[a], of[b]))
-                of = {k: low if v == high else v for k, v in of.items()}
-    return of
+
+    def root(x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    ids = sorted(i for i in sets if sets[i])
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if (both := len(sets[a] & sets[b])) * 100 >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = root(a), root(b)
+                of[max(x, y)] = min(x, y)
+    return {i: root(i) for i in sets}
 
 
 def test_near_chain_over_passes(spark):
@@ -316,3 +323,34 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = corpus_pipeline.run(spark, SF).toPandas()
     assert 0 < len(out) <= docs.count() and not out.doc_id.duplicated().any()
+
+
+def test_near_in_a_dense_region(spark, monkeypatch):
+    """A thousand copies with a few random edits each, most pairs below the threshold: no link is lost, in one block or in several."""
+    import random
+
+    rng = random.Random(7)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    base, rows, sets = [rng.choice(vocabulary) for _ in range(120)], [], {}
+    for i in range(1100):
+        w = list(base)
+        for _ in range(rng.choice([2, 3])):
+            w[rng.randrange(120)] = rng.choice(vocabulary)
+        rows.append((i, " ".join(w)))
+        sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+    expected = clusters(sets, 85)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (op2_near.BLOCK_SHINGLES, 1 << 18):
+        monkeypatch.setattr(op2_near, "BLOCK_SHINGLES", block)
+        assert {r["doc_id"]: r["component_id"] for r in op2_near.near_duplicates(df, 3, 85).collect()} == expected
+
+
+@pytest.mark.parametrize("n", [2, 3, 200])
+def test_common_counts(n, monkeypatch):
+    monkeypatch.setattr(op2_near, "_COLUMNS", 16), monkeypatch.setattr(op2_near, "_RARE", 64)
+    rng = np.random.default_rng(n)
+    sets = [np.unique(rng.zipf(1.3, rng.integers(1, 80)).astype(np.uint64)) for _ in range(n)]
+    expected = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    got = op2_near.common_counts(sets, None)
+    assert (got == expected)[~np.eye(n, dtype=bool)].all()
+    assert (op2_near.common_counts(sets[:1], sets[1:]) == expected[:1, 1:]).all()

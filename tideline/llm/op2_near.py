@@ -3,37 +3,48 @@
 A signature is read in several orders (trees): tree t starts at another place of the signature. Signatures sorted in
 one order put similar documents next to each other, and the longest common prefix of neighbours tells how similar they
 are. A region is the documents of one tree with one common prefix. Links are confirmed on the full shingle sets, in
-passes, each of which compares only documents that the passes before left in different components:
+passes, each of which looks only at documents that the passes before left in different components:
 
 1. every document with the hub of its regions, the one whose full prefixes are the most common (the text that others
-were copied from), 2. neighbours in all trees' orders, 3. in every region that still holds several components, all
-pairs across components. Documents of regions with many components are joined by the prefixes of their sets instead,
-which misses no pair: with shingles in one order, rare ones first, linked sets share one of their first shingles.
-A pair of similarity s shares a prefix of depth d in one of l trees with probability 1 - (1 - s**d)**l.
+were copied from), 2. neighbours in all trees' orders, as deep as their common prefix reaches, 3. regions that still
+hold several components. No pair of the third pass becomes a row: the open regions that components tie together are one
+job, whose task counts the common shingles of all of its documents at once and returns only the components that it
+joins. Larger groups are cut into blocks of a bounded size, a job is then two blocks, and blocks of one component, or
+whose sets differ too much in size, do not meet. Nothing is estimated there: what shares a prefix is compared exactly.
+
+A pair of similarity s shares a prefix of depth d in one of l trees with probability 1 - (1 - s**d)**l; the number of
+trees follows from the threshold so that a pair just at it is missed with a probability of at most MISS.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm._dist import Scratch, components
+from tideline.llm._dist import Scratch, components, ranked
 from tideline.llm._text import U64, Block, Rolling, blocks, mix
 
-HASHES = 64
-TREES = 16
 #: Least and greatest length of a common prefix, in signature values.
 DEPTH, FULL_DEPTH = 4, 8
-#: Components in a region from which its documents are joined by the prefixes of their sets.
-DENSE = 48
-#: Bits of the table of hashed shingle counts, which only decides the order of shingles.
-COUNT_BITS = 21
-_SEEDS = mix(np.arange(1, HASHES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
+#: Probability at most with which a pair just at the threshold shares no prefix.
+MISS = 1e-5
+#: Shingles of a block at most (or one document), and what a document counts beside its shingles; so 4,096 documents at most.
+BLOCK_SHINGLES, DOC_COST = 1 << 21, 512
+
+
+def trees_for(percent: int) -> int:
+    """Trees whose first DEPTH values are disjoint parts of a signature, so many that MISS holds."""
+    s = min(percent / 100, 0.99)
+    return max(8, math.ceil(math.log(MISS) / math.log(1 - s**DEPTH)))
+
+
+def _seeds(n: int) -> np.ndarray:
+    return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
 def shingle_sets(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,23 +65,23 @@ def shingle_sets(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(doc, np.arange(len(block.ids) + 1))
 
 
-def _signatures(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One row of HASHES 32-bit minima for each document with shingles."""
+def _signatures(h: np.ndarray, bounds: np.ndarray, values: int) -> np.ndarray:
+    """One row of 32-bit minima for each document with shingles."""
     full = np.flatnonzero(np.diff(bounds))
-    out = np.empty((len(full), HASHES), np.uint32)
-    for j, seed in enumerate(_SEEDS):
+    out = np.empty((len(full), values), np.uint32)
+    for j, seed in enumerate(_seeds(values)):
         x = h * seed
         out[:, j] = np.minimum.reduceat((x ^ (x >> U64(29))) * U64(0xBF58476D1CE4E5B9) >> U64(32), bounds[:-1][full]) if len(full) else []
     return out
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], size: int, values: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in blocks(batch):
             h, bounds = shingle_sets(block, size)
             n = np.diff(bounds)
             full = np.flatnonzero(n)
-            sig = _signatures(h, bounds)
+            sig = _signatures(h, bounds, values)
             sums = [np.concatenate(([U64(0)], np.cumsum(mix(h ^ U64(seed))))) for seed in (0x51ED270B, 0x2545F491)]
             keys = [(s[bounds[1:]] - s[bounds[:-1]]).astype(np.int64) for s in sums]
             sigs = [None] * len(n)
@@ -79,8 +90,12 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(block.ids), pa.array(n.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "key1", "key2", "sig"])
 
 
-def _label(tree: int) -> np.ndarray:
-    return (np.arange(FULL_DEPTH) + tree * HASHES // TREES) % HASHES
+def _signature_rows(batch: pa.RecordBatch, trees: int) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("sig").to_pylist()), ">u4").reshape(-1, trees * DEPTH)
+
+
+def _label(tree: int, trees: int) -> np.ndarray:
+    return (np.arange(FULL_DEPTH) + tree * DEPTH) % (trees * DEPTH)
 
 
 def _forest(batches: Iterator[pa.RecordBatch], trees: int) -> Iterator[pa.RecordBatch]:
@@ -88,56 +103,41 @@ def _forest(batches: Iterator[pa.RecordBatch], trees: int) -> Iterator[pa.Record
         ids = np.asarray(batch.column("doc_id"))
         if not len(ids):
             continue
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), ">u4").reshape(-1, HASHES)
+        sig = _signature_rows(batch, trees)
         for tree in range(trees):
-            labels = np.ascontiguousarray(sig[:, _label(tree)])
+            labels = np.ascontiguousarray(sig[:, _label(tree, trees)])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), tree, np.int32)), pa.array([x.tobytes() for x in labels], pa.binary()), pa.array(ids)], names=["tree", "label", "doc_id"])
 
 
+def common_prefix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Length of the longest common prefix of each row of labels with its partner."""
+    return np.cumprod(x == y, axis=1).sum(1)
+
+
+_NEAR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("depth", pa.int32()), ("tree", pa.int32()), ("label", pa.binary()), ("first", pa.bool_())])
+_NEAR_DDL = "a long, b long, depth int, tree int, label binary, first boolean"
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of neighbours in a sorted part whose labels share DEPTH values; and the part's first and last row (b null)."""
+    """Neighbours in a sorted part with the length of their common prefix, DEPTH at least; and the part's first and last row (b null)."""
     last = None
-    first = True
     for batch in batches:
         if not batch.num_rows:
             continue
         tree = np.asarray(batch.column("tree")).astype(np.int64)
         ids = np.asarray(batch.column("doc_id"))
-        labels = batch.column("label").to_pylist()
-        edge_a, edge_t, edge_l, edge_first = [], [], [], []
-        if first:
-            edge_a.append(int(ids[0])), edge_t.append(int(tree[0])), edge_l.append(labels[0]), edge_first.append(True)
-            first = False
-        if last is not None:
-            tree, ids, labels = np.concatenate(([last[0]], tree)), np.concatenate(([last[1]], ids)), [last[2], *labels]
+        labels = np.frombuffer(b"".join(batch.column("label").to_pylist()), ">u4").reshape(-1, FULL_DEPTH)
+        if last is None:
+            yield pa.RecordBatch.from_pylist([{"a": int(ids[0]), "tree": int(tree[0]), "label": labels[0].tobytes(), "first": True}], schema=_NEAR)
+        else:
+            tree, ids, labels = np.concatenate(([last[0]], tree)), np.concatenate(([last[1]], ids)), np.concatenate((last[2][None], labels))
         last = (tree[-1], ids[-1], labels[-1])
-        pre = np.array([x[: 4 * DEPTH] for x in labels], dtype=object)
-        hit = (tree[1:] == tree[:-1]) & (pre[1:] == pre[:-1]) & (ids[1:] != ids[:-1])
-        a, b = ids[:-1][hit], ids[1:][hit]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.bool_())], names=["a", "b", "tree", "label", "first"])
-        if edge_a:
-            yield pa.RecordBatch.from_arrays([pa.array(edge_a, pa.int64()), pa.nulls(1, pa.int64()), pa.array(edge_t, pa.int32()), pa.array(edge_l, pa.binary()), pa.array(edge_first, pa.bool_())], names=["a", "b", "tree", "label", "first"])
+        depth = common_prefix(labels[1:], labels[:-1])
+        hit = (tree[1:] == tree[:-1]) & (depth >= DEPTH) & (ids[1:] != ids[:-1])
+        a, b, n = ids[:-1][hit], ids[1:][hit], int(hit.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(depth[hit].astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.bool_())], schema=_NEAR)
     if last is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([int(last[1])], pa.int64()), pa.nulls(1, pa.int64()), pa.array([int(last[0])], pa.int32()), pa.array([last[2]], pa.binary()), pa.array([False], pa.bool_())], names=["a", "b", "tree", "label", "first"])
-
-
-#: Values of the wide signature, four bits each; it tells near from not quite near without the sets. Four words hold 64
-#: values, one bit of each to a word, so that a join's condition compares them in a few operations.
-WIDE, PLANES = 512, 4
-_WORDS = [f"w{j}" for j in range(WIDE // 64 * PLANES)]
-_WIDE_SEEDS = mix(np.arange(1001, WIDE + 1001, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
-
-
-def _wide(h: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
-    """The wide signature's words; zero for documents without shingles."""
-    full = np.flatnonzero(np.diff(bounds))
-    words = np.zeros((len(bounds) - 1, len(_WORDS)), U64)
-    for j, seed in enumerate(_WIDE_SEEDS if len(full) else ()):
-        x = h * seed
-        least = np.minimum.reduceat((x ^ (x >> U64(29))) * U64(0xBF58476D1CE4E5B9), bounds[:-1][full])
-        for plane in range(PLANES):
-            words[full, j // 64 * PLANES + plane] |= (mix(least) >> U64(plane) & U64(1)) << U64(j % 64)
-    return [pa.array(np.ascontiguousarray(w).view(np.int64)) for w in words.T]
+        yield pa.RecordBatch.from_pylist([{"a": int(last[1]), "tree": int(last[0]), "label": last[2].tobytes(), "first": False}], schema=_NEAR)
 
 
 #: Bits of the table that marks documents whose sets are needed, at most; a document marked by chance costs only its set.
@@ -163,21 +163,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, marked: np.ndarray) -> I
         hit = (marked[mark >> 6] >> (mark & 63).astype(U64)) & U64(1)
         for block in blocks(batch.filter(pa.array(hit.astype(bool)))):
             h, bounds = shingle_sets(block, size)
-            yield pa.RecordBatch.from_arrays([pa.array(block.ids), pa.array([h[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(block.ids))], pa.binary()), *_wide(h, bounds)], names=["doc_id", "shingles", *_WORDS])
-
-
-def _likely(percent: int):
-    """Keeps pairs whose signatures agree in so many places as a linked pair's do, less four and a half standard deviations."""
-    s = percent / 100
-    least = HASHES * s - 4.5 * np.sqrt(HASHES * s * (1 - s))
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
-
-    return keep
+            yield pa.RecordBatch.from_arrays([pa.array(block.ids), pa.array([h[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(block.ids))], pa.binary())], names=["doc_id", "shingles"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -202,18 +188,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratc
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
+    trees = trees_for(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    sketches = scratch.write(docs.mapInArrow(lambda it: _sketch(it, shingle), "doc_id long, n_shingles long, key1 long, key2 long, sig binary"))
+    sketches = scratch.write(docs.mapInArrow(lambda it: _sketch(it, shingle, trees * DEPTH), "doc_id long, n_shingles long, key1 long, key2 long, sig binary"))
     some = sketches.where("sig is not null")
     classes = scratch.write(some.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")))
     reps = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "sig")
 
-    forest = reps.select("doc_id", "sig").mapInArrow(lambda it: _forest(it, TREES), "tree int, label binary, doc_id long")
-    ordered = forest.repartitionByRange("tree", "label", "doc_id").sortWithinPartitions("tree", "label", "doc_id").withColumn("part", F.spark_partition_id())
-    near = scratch.write(ordered.mapInArrow(_neighbours, "a long, b long, tree int, label binary, first boolean").withColumn("part", F.spark_partition_id()))
+    forest = reps.select("doc_id", "sig").mapInArrow(lambda it: _forest(it, trees), "tree int, label binary, doc_id long")
+    ordered = forest.repartitionByRange("tree", "label", "doc_id").sortWithinPartitions("tree", "label", "doc_id")
+    near = scratch.write(ordered.mapInArrow(_neighbours, _NEAR_DDL).withColumn("part", F.spark_partition_id()))
     # Neighbours that a cut between two parts has separated: two rows for each part.
     edges = near.where("b is null").orderBy("part", F.col("first").desc()).collect()
-    over = [(min(x.a, y.a), max(x.a, y.a)) for x, y in zip(edges[1::2], edges[2::2], strict=False) if x.tree == y.tree and x.label[: 4 * DEPTH] == y.label[: 4 * DEPTH] and x.a != y.a]
+    over = []
+    for x, y in zip(edges[1::2], edges[2::2], strict=False):
+        if x.tree == y.tree and x.a != y.a and x.label[: 4 * DEPTH] == y.label[: 4 * DEPTH]:
+            over.append((min(x.a, y.a), max(x.a, y.a)))
     pairs = near.where("b is not null").select("a", "b")
     if over:
         pairs = pairs.unionByName(spark.createDataFrame(over, "a long, b long"))
@@ -222,23 +212,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratc
     # Whoever shares a prefix with anybody is the neighbour of somebody: only these need their sets.
     touched = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     marked = _marks(touched)
-    sets = scratch.write(docs.withColumn("mark", F.xxhash64("doc_id")).mapInArrow(lambda it: _sets(it, shingle, marked), "doc_id long, shingles binary, " + ", ".join(f"{w} long" for w in _WORDS)).dropDuplicates(["doc_id"]))
-    sigs = scratch.write(reps.join(touched, "doc_id", "left_semi").join(sets.select("doc_id", *_WORDS), "doc_id"))
+    sets = docs.withColumn("mark", F.xxhash64("doc_id")).mapInArrow(lambda it: _sets(it, shingle, marked), "doc_id long, shingles binary")
+    sets = scratch.write(sets.dropDuplicates(["doc_id"]))
+    sigs = scratch.write(reps.join(touched, "doc_id", "left_semi"))
 
     def links(candidates: DataFrame) -> DataFrame:
-        """Candidates that are linked: by size and signature what cannot be is put aside, then the sets decide."""
-        return confirmed(likely(candidates))
-
-    def likely(candidates: DataFrame) -> DataFrame:
-        x = sigs.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sig").alias("sig_a"))
-        y = sigs.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sig").alias("sig_b"))
-        fit = candidates.join(x, "a").join(y, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        return fit.select("a", "b", "sig_a", "sig_b").mapInArrow(_likely(percent), "a long, b long")
-
-    def confirmed(fit: DataFrame) -> DataFrame:
-        x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
-        y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-        return fit.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(lambda it: _confirmed(it, percent), "a long, b long")
+        """Candidates that are linked: by size what cannot be is put aside, then the sets decide."""
+        x, y = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}"), F.octet_length("shingles").alias(f"n_{c}")) for c in "ab")
+        fit = candidates.join(x, "a").join(y, "b").where(F.least("n_a", "n_b").cast("long") * 100 >= F.greatest("n_a", "n_b").cast("long") * percent)
+        return fit.select("a", "b", "set_a", "set_b").mapInArrow(lambda it: _confirmed(it, percent), "a long, b long")
 
     def across(candidates: DataFrame, of: DataFrame) -> DataFrame:
         """Candidates whose ends are still in different components."""
@@ -257,9 +239,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratc
         old = of.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
         return scratch.write(old.unionByName(merged.join(of, "node", "left_anti").select("node", "component")))
 
-    of = scratch.write(components(scratch.write(links(_hubs(sigs, scratch))), scratch))
+    of = scratch.write(components(scratch.write(links(_hubs(sigs, trees, scratch))), scratch))
     of = grown(of, scratch.write(links(across(pairs, of))))
-    of = grown(of, scratch.write(confirmed(_regions(sigs, sets, of, percent, scratch))))
+    jobs = _jobs(sigs, of, percent, trees, scratch)
+    filled = jobs.join(sets, "doc_id").repartition(*_JOB).sortWithinPartitions(*_JOB, "block")
+    of = grown(of, scratch.write(filled.select(*_JOB, "block", "component", "shingles").mapInArrow(lambda it: _joined(it, percent), "a long, b long")))
 
     members = sketches.select("doc_id", "n_shingles", "key1", "key2").join(classes.drop("sig"), ["key1", "key2", "n_shingles"], "left")
     members = members.withColumn("rep", F.coalesce("rep", "doc_id"))
@@ -267,105 +251,179 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratc
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A 64-bit key of each tree's prefix, for each depth from DEPTH to FULL_DEPTH."""
+def _prefixes(batches: Iterator[pa.RecordBatch], trees: int) -> Iterator[pa.RecordBatch]:
+    """64-bit keys of each tree's shortest and longest prefix."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), ">u4").reshape(-1, HASHES).astype(U64)
+        sig = _signature_rows(batch, trees).astype(U64)
         rest = [c for c in batch.schema.names if c != "sig"]
-        for tree in range(TREES):
+        for tree in range(trees):
             x = np.full(len(sig), tree + 1, U64)
             keys = []
-            for depth, j in enumerate(_label(tree), 1):
+            for depth, j in enumerate(_label(tree, trees), 1):
                 x = mix(x * U64(0x9E3779B97F4A7C15) + sig[:, j])
-                if depth >= DEPTH:
+                if depth in (DEPTH, FULL_DEPTH):
                     keys.append(x.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *map(pa.array, keys)], names=[*rest, *_KEYS])
-
-
-_KEYS = [f"p{d}" for d in range(DEPTH, FULL_DEPTH + 1)]
-_PREFIXES = ", ".join(f"{k} long" for k in _KEYS)
-
-
-def _alike(percent: int) -> Column:
-    """True where as many of the wide signatures' values agree (x and y) as a linked pair's do, less four and a half standard deviations."""
-    p = percent / 100 + (1 - percent / 100) / 2**PLANES
-    differ = F.lit(0)
-    for at in range(0, len(_WORDS), PLANES):
-        planes = [F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}")) for w in _WORDS[at : at + PLANES]]
-        differ = differ + F.bit_count(reduce(Column.bitwiseOR, planes))
-    return F.lit(WIDE) - differ >= F.lit(WIDE * p - 4.5 * float(np.sqrt(WIDE * p * (1 - p))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *map(pa.array, keys)], names=[*rest, "region", "full"])
 
 
-def _hubs(sigs: DataFrame, scratch: Scratch) -> DataFrame:
+def _hubs(sigs: DataFrame, trees: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of every document with the hub of each of its regions."""
-    rows = sigs.select("doc_id", "sig").mapInArrow(_prefixes, f"doc_id long, {_PREFIXES}").select("doc_id", _KEYS[0], _KEYS[-1])
-    common = rows.groupBy(_KEYS[-1]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    weighed = rows.join(common, _KEYS[-1], "left").groupBy("doc_id").agg(F.sum(F.coalesce("n", F.lit(0))).alias("weight"), F.collect_set(_KEYS[0]).alias("regions"))
+    rows = sigs.select("doc_id", "sig").mapInArrow(lambda it: _prefixes(it, trees), "doc_id long, region long, full long")
+    common = rows.groupBy("full").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    weighed = rows.join(common, "full", "left").groupBy("doc_id").agg(F.sum(F.coalesce("n", F.lit(0))).alias("weight"), F.collect_set("region").alias("regions"))
     rows = scratch.write(weighed).select("doc_id", F.struct("weight", -F.col("doc_id")).alias("rank"), F.explode("regions").alias("region"))
     hubs = rows.groupBy("region").agg((-F.max("rank")["col2"]).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     pairs = rows.join(hubs, "region").where("doc_id <> hub")
     return pairs.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
 
 
-def _slots(h: np.ndarray) -> np.ndarray:
-    return (mix(h) >> U64(64 - COUNT_BITS)).astype(np.int64)
+#: A job is one block, or two, of one group; groups are numbered apart by kind: 0 ties of open regions, 1 single regions.
+_JOB = ["kind", "key", "i", "j"]
 
 
-def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            slot, n = np.unique(_slots(np.frombuffer(b"".join(batch.column("shingles").to_pylist()), U64)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n)], names=["slot", "n"])
+def _jobs(sigs: DataFrame, of: DataFrame, percent: int, trees: int, scratch: Scratch) -> DataFrame:
+    """Documents of regions that hold several components, by job: _JOB, block, doc_id and component.
+
+    Components that share open regions are one group, so that a document goes out once and not once for each tree. A
+    group that is larger than a block is cut up, whole or by its regions, whichever sends fewer rows.
+    """
+    rows = sigs.join(of, sigs["doc_id"] == of["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), (F.col("n_shingles") + DOC_COST).alias("cost"), "sig")
+    rows = rows.mapInArrow(lambda it: _prefixes(it, trees), "doc_id long, component long, cost long, region long, full long").drop("full")
+    spans = rows.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("region", "least")
+    open_ = scratch.write(rows.join(spans, "region"))
+    tied = scratch.write(components(open_.select(F.col("component").alias("a"), F.col("least").alias("b")).where("a <> b").distinct(), scratch))
+    open_ = open_.drop("least").join(tied.select(F.col("node").alias("component"), F.col("component").alias("tie")), "component")
+
+    price = F.ceil(F.col("w") / BLOCK_SHINGLES) * F.col("w")
+    docs = scratch.write(open_.select("tie", "doc_id", "component", "cost").distinct())
+    whole = docs.groupBy("tie").agg(F.sum("cost").alias("w")).select("tie", F.col("w").alias("weight"), price.alias("whole"))
+    single = F.col("weight") <= BLOCK_SHINGLES
+    large = whole.where(~single)
+    by_region = open_.join(large.select("tie"), "tie").groupBy("tie", "region").agg(F.sum("cost").alias("w")).groupBy("tie").agg(F.sum(price).alias("parts"))
+    choice = scratch.write(large.join(by_region, "tie").select("tie", (F.col("whole") <= F.col("parts")).alias("as_whole")))
+    none = F.lit(0).cast("long")
+    fits = docs.join(whole.where(single).select("tie"), "tie").select(F.lit(0).alias("kind"), F.col("tie").alias("key"), none.alias("i"), none.alias("j"), none.alias("block"), "doc_id", "component")
+    if choice.isEmpty():
+        return fits
+
+    columns = ["doc_id", "component", "cost"]
+    groups = docs.join(choice.where("as_whole"), "tie").select(F.lit(0).alias("kind"), F.col("tie").alias("key"), *columns)
+    groups = groups.unionByName(open_.join(choice.where("not as_whole"), "tie").select(F.lit(1).alias("kind"), F.col("region").alias("key"), *columns))
+    order = ["kind", "key", "component", "cost", "doc_id"]
+    cut = scratch.write(ranked(groups, scratch, order, order[:2], "cost").select("kind", "key", *columns, F.expr(f"before_value div {BLOCK_SHINGLES}").alias("block")))
+    size = F.col("cost") - DOC_COST
+    stats = cut.groupBy("kind", "key", "block").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min(size).alias("short"), F.max(size).alias("long"))
+    x, y = (stats.select("kind", "key", *[F.col(n).alias(f"{n}_{c}") for n in ("block", "least", "most", "short", "long")]) for c in "xy")
+    met = x.join(y, ["kind", "key"]).where(
+        (F.col("block_x") <= F.col("block_y")) & (F.least("least_x", "least_y") < F.greatest("most_x", "most_y"))
+        & (F.col("long_x") * 100 >= F.col("short_y") * percent) & (F.col("long_y") * 100 >= F.col("short_x") * percent)
+    )
+    met = met.select("kind", "key", F.col("block_x").alias("i"), F.col("block_y").alias("j"), F.explode(F.array_distinct(F.array("block_x", "block_y"))).alias("block"))
+    return fits.unionByName(cut.join(met, ["kind", "key", "block"]).select(*_JOB, "block", "doc_id", "component"))
+
+
+#: Cells of the matrix of common shingles that are judged at once, columns that are multiplied at once, and pairs that
+#: rare shingles add at once.
+_CELLS, _COLUMNS, _RARE = 1 << 21, 1 << 11, 1 << 21
+
+
+def common_counts(x: list[np.ndarray], y: list[np.ndarray] | None) -> np.ndarray:
+    """How many values each set of x shares with each of y (of x, if None): by matrix product for values that many sets
+    hold, by listing their holders for the others."""
+    n, sets = len(x), [*x, *(y or [])]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    values = np.concatenate(sets)
+    doc = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+    order = np.argsort(values, kind="stable")
+    values, doc = values[order], doc[order]
+    new = np.concatenate(([True], values[1:] != values[:-1])) if len(values) else np.zeros(0, bool)
+    column = np.cumsum(new) - 1
+    many = np.bincount(column) if len(column) else np.zeros(0, np.int64)
+    left = np.bincount(column[doc < n], minlength=len(many)) if y is not None else many
+    right = many - left if y is not None else many
+    shared = (many > 1) & (left > 0) & (right > 0)
+    width = len(sets) - n if y is not None else n
+    out = np.zeros((n, width), np.float32)
+    often = shared & (many > max(8, len(sets) // 12))
+    place = np.cumsum(often) - 1
+    at = often[column]
+    rows, columns = doc[at], place[column[at]]
+    for low in range(0, int(often.sum()), _COLUMNS):
+        a, b = np.searchsorted(columns, (low, low + _COLUMNS))
+        part = np.zeros((len(sets), min(_COLUMNS, int(columns[b - 1]) - low + 1)), np.float32)
+        part[rows[a:b], columns[a:b] - low] = 1
+        out += part[:n] @ (part[n:] if y is not None else part).T
+    # Rare values: every holder on the left with every holder on the right.
+    rare = np.flatnonzero(shared & ~often)
+    first = np.concatenate(([0], np.cumsum(many)))
+    ends = np.cumsum(left[rare] * right[rare])
+    at = 0
+    while at < len(rare):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _RARE)))
+        some = rare[at:stop]
+        m, l, r = many[some], left[some], right[some]
+        pairs = l * r
+        of = np.repeat(np.arange(len(some)), pairs)
+        inside = np.arange(int(pairs.sum())) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+        base = first[some][of]
+        u, v = doc[base + inside // r[of]], doc[base + (m - r)[of] + inside % r[of]]
+        np.add.at(out, (u, v - (n if y is not None else 0)), 1)
+        at = stop
+    return out
+
+
+def joined_components(sets: list[np.ndarray], component: np.ndarray, block: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of components that links between the documents of a job join, as few as join them all."""
+    cut = int(np.searchsorted(block, block[-1])) if len(block) else 0  # blocks are in order: one, or two that meet
+    x, y = (sets[:cut], sets[cut:]) if cut else (sets, None)
+    common = common_counts(x, y)
+    n_x = np.array([len(s) for s in x], np.int64)
+    n_y = np.array([len(s) for s in y], np.int64) if cut else n_x
+    ids, label = np.unique(component, return_inverse=True)
+    parent = np.arange(len(ids))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    out = []
+    step = max(1, _CELLS // max(1, len(n_y)))
+    for at in range(0, len(n_x), step):
+        top = parent[label]
+        top_x, top_y = (top[:cut], top[cut:]) if cut else (top, top)
+        linked = (100 + percent) * common[at : at + step].astype(np.int64) >= percent * (n_x[at : at + step, None] + n_y[None, :])
+        linked &= top_x[at : at + step, None] != top_y[None, :]
+        u, v = np.nonzero(linked)
+        for a, b in np.unique(np.stack((top_x[at + u], top_y[v]), 1), axis=0).tolist():
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((int(ids[a]), int(ids[b])))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    return out
+
+
+def _joined(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of components (a, b) that the jobs of a sorted part join."""
 
+    def settled() -> pa.RecordBatch:
+        pairs = joined_components(sets, np.array(component, np.int64), np.array(block, np.int64), percent)
+        return pa.RecordBatch.from_arrays([pa.array([p[c] for p in pairs], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
-def _first_shingles(batches: Iterator[pa.RecordBatch], percent: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Of each set of n shingles the rarest n - ceil(n * percent / 100) + 1: a linked set shares at least the rest and one more."""
+    now, sets, component, block = None, [], [], []
     for batch in batches:
-        for i, x in enumerate(batch.column("shingles")):
-            h = np.frombuffer(x.as_buffer(), U64)
-            first = h[np.lexsort((h, counts[_slots(h)]))[: len(h) - -(-len(h) * percent // 100) + 1]]
-            rest = [pa.array(np.full(len(first), batch.column(c)[i].as_py(), np.int64)) for c in ("doc_id", "component")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(first.view(np.int64))], names=["doc_id", "component", "region"])
-
-
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows whose region holds several components, with their number."""
-    spans = rows.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.count(F.lit(1)).alias("components"))
-    return rows.join(spans.where("components > 1"), "region")
-
-
-def _regions(sigs: DataFrame, sets: DataFrame, of: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of documents of different components that share a region and may be linked by their signatures."""
-    rows = sigs.select("doc_id", "sig").join(of, sigs["doc_id"] == of["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "sig")
-    rows = rows.mapInArrow(_prefixes, f"doc_id long, component long, {_PREFIXES}").select("doc_id", "component", F.col(_KEYS[0]).alias("region"))
-    # Regions of a single component are done.
-    open_ = scratch.write(_shared(rows))
-    # Columns that cannot be null keep the condition's code short enough to be compiled.
-    wide = sigs.select("doc_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_shingles", *_WORDS)])
-
-    def alike(rows: DataFrame, *more: str) -> DataFrame:
-        x, y = (rows.select(F.col("region").alias(f"r_{c}"), F.col("doc_id").alias(c), F.col("component").alias(f"c_{c}"), F.col("n_shingles").alias(f"n_{c}"), *[F.col(m).alias(f"{m}_{c}") for m in more], *[F.col(w).alias(f"{c}_{w}") for w in _WORDS]) for c in "xy")
-        fit = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
-        on = (F.col("r_x") == F.col("r_y")) & (F.col("c_x") < F.col("c_y")) & fit & _alike(percent)
-        # Each pair comes from the first region that its documents share.
-        on = on & (F.array_min(F.array_intersect("all_x", "all_y")) == F.col("r_x")) if more else on
-        return x.join(y, on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-    by_doc = open_.where(F.col("components") <= DENSE).groupBy("doc_id", "component").agg(F.array_sort(F.collect_set("region")).alias("all"))
-    found = alike(by_doc.join(wide, "doc_id").withColumn("region", F.explode("all")), "all")
-
-    dense = open_.where(F.col("components") > DENSE).select("doc_id", "component").distinct()
-    if dense.isEmpty():
-        return found
-    crowd = scratch.write(sets.select("doc_id", "shingles").join(dense, "doc_id"))
-    slots = crowd.select("shingles").mapInArrow(_slot_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
-    counts = np.ones(1 << COUNT_BITS, np.int32)
-    counts[np.asarray(slots.column("slot"))] = np.minimum(np.asarray(slots.column("n")), 2**31 - 1)
-    first = crowd.mapInArrow(lambda it: _first_shingles(it, percent, counts), "doc_id long, component long, region long")
-    crowded = _shared(scratch.write(first)).drop("components").join(wide, "doc_id")
-    return found.unionByName(alike(crowded)).distinct()
+        for *job, b, c, s in zip(*(batch.column(n).to_pylist() for n in (*_JOB, "block", "component", "shingles")), strict=True):
+            if job != now:
+                if len(set(component)) > 1:
+                    yield settled()
+                now, sets, component, block = job, [], [], []
+            sets.append(np.frombuffer(s, U64)), component.append(c), block.append(b)
+    if len(set(component)) > 1:
+        yield settled()
 
 
 def query(spark, sf_dir: str) -> DataFrame:
