@@ -354,3 +354,38 @@ def test_common_counts(n, monkeypatch):
     got = op2_near.common_counts(sets, None)
     assert (got == expected)[~np.eye(n, dtype=bool)].all()
     assert (op2_near.common_counts(sets[:1], sets[1:]) == expected[:1, 1:]).all()
+
+
+@pytest.mark.parametrize("lengths", ["unit", "gaussian", "lognormal"])
+def test_graph_recall_at_shard_size(lengths):
+    """A shard far larger than the beam, with vectors of equal, similar and very different lengths."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(10_000, 32))
+    if lengths == "unit":
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if lengths == "lognormal":
+        x *= np.exp(rng.normal(0, 0.7, size=(len(x), 1)))
+    graph = op3_ann.ProductGraph(x.astype(np.float32))
+    queries = np.arange(0, len(x), 50)
+    s = x[queries] @ x.T
+    s[np.arange(len(queries)), queries] = -np.inf
+    truth = np.argsort(-s, 1)[:, :20]
+    found, _ = graph.search((x[queries] / np.abs(x).max()).astype(np.float32), graph.beam)
+    hits = 0
+    for i, q in enumerate(queries):
+        ids = found[i][(found[i] >= 0) & (found[i] != q)]
+        hits += len(set(ids[np.argsort(-s[i, ids])][:20]) & set(truth[i]))
+    assert graph.beam < 1000 and hits >= 0.95 * 20 * len(queries) and graph.recall >= op3_ann.RECALL
+
+
+def test_neighbours_in_double_and_ties(spark):
+    """Products beyond the reach of float32, and different vectors with equal products: smaller ids come first."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(-2, 3, size=(300, 4)) * 2.0**200
+    x[:, 0] += 2.0**197
+    got = op3_ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas()
+    for q in range(0, 300, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        mine = got[got.query_id == q].sort_values("rank")
+        assert mine.vec_id.tolist() == np.lexsort((np.arange(300), -s))[:20].tolist() and mine.score.tolist() == s[mine.vec_id].tolist()

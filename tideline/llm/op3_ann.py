@@ -5,7 +5,11 @@ dealt into shards by hash. In a shard, nodes enter the graph in growing batches:
 proposes neighbours, and pruning keeps an edge only if no kept neighbour is nearer to its end by the factor alpha.
 Queries are searched in every shard in blocks; what a beam finds is scored exactly, and the shards' best are merged.
 
-Inner products are searched as distances: each vector gets one more component that makes all of a shard equally long.
+Nearness is the inner product, which is no distance: long vectors are near to much that they are not close to. So the
+pruned graph is that of directions (vectors of length one), and every node gets more edges to what a beam search over
+that graph, led by inner products, finds for the node itself; searches start from the medoid and the longest vectors.
+Each shard then measures itself: SAMPLE of its nodes are searched and compared with all products, and the beam is
+doubled until RECALL of the neighbours are found; beam and recall stand in the index.
 """
 
 from __future__ import annotations
@@ -16,39 +20,37 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.llm._dist import Scratch
 
 #: Rows of a shard at most, so that its vectors and graph stay in a task's memory; and shards at least.
 SHARD_ROWS, SHARDS = 100_000, 12
-#: Queries of a block.
-QUERY_ROWS = 2048
+#: Queries of a block that is sent to a shard, and of a step of its search.
+BLOCK_ROWS, QUERY_ROWS = 32_768, 2048
+#: Nodes that a shard measures its recall with, neighbours of each, and the share of them that its beam has to find.
+SAMPLE, NEAREST, RECALL = 128, 20, 0.96
 
 
 class Graph:
+    """Nodes with `degree` edges each (`out`, -1: none), searched from `entries` by nearness: `norm` less twice the product."""
+
     def __init__(self, x: np.ndarray, degree: int = 32, beam: int = 64, alpha: float = 1.2, seed: int = 3):
         """x: vectors as rows (float32); distances are squared Euclidean ones."""
-        self.x, self.degree, self.beam, self.alpha = np.ascontiguousarray(x, np.float32), degree, beam, alpha
+        self.x, self.degree = np.ascontiguousarray(x, np.float32), degree
         self.norm = np.einsum("ij,ij->i", self.x, self.x)
         n = len(x)
         self.out = np.full((n, degree), -1, np.int32)
-        self.entry = int(np.argmin(((self.x - self.x.mean(0)) ** 2).sum(1))) if n else 0
+        self.entries = np.array([np.argmin(((self.x - self.x.mean(0)) ** 2).sum(1))] if n else [], np.int64)
         order = np.random.Generator(np.random.PCG64(seed)).permutation(n)
         for alpha_now in (1.0, alpha):
             at, size = 0, (32 if alpha_now == 1.0 else 1024)
             while at < n:
                 batch = order[at : at + size]
-                self._insert(batch, alpha_now)
+                self._insert(batch, alpha_now, beam)
                 at += len(batch)
                 size = min(2 * size, 1024)
 
-    @classmethod
-    def load(cls, x: np.ndarray, out: np.ndarray, entry: int) -> Graph:
-        g = cls.__new__(cls)
-        g.x, g.out, g.entry, g.degree = x, out, entry, out.shape[1]
-        g.norm = np.einsum("ij,ij->i", x, x)
-        return g
-
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The beam's nodes (-1: none) and distances for each query, nearest first."""
         step = max(8, min(1024, 48_000_000 // max(1, len(self.x))))
@@ -63,14 +65,16 @@ class Graph:
     def _search(self, q: np.ndarray, beam: int, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
         b, n = len(q), len(self.x)
         rows = np.arange(b)[:, None]
+        starts = np.broadcast_to(self.entries[:beam], (b, min(beam, len(self.entries))))
+        k = starts.shape[1]
         ids = np.full((b, beam), -1, np.int64)
         dist = np.full((b, beam), np.inf, np.float32)
         done = np.ones((b, beam), bool)
-        ids[:, 0] = self.entry
-        dist[:, 0] = self._distance(q, ids[:, :1])[:, 0]
-        done[:, 0] = False
+        near = self._distance(q, starts)
+        order = np.argsort(near, 1, kind="stable")
+        ids[:, :k], dist[:, :k], done[:, :k] = np.take_along_axis(starts, order, 1), np.take_along_axis(near, order, 1), False
         seen = np.zeros((b, n), bool)
-        seen[:, self.entry] = True
+        seen[:, self.entries[:beam]] = True
         live = np.arange(b)
         while len(live):
             # The nearest few that are not expanded yet.
@@ -122,8 +126,8 @@ class Graph:
             alive[rows, first] = False
         return out
 
-    def _insert(self, nodes: np.ndarray, alpha: float) -> None:
-        found, _ = self.search(self.x[nodes], self.beam)
+    def _insert(self, nodes: np.ndarray, alpha: float, beam: int) -> None:
+        found, _ = self.search(self.x[nodes], beam)
         cand = np.concatenate((found, self.out[nodes]), 1)
         new = np.concatenate([self._prune(nodes[i : i + 512], cand[i : i + 512], alpha) for i in range(0, len(nodes), 512)])
         self.out[nodes] = new
@@ -143,53 +147,108 @@ class Graph:
             self.out[w] = self._prune(w, both, alpha)
 
 
-def lengthened(x: np.ndarray) -> np.ndarray:
-    """Vectors with a component more, after which the nearest to (q, 0) are those with the largest inner product with q."""
-    square = (x.astype(np.float64) ** 2).sum(1)
-    more = np.sqrt(np.maximum(square.max(initial=0.0) - square, 0))
-    return np.concatenate((x, more[:, None].astype(np.float32)), 1)
+class ProductGraph(Graph):
+    """A graph whose beam search finds the largest inner products."""
 
+    def __init__(self, x: np.ndarray, degree: int = 32, more: int = 16, tops: int = 16, beam: int = 64):
+        """x: vectors as rows, none of them zero; `more`: edges by product; `tops`: longest vectors to start from."""
+        small = x / np.abs(x).max() if len(x) else x
+        length = np.sqrt((small.astype(np.float64) ** 2).sum(1))
+        top = np.abs(x).max(1, keepdims=True) if len(x) else np.ones((0, 1))
+        unit = x / top
+        directions = Graph(unit / np.linalg.norm(unit, axis=1, keepdims=True), degree, beam)
+        self._hold(small)
+        self.degree = degree
+        self.entries = np.unique(np.concatenate((directions.entries, np.argsort(-length, kind="stable")[:tops])))
+        self.out = np.concatenate((directions.out, np.full((len(x), more), -1, np.int32)), 1)
+        found = np.concatenate([self._by_product(np.arange(i, min(i + 1024, len(x))), more, beam) for i in range(0, len(x), 1024)]) if len(x) else self.out[:, degree:]
+        self.out[:, degree:] = found
+        self.beam, self.recall = self._measured(96)
+
+    def _hold(self, small: np.ndarray) -> None:
+        self.x, self.norm = np.ascontiguousarray(small, np.float32), np.zeros(len(small), np.float32)
+
+    @classmethod
+    def load(cls, x: np.ndarray, out: np.ndarray, entries: np.ndarray, beam: int) -> ProductGraph:
+        g = cls.__new__(cls)
+        g._hold(x / np.abs(x).max() if len(x) else x)
+        g.out, g.entries, g.beam = out, entries, beam
+        return g
+
+    def _by_product(self, nodes: np.ndarray, more: int, beam: int) -> np.ndarray:
+        """Of what the search finds for each node the nearest that are not among its edges yet."""
+        found, _ = self.search(self.x[nodes], beam)
+        known = (found[:, :, None] == self.out[nodes][:, None, :]).any(2) | (found == nodes[:, None]) | (found < 0)
+        order = np.argsort(known, 1, kind="stable")[:, :more]
+        out = np.full((len(nodes), more), -1, np.int32)
+        out[:, : order.shape[1]] = np.where(np.take_along_axis(known, order, 1), -1, np.take_along_axis(found, order, 1))
+        return out
+
+    def _measured(self, beam: int) -> tuple[int, float]:
+        """The beam that finds RECALL of the sampled nodes' neighbours, and the share that it finds."""
+        n = len(self.x)
+        sample = np.unique(np.linspace(0, n - 1, min(n, SAMPLE)).astype(np.int64)) if n else np.zeros(0, np.int64)
+        k = min(NEAREST, n)
+        products = self.x[sample] @ self.x.T
+        least = -np.sort(-products, 1)[:, k - 1 : k] if n else products
+        while n:
+            found, _ = self.search(self.x[sample], min(beam, n))
+            got = np.where(found >= 0, np.einsum("bcd,bd->bc", self.x[found], self.x[sample]), -np.inf)
+            recall = float((np.sort(got, 1)[:, -k:] >= least - 1e-6 * np.abs(least)).mean())
+            if recall >= RECALL or beam >= n:
+                return min(beam, n), recall
+            beam *= 2
+        return beam, 1.0
 
-def _build(table: pa.Table) -> pa.Table:
-    table = table.sort_by("cid")
-    x = np.array(table.column("embedding").to_pylist(), np.float32)
-    graph = Graph(lengthened(x))
-    members = table.column("members").to_pylist()
-    return pa.table({
-        "dim": pa.array([x.shape[1]], pa.int32()), "shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "entry": pa.array([graph.entry], pa.int32()),
-        "x": pa.array([x.tobytes()], pa.binary()), "graph": pa.array([graph.out.tobytes()], pa.binary()),
-        "members": pa.array([np.array([m for row in members for m in row], np.int64).tobytes()], pa.binary()), "counts": pa.array([np.array([len(row) for row in members], np.int32).tobytes()], pa.binary()),
-    })
 
+def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    return np.asarray(column.combine_chunks().flatten()).reshape(n, -1)
 
-INDEX = "dim int, shard int, entry int, x binary, graph binary, members binary, counts binary"
+
+INDEX = "dim int, shard int, beam int, recall double, wide boolean, entries binary, x binary, graph binary, members binary, counts binary"
+_INDEX = pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("beam", pa.int32()), ("recall", pa.float64()), ("wide", pa.bool_()), *((c, pa.binary()) for c in ("entries", "x", "graph", "members", "counts"))])
+
+
+def _build(table: pa.Table) -> pa.Table:
+    table = table.sort_by("cid")
+    x = _matrix(table.column("embedding"), table.num_rows)
+    graph = ProductGraph(x)
+    members = table.column("members").combine_chunks()
+    row = {
+        "dim": x.shape[1], "shard": table.column("shard")[0].as_py(), "beam": graph.beam, "recall": graph.recall, "wide": x.dtype == np.float64, "entries": graph.entries.tobytes(), "x": x.tobytes(),
+        "graph": graph.out.tobytes(), "members": np.asarray(members.flatten()).astype(np.int64).tobytes(), "counts": np.asarray(members.value_lengths()).astype(np.int32).tobytes(),
+    }
+    return pa.Table.from_pylist([row], schema=_INDEX)
 
 
 def _pack(table: pa.Table) -> pa.Table:
-    x = np.array(table.column("embedding").to_pylist(), np.float32)
+    x = _matrix(table.column("embedding"), table.num_rows)
     return pa.table({"dim": pa.array([x.shape[1]], pa.int32()), "q": pa.array([x.tobytes()], pa.binary()), "qid": pa.array([np.asarray(table.column("cid")).astype(np.int64).tobytes()], pa.binary())})
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int, beam: int) -> Iterator[pa.RecordBatch]:
+    """The k best of each query of a block in a shard; of equal products the smaller ids, whatever the beam's order."""
     for batch in batches:
         for row in batch.to_pylist():
-            x = np.frombuffer(row["x"], np.float32).reshape(-1, row["dim"])
-            q = np.frombuffer(row["q"], np.float32).reshape(-1, row["dim"])
-            graph = Graph.load(lengthened(x), np.frombuffer(row["graph"], np.int32).reshape(len(x), -1), row["entry"])
+            x, q = (np.frombuffer(row[c], np.float64 if row["wide"] else np.float32).reshape(-1, row["dim"]) for c in "xq")
+            graph = ProductGraph.load(x, np.frombuffer(row["graph"], np.int32).reshape(len(x), -1), np.frombuffer(row["entries"], np.int64), row["beam"])
             counts = np.frombuffer(row["counts"], np.int32)
             members, firsts = np.frombuffer(row["members"], np.int64), np.concatenate(([0], np.cumsum(counts)))
-            found, _ = graph.search(np.concatenate((q, np.zeros((len(q), 1), np.float32)), 1), min(beam, len(x)))
-            wide = x.astype(np.float64)
-            qids, vec, scores = [], [], []
-            for i, qid in enumerate(np.frombuffer(row["qid"], np.int64).tolist()):
-                ids = found[i][found[i] >= 0]
-                s = wide[ids] @ q[i].astype(np.float64)
-                best = ids[np.argsort(-s, kind="stable")][: 2 * k]
-                s = np.repeat(wide[best] @ q[i].astype(np.float64), counts[best])
-                who = np.concatenate([members[firsts[j] : firsts[j + 1]] for j in best]) if len(best) else members[:0]
-                top = np.lexsort((who, -s))[:k]
-                qids.append(np.full(len(top), qid)), vec.append(who[top]), scores.append(s[top])
-            if qids:
+            names = np.frombuffer(row["qid"], np.int64)
+            for at in range(0, len(q), QUERY_ROWS):
+                block = q[at : at + QUERY_ROWS].astype(np.float64)
+                found, _ = graph.search((block / np.maximum(np.abs(block).max(1, keepdims=True), 1e-300)).astype(np.float32), min(max(beam, graph.beam), len(x)))
+                qids, vec, scores = [], [], []
+                for qid, one, ids in zip(names[at : at + QUERY_ROWS].tolist(), block, found, strict=True):
+                    ids = ids[ids >= 0]
+                    s = x[ids].astype(np.float64) @ one
+                    if len(ids) > k:  # nodes below the k-th product cannot be among the best
+                        best = s >= np.partition(s, len(s) - k)[len(s) - k]
+                        ids, s = ids[best], s[best]
+                    who = np.concatenate([members[firsts[j] : firsts[j + 1]] for j in ids]) if len(ids) else members[:0]
+                    s = np.repeat(s, counts[ids])
+                    top = np.lexsort((who, -s))[:k]
+                    qids.append(np.full(len(top), qid)), vec.append(who[top]), scores.append(s[top])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (qids, vec, scores)], names=["cid", "vec_id", "score"])
 
 
@@ -201,14 +260,16 @@ def classes(vectors: DataFrame, k: int) -> DataFrame:
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
-    """Vectors that take part: not null, not zero, all components finite."""
-    e = F.col("embedding").cast("array<float>")
+    """Vectors that take part: not null, not zero, all components finite; doubles stay doubles, other numbers are floats."""
+    kind = embeddings.schema["embedding"].dataType
+    wide = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.DoubleType, T.LongType, T.DecimalType))
+    e = F.col("embedding").cast("array<double>" if wide else "array<float>")
     bad = F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     return embeddings.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding")).where((F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda v: v != 0))
 
 
 def build_index(embeddings: DataFrame, k: int = 21, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
-    """The index, one row for each shard, and the classes of equal vectors; every usable row is in it."""
+    """The index, one row for each shard with its beam and measured recall, and the classes of equal vectors; every usable row is in it."""
     scratch = scratch or Scratch(embeddings.sparkSession)
     folded = scratch.write(classes(usable(embeddings), k))
     shards = max(SHARDS, -(-folded.count() // SHARD_ROWS))
@@ -222,7 +283,8 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, beam: int = 96,
 
     Takes vec_id and embedding; other columns are not looked at. Rows with a null id, or a vector that is null, empty,
     zero or holds null or non-finite components, take no part; vectors of different lengths do not meet; with fewer
-    candidates than k all are returned. A row that repeats an id and vector counts once.
+    candidates than k all are returned. A row that repeats an id and vector counts once. `beam` is the least beam; a shard
+    that needs a wider one to find RECALL of its sample uses that. A block of queries meets each shard once.
     """
     spark = embeddings.sparkSession
     scratch = scratch or Scratch(spark)
@@ -230,7 +292,7 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, beam: int = 96,
     index, folded = build_index(usable_rows, k + 1, scratch)
     queries = scratch.write(usable_rows.where(F.col("vec_id") % every == 0).join(folded.select("embedding", "cid", "dim"), "embedding").select("vec_id", "cid", "dim"))
     distinct = folded.join(queries.select("cid").distinct(), "cid", "left_semi")
-    n = max(1, -(-distinct.count() // QUERY_ROWS))
+    n = max(1, -(-distinct.count() // BLOCK_ROWS))
     packed = distinct.groupBy("dim", F.pmod(F.xxhash64("cid"), F.lit(n)).alias("block")).applyInArrow(_pack, "dim int, q binary, qid binary")
     shards = index.select("dim", "shard").distinct()
     found = packed.join(shards, "dim").join(index, ["dim", "shard"]).mapInArrow(lambda it: _search(it, k + 1, beam), "cid long, vec_id long, score double")
