@@ -105,13 +105,14 @@ class Graph:
         return ids, dist
 
     def _prune(self, nodes: np.ndarray, cand: np.ndarray, alpha: float) -> np.ndarray:
-        """Neighbours of each node from its candidates (-1: none)."""
+        """Neighbours of each node from its candidates (-1: none): diverse ones first, then the nearest of the others."""
         cand = np.sort(np.where(cand == nodes[:, None], -1, cand), 1)
         cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
         d = np.where(cand >= 0, self._distance(self.x[nodes], cand) + self.norm[nodes][:, None], np.inf)
         order = np.argsort(d, 1, kind="stable")[:, : 3 * self.degree]
         cand, d = np.take_along_axis(cand, order, 1), np.take_along_axis(d, order, 1)
         vectors, norms, alive = self.x[cand], self.norm[cand], np.isfinite(d)
+        spare = alive.copy()
         out = np.full((len(nodes), self.degree), -1, np.int32)
         rows = np.arange(len(nodes))
         for k in range(self.degree):
@@ -124,6 +125,12 @@ class Graph:
             between = norms + norms[rows, first][:, None] - 2 * np.einsum("bcd,bd->bc", vectors, p)
             alive &= ~((alpha * alpha * between <= d) & has[:, None])
             alive[rows, first] = False
+            spare[rows[has], first[has]] = False
+        kept = (out >= 0).sum(1)
+        order = np.argsort(~spare, 1, kind="stable")[:, : self.degree]
+        at = np.arange(order.shape[1])[None, :]
+        r, c = np.nonzero((at < spare.sum(1)[:, None]) & (at + kept[:, None] < self.degree))
+        out[r, kept[r] + c] = cand[r, order[r, c]]
         return out
 
     def _insert(self, nodes: np.ndarray, alpha: float, beam: int) -> None:
