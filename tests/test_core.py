@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 import numpy as np
 import pytest
@@ -98,7 +100,7 @@ def test_scan_cost():
     assert plans.scan_cost(1000, 0, 100, 10, 0, 50, 1) == 50 and plans.scan_cost(0, None, None, 0) == 1
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.ORACLES) - {"rollup_store", "compaction_equivalence", "hypertable_scan"}))
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
     for t in ("events", "lineitem", "customer", "nation"):
@@ -110,3 +112,124 @@ def test_queries_match_sql(spark, name):
     table = got.select(*columns).toArrow()
     rows = sorted(repr(tuple(x)) for x in zip(*(table.column(c).to_pylist() for c in columns)))
     assert rows == sorted(repr(tuple(x)) for x in expected.project(", ".join(columns)).fetchall())
+
+
+def _store(spark, path, n=120):
+    store = Timeseries(spark, f"file://{path}/store")
+    store.install()
+    store.create_hypertable("t", chunk="1m")
+    points = spark.range(n).select(F.lit("t").alias("metric_name"), F.lit('{"d":"a"}').alias("tags_json"), (F.col("id") * 1_000_000).alias("ts_us"), F.col("id").cast("double").alias("value_real"), F.lit(0).alias("quality"), F.col("id").alias("seq"))
+    return store, points
+
+
+def test_failed_and_open_writes_are_not_seen(spark, tmp_path):
+    store, points = _store(spark, tmp_path)
+    store.write_points("t", points)
+    with pytest.raises(errors.InvalidPoint, match="value is not finite"):
+        store.write_points("t", points.withColumn("value_real", F.when(F.col("seq") == 77, F.lit(float("inf"))).otherwise(F.col("value_real"))))
+    assert store.scan("t").count() == 120 and store.segments("t").agg(F.sum("row_count")).first()[0] == 120
+    # A writer that died between samples and commit: unseen, and gone after recovery.
+    with store._transaction("t") as number:
+        store._write("t", points, 60_000_000, number)
+        assert store.scan("t").count() == 120 and store.segments("t").agg(F.sum("row_count")).first()[0] == 120
+        assert store.recover() == 1 and not store.files.matching(f"{store.path('t')}/*/write_id={number}")
+    assert store.scan("t").count() == 120
+
+
+def test_deletes_updates_and_rollups(spark, tmp_path):
+    store, points = _store(spark, tmp_path)
+    store.write_points("t", points)
+    for name in ("a", "b"):
+        store.create_rollup_policy(name, "t", "1m", ["count", "max"])
+        store.refresh_rollup(name)
+    assert store.catalog.rows("invalidations") == []
+    store.delete_rows("t", F.col("ts_us") >= 60_000_000)
+    assert store.refresh_rollup("a") == 1 and [tuple(r)[3:] for r in store.query_rollup("a").collect()] == [(60, 59.0)]
+    assert store.catalog.rows("invalidations") and store.refresh_rollup("a") == 0
+    store.refresh_rollup("b")
+    assert store.catalog.rows("invalidations") == [] and [tuple(r)[3:] for r in store.query_rollup("b").collect()] == [(60, 59.0)]
+    store.update_rows("t", F.col("value_real") == 59, F.lit(7.5))
+    store.refresh_rollup("a")
+    assert [tuple(r)[3:] for r in store.query_rollup("a").collect()] == [(60, 58.0)] and store.segments("t").first()["max"] == 58
+    # A rewrite reads no chunk but those it touches.
+    for df in (store.points("t").where(F.col("chunk_start_us").isin([0])), store.summaries("t", 60_000_000, [(0, 59_999_999)]), store.summaries("t", 30_000_000, [(0, 59_999_999)])):
+        assert re.search(r"PartitionFilters: \[[^\]]*chunk_start_us", df._jdf.queryExecution().toString())
+
+
+def test_summaries_keep_ties_and_finite_counts(spark):
+    rows = [("m", "{}", 5, 1.0, 0, 0), ("m", "{}", 5, 2.0, 0, 1), ("m", "{}", 7, float("nan"), 0, 2), ("m", "{}", 7, float("inf"), 0, 3)]
+    parts = [spark.createDataFrame([r], POINTS) for r in rows]
+    for order in (parts, parts[::-1]):
+        merged = aggregate.merge(aggregate.summarise(order[0], 10).unionByName(aggregate.summarise(order[1], 10)).unionByName(aggregate.summarise(order[2], 10)).unionByName(aggregate.summarise(order[3], 10)), 10)
+        row = aggregate.finished(merged, ["first", "last", "avg", "count"]).first()
+        assert (row["first"], row["last"], row["avg"], row["count"]) == (1.0, 2.0, 1.5, 4)
+
+
+def test_line_protocol_routes_and_escapes(spark, tmp_path):
+    store, _ = _store(spark, tmp_path)
+    text = [r"cpu.load,host=a\,b x=1,w=100 1778000000", r"ev\ ents v=2i,s=\"a b\" 1778000000".replace('\\"', '"'), r"cpu v=3 1778000000", "m\u0001x v=4 1778000000"]
+    stats = store.write_line_protocol(spark.createDataFrame([(x,) for x in text], "value string"))
+    assert {k: v.points for k, v in stats.items()} == {"cpu.load": 2, "ev ents": 1, "cpu": 1, "m\u0001x": 1}
+    got = {(r["metric_name"], r["tags_json"], r["value_real"]) for m in stats for r in store.scan(tags.table_name(m)).collect()}
+    assert got == {("cpu.load", '{"host":"a,b"}', 1.0), ("cpu.load.w", '{"host":"a,b"}', 100.0), ("ev ents", "{}", 2.0), ("cpu", "{}", 3.0), ("m\u0001x", "{}", 4.0)}
+    store.write_line_protocol(spark.createDataFrame([("x v=1,w=100 5",)], "value string"), table="forced")
+    assert {(r["metric_name"], r["value_real"]) for r in store.scan("forced").collect()} == {("forced", 1.0), ("forced.w", 100.0)}
+    with pytest.raises(Exception, match="line protocol: bad field value"):
+        store.write_line_protocol(spark.createDataFrame([("ok v=1 5",), ("bad v=x 5",)], "value string"))
+    names = ["cpu.load", "cpu_load", "cpu_x2e_load", "cpu load", "1a", "é"]
+    assert len({tags.table_name(n) for n in names}) == len(names) and tags.table_name("cpu_load") == "cpu_load"
+
+
+def test_control_characters_in_tags(spark):
+    text = "".join(map(chr, range(1, 40))) + "\\é"
+    t = F.array(F.struct(F.lit("k").alias("key"), F.lit(text).alias("value")))
+    assert spark.range(1).select(tags.tags_json(t)).first()[0] == tags.canonical_tags([("k", text)])
+
+
+def test_jobs_run_once_and_only_if_run(spark, tmp_path):
+    store, points = _store(spark, tmp_path)
+    store.write_points("t", points), store.write_points("t", points, "late")
+    store.create_rollup_policy("r", "t", "1m", ["count"])
+    with pytest.raises(errors.TidelineError):
+        store.enqueue("dance", "t")
+    for kind in ("compact", "rollup_refresh", "retention", "stats", "downsample"):
+        store.enqueue(kind, "t")
+    none = {"retention": False, "downsample": False, "stats": False}
+    assert store.run_maintenance(0, **none, budget_ms=-1)["stopped"] == 1 and {j["state"] for j in store.catalog.rows("jobs")} == {"queued"}
+    report = store.run_maintenance(0, **none)
+    assert (report["jobs"], report["compacted"], report["rollups"], report["tables"]) == (5, 1, 2, 1) and {j["state"] for j in store.catalog.rows("jobs")} == {"done"}
+    assert all(len(store.files.names(f"{store.path('t')}/chunk_start_us={c}")) == 1 for c in (0, 60_000_000)) and store.scan("t").count() == 240
+    assert [r["count"] for r in store.query_rollup("r").collect()] == [120, 120]
+    assert store.table_statistics().first()["row_count"] == 240 and store.run_maintenance(0, **none)["jobs"] == 0
+
+
+def test_replayed_batches_are_left_out(spark, tmp_path):
+    store, points = _store(spark, tmp_path)
+    assert store.write_points("t", points, batch=("s", 0)).points == 120 and store.write_points("t", points, batch=("s", 0)).points == 0
+    assert store.write_points("t", points, batch=("s", 1)).points == 120 and store.write_points("t", points, batch=("other", 0)).points == 120
+
+
+def test_checksums_and_estimates(spark):
+    import zlib
+
+    for r in queries.QUERIES["crc32_props"](spark, SF).join(spark.read.parquet(f"{SF}/events.parquet").select("event_id", "props"), "event_id").collect():
+        assert r["crc"] == zlib.crc32(r["props"].encode())
+    values = {}
+    for r in queries.events(spark, SF).collect():
+        values.setdefault((r["event_type"], r["ts_us"] - r["ts_us"] % queries.DAY), []).append(r["value_real"])
+    for r in queries.QUERIES["approx_percentile"](spark, SF).collect():
+        x = np.sort(values[r["event_type"], r["bucket_us"]])
+        for name, q in (("approx_p50", 0.5), ("approx_p95", 0.95)):  # within one place of the exact rank
+            assert x[max(0, int(np.ceil(q * len(x))) - 2)] <= r[name] <= x[min(len(x) - 1, int(np.ceil(q * len(x))))]
+
+
+def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
+    from tideline.sources import storage
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: type("C", (), {"get": staticmethod(lambda k: None)}))
+
+    fake = type("S", (), {"conf": type("C", (), {"get": staticmethod(lambda k, d=None: None)}), "sparkContext": Context})
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_dir(fake)

@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 from tideline.errors import InvalidIdentifier, InvalidInterval, InvalidPoint
 
 
+#: Fixed by JSON: two-character escapes, and six-character ones for all other control characters.
+_JSON_CODES = [("\\", "\\\\"), ('"', '\\"'), ("\b", "\\b"), ("\f", "\\f"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]
+_JSON_CODES += [(chr(c), f"\\u{c:04x}") for c in range(32) if chr(c) not in "\b\f\n\r\t"]
+
+
 def _escaped(text: Column) -> Column:
     """A JSON string literal."""
     out = text
-    for raw, code in (("\\", "\\\\"), ('"', '\\"'), ("\b", "\\b"), ("\f", "\\f"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+    for raw, code in _JSON_CODES:
         out = F.replace(out, F.lit(raw), F.lit(code))
+    out = F.when(text.rlike(r'[\x00-\x1f"\\]'), out).otherwise(text)  # few texts need any
     return F.concat(F.lit('"'), out, F.lit('"'))
 
 
@@ -49,6 +55,17 @@ def identifier(name: str) -> str:
     return name
 
 
+def table_name(measurement: str) -> str:
+    """The name of a measurement's table: itself if it is an identifier, else with every other character (and whatever
+    looks like this code) as _x<hex>_, so that different measurements have different tables."""
+    def code(c: str) -> str:
+        return f"_x{ord(c):x}_"
+
+    safe = re.sub(r"_(?=x[0-9a-f]+_)", code("_"), measurement)
+    safe = re.sub(r"[^A-Za-z0-9_]", lambda m: code(m[0]), safe, flags=re.ASCII)
+    return identifier(code(safe[0]) + safe[1:] if safe[:1].isdigit() else safe)
+
+
 def unquoted(text: str) -> str:
     """Without one pair of matching quotes around it."""
     text = text.strip()

@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.errors import TidelineError, UnknownAggregate
 from tideline.functions.time import bucket, width_us
@@ -23,14 +24,24 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
 
 
-def _at(value: Column, ts: Column, seq: Column, last: bool) -> Column:
+def arrival(df: DataFrame, ts: str, seq: str) -> Column:
+    """A sortable key of (time, arrival). One number where both are integers, so that groups are hashed and not sorted."""
+    whole = all(isinstance(df.schema[c].dataType, T.IntegralType) for c in (ts, seq))
+    return F.col(ts).cast("decimal(38,0)") * F.lit(str(_STEP)).cast("decimal(20,0)") + F.col(seq) if whole else F.struct(ts, seq)
+
+
+#: More than the span of 64-bit arrival numbers; times it, microseconds of 160,000 years fit 38 digits.
+_STEP = 2 * 10**19
+
+
+def _at(value: Column, order: Column, last: bool) -> Column:
     v = finite(value)
-    return (F.max_by if last else F.min_by)(v, F.when(v.isNotNull(), F.struct(ts, seq)))
+    return (F.max_by if last else F.min_by)(v, F.when(v.isNotNull(), order))
 
 
-def _states(value: Column, ts: Column, seq: Column) -> dict[str, Column]:
+def _states(value: Column, ts: Column, order: Column) -> dict[str, Column]:
     v = finite(value)
-    first, last = _at(value, ts, seq, False), _at(value, ts, seq, True)
+    first, last = _at(value, order, False), _at(value, order, True)
     span = (F.max(F.when(v.isNotNull(), ts)) - F.min(F.when(v.isNotNull(), ts))) / 1e6
     return {
         "count": F.count(value), "sum": F.sum(v), "avg": F.avg(v), "min": F.min(v), "max": F.max(v), "first": first, "last": last,
@@ -43,12 +54,12 @@ def _states(value: Column, ts: Column, seq: Column) -> dict[str, Column]:
 NAMES = ("count", "sum", "avg", "min", "max", "first", "last", "stddev", "variance", "median", "p95", "approx_p50", "approx_p95", "delta", "rate")
 
 
-def aggregate(name: str, value: Column, ts: Column, seq: Column) -> Column:
-    """The aggregate of that name; an unknown name is an error."""
+def aggregate(name: str, value: Column, ts: Column, order: Column) -> Column:
+    """The aggregate of that name; an unknown name is an error. `order` is a key of time, then arrival."""
     key = name.strip().lower()
     if key not in NAMES:
         raise UnknownAggregate(f"unknown aggregate: {name!r}")
-    return _states(value, ts, seq)[key]
+    return _states(value, ts, order)[key]
 
 
 def encode_names(names: Sequence[str]) -> str:
@@ -65,29 +76,34 @@ def encode_names(names: Sequence[str]) -> str:
 def bucketed(points: DataFrame, width: str | int, names: Sequence[str], by: Sequence[str] = SERIES, value: str = "value_real", ts: str = "ts_us", seq: str = "seq") -> DataFrame:
     """by + bucket_us + one column for each aggregate. One shuffle, on the group's keys, after partial aggregation."""
     keys = [*by, bucket(F.col(ts), width_us(width)).alias("bucket_us")]
-    return points.groupBy(*keys).agg(*[aggregate(n, F.col(value), F.col(ts), F.col(seq)).alias(n) for n in names])
+    order = arrival(points, ts, seq)
+    return points.groupBy(*keys).agg(*[aggregate(n, F.col(value), F.col(ts), order).alias(n) for n in names])
 
 
-#: What a summary stores so that coarser ones can be made of it, and how each is merged.
-SUMMARY = ("count", "sum", "min", "max", "first_ts_us", "first", "last_ts_us", "last")
+#: What a summary stores so that coarser ones can be made of it. `count` counts values, `n_finite` those that are finite;
+#: first and last keep their arrival, so that ties of time are resolved as they are among samples.
+SUMMARY = ("count", "n_finite", "sum", "min", "max", "first_ts_us", "first_seq", "first", "last_ts_us", "last_seq", "last")
 
 
-def summarise(points: DataFrame, width: str | int, by: Sequence[str] = SERIES, value: str = "value_real", ts: str = "ts_us", seq: str = "seq") -> DataFrame:
-    """by + bucket_us + SUMMARY."""
-    v, t = finite(F.col(value)), F.col(ts)
-    states = _states(F.col(value), t, F.col(seq))
-    here = F.when(v.isNotNull(), t)
+def summarise(points: DataFrame, width: str | int, by: Sequence[str] = SERIES, value: str = "value_real", ts: str = "ts_us", seq: str = "seq", more: Sequence[Column] = ()) -> DataFrame:
+    """by + bucket_us + SUMMARY, and other aggregates (`more`) made in the same pass."""
+    v, t, order = finite(F.col(value)), F.col(ts), arrival(points, ts, seq)
+    here, when = F.when(v.isNotNull(), t), F.when(v.isNotNull(), order)
     return points.groupBy(*by, bucket(t, width_us(width)).alias("bucket_us")).agg(
-        states["count"].alias("count"), states["sum"].alias("sum"), states["min"].alias("min"), states["max"].alias("max"),
-        F.min(here).alias("first_ts_us"), states["first"].alias("first"), F.max(here).alias("last_ts_us"), states["last"].alias("last"),
+        F.count(value).alias("count"), F.count(v).alias("n_finite"), F.sum(v).alias("sum"), F.min(v).alias("min"), F.max(v).alias("max"),
+        F.min(here).alias("first_ts_us"), F.min_by(seq, when).alias("first_seq"), F.min_by(v, when).alias("first"),
+        F.max(here).alias("last_ts_us"), F.max_by(seq, when).alias("last_seq"), F.max_by(v, when).alias("last"), *more,
     )
 
 
-def merge(summaries: DataFrame, width: str | int, by: Sequence[str] = SERIES) -> DataFrame:
+def merge(summaries: DataFrame, width: str | int, by: Sequence[str] = SERIES, more: Sequence[Column] = ()) -> DataFrame:
     """Summaries of coarser buckets; width must be a multiple of theirs."""
+    some = F.col("n_finite") > 0
+    early, late = (F.when(some, arrival(summaries, f"{e}_ts_us", f"{e}_seq")) for e in ("first", "last"))
     return summaries.groupBy(*by, bucket(F.col("bucket_us"), width_us(width)).alias("bucket_us")).agg(
-        F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"),
-        F.min("first_ts_us").alias("first_ts_us"), F.min_by("first", "first_ts_us").alias("first"), F.max("last_ts_us").alias("last_ts_us"), F.max_by("last", "last_ts_us").alias("last"),
+        *[F.sum(c).alias(c) for c in ("count", "n_finite", "sum")], F.min("min").alias("min"), F.max("max").alias("max"),
+        F.min("first_ts_us").alias("first_ts_us"), F.min_by("first_seq", early).alias("first_seq"), F.min_by("first", early).alias("first"),
+        F.max("last_ts_us").alias("last_ts_us"), F.max_by("last_seq", late).alias("last_seq"), F.max_by("last", late).alias("last"), *more,
     )
 
 
@@ -95,7 +111,7 @@ def finished(summaries: DataFrame, names: Sequence[str]) -> DataFrame:
     """Aggregates that a summary can give: count, sum, avg, min, max, first, last, delta."""
     made: dict[str, Callable[[], Column]] = {
         **{n: (lambda n=n: F.col(n)) for n in ("count", "sum", "min", "max", "first", "last")},
-        "avg": lambda: F.col("sum") / F.when(F.col("count") > 0, F.col("count")), "delta": lambda: F.col("last") - F.col("first"),
+        "avg": lambda: F.col("sum") / F.when(F.col("n_finite") > 0, F.col("n_finite")), "delta": lambda: F.col("last") - F.col("first"),
     }
     for n in names:
         if n not in made:

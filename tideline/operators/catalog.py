@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tideline.functions.tags import series_id
 from tideline.functions.time import bucket, width_us
-from tideline.operators.aggregate import SERIES, finite, summarise
+from tideline.operators.aggregate import SERIES, finite, merge, summarise
 
 
 def series(points: DataFrame) -> DataFrame:
@@ -36,10 +35,22 @@ def chunks(points: DataFrame, width: str | int, ts: str = "ts_us") -> DataFrame:
 
 def segments(points: DataFrame, width: str | int) -> DataFrame:
     """One row for each series and chunk: closed time bounds, rows, min, max and sum; with first and last to merge on."""
-    size = width_us(width)
-    s = summarise(points, size)
-    extra = points.groupBy(*SERIES, bucket(F.col("ts_us"), size).alias("bucket_us")).agg(F.count(F.lit(1)).alias("row_count"), F.min("ts_us").alias("segment_start_us"), F.max("ts_us").alias("segment_end_us"))
-    return extra.join(s, [*SERIES, "bucket_us"]).withColumnRenamed("bucket_us", "chunk_start_us")
+    bounds = (F.count(F.lit(1)).alias("row_count"), F.min("ts_us").alias("segment_start_us"), F.max("ts_us").alias("segment_end_us"))
+    return summarise(points, width, more=bounds).withColumnRenamed("bucket_us", "chunk_start_us")
+
+
+def merged_segments(found: DataFrame, width: str | int) -> DataFrame:
+    """One row for each series and chunk of segments that several writes have left."""
+    bounds = (F.sum("row_count").alias("row_count"), F.min("segment_start_us").alias("segment_start_us"), F.max("segment_end_us").alias("segment_end_us"))
+    return merge(found.withColumnRenamed("chunk_start_us", "bucket_us"), width, more=bounds).withColumnRenamed("bucket_us", "chunk_start_us")
+
+
+def segment_statistics(found: DataFrame) -> DataFrame:
+    """As `statistics`, from segments: their rows, chunks, series and time bounds. One row for each metric."""
+    return found.groupBy("metric_name").agg(
+        F.sum("row_count").alias("row_count"), F.countDistinct("chunk_start_us").alias("chunk_count"), F.countDistinct("tags_json").alias("series_count"),
+        F.min("segment_start_us").alias("min_time_us"), F.max("segment_end_us").alias("max_time_us"),
+    )
 
 
 def segment_columns(found: DataFrame) -> DataFrame:
@@ -97,9 +108,3 @@ def tag_cardinality(points: DataFrame, exact: bool = True) -> DataFrame:
 def series_statistics(points: DataFrame) -> DataFrame:
     """By series: rows, finite values, first and last time."""
     return points.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("row_count"), F.count(finite(F.col("value_real"))).alias("n_values"), F.min("ts_us").alias("min_time_us"), F.max("ts_us").alias("max_time_us"))
-
-
-def latest_rows(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Upsert on a small catalog table: the newest row of each key."""
-    w = Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in order])
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

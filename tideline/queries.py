@@ -127,6 +127,16 @@ def _(spark, d):
     return bucketed(lines(spark, d), "30d", ("count", "sum", "first", "last"), ["supplier"])
 
 
+@query("rollup_ties_lineitem", """
+select l_suppkey as supplier, epoch_us(l_shipdate) - epoch_us(l_shipdate) % 2592000000000 as bucket_us, count(l_quantity)::bigint as count, sum(l_quantity) as sum, round(avg(l_quantity), 6) as avg,
+  arg_min(l_quantity, (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice)) as first, arg_max(l_quantity, (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice)) as last
+from lineitem group by 1, 2""")
+def _(spark, d):
+    """Months from days: lines of one day are ties, which the days' summaries keep apart by arrival."""
+    by = ["supplier"]
+    return rounded(finished(merge(summarise(lines(spark, d), "1d", by), "30d", by), ("count", "sum", "avg", "first", "last")), "avg")
+
+
 @query("adhoc_count_avg", """select '{"event_type":"' || event_type || '","user_id":"' || user_id || '"}' as tags_json, epoch_us(ts) - epoch_us(ts) % 604800000000 as bucket_us,
   count(*)::bigint as count, round(avg(value), 6) as avg from events group by 1, 2""")
 def _(spark, d):
@@ -295,10 +305,9 @@ def _(spark, d):
     return catalog.invalidations(events(spark, d).withColumn("batch", F.expr("event_id div 500")))
 
 
-@query("dirty_buckets", f"select distinct unnest(generate_series(a - a % {HOUR}, b - b % {HOUR}, {HOUR})) as bucket_us from (select min(epoch_us(ts)) as a, max(epoch_us(ts)) as b from events where event_id % 7 = 0 group by event_id // 2000)")
+@query("dirty_buckets", f"select distinct unnest(generate_series(a - a % {HOUR}, b - b % {HOUR}, {HOUR})) as bucket_us from (select min(epoch_us(ts)) as a, max(epoch_us(ts)) as b from events group by event_id // 2000)")
 def _(spark, d):
-    late = events(spark, d).where("event_id % 7 = 0").withColumn("batch", F.expr("event_id div 2000"))
-    return catalog.dirty_buckets(catalog.invalidations(late), "1h")
+    return catalog.dirty_buckets(catalog.invalidations(events(spark, d).withColumn("batch", F.expr("event_id div 2000"))), "1h")
 
 
 @query("dedupe_last_write_wins", """
@@ -547,11 +556,163 @@ def _(spark, d):
     return store.scan("events").select("tags_json", "ts_us", "value_real", "seq")
 
 
-def _streamed(spark: SparkSession, d: str, shape: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    source = pin_utc(spark).readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/[e]vents.parquet")
-    out, state = fresh_path(spark, "stream"), fresh_path(spark, "state")
-    write = lambda batch, _: batch.write.mode("overwrite").parquet(out)
-    running = shape(source).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+# -- through the store
+
+_LEFT = "(select event_id, event_type, user_id, ts, case when value > 100 then value + 1 else value end as value from events where value >= 5)"
+
+
+@query("rollup_after_delete", " union all ".join(f"select '{n}' as rollup, {_TAGS} as tags_json, epoch_us(ts) - epoch_us(ts) % {w} as bucket_us, {_AGG} from {_LEFT} group by 1, 2, 3" for n, w in (("daily", DAY), ("weekly", 7 * DAY))))
+def _(spark, d):
+    """Two rollups of one table, refreshed at different times while rows are deleted and changed."""
+    store = _store(spark, d)
+    for name, width in (("daily", "1d"), ("weekly", "1w")):
+        store.create_rollup_policy(name, "events", width, _ALL)
+        store.refresh_rollup(name)
+    store.delete_rows("events", F.col("value_real") < 5)
+    store.refresh_rollup("daily")
+    store.update_rows("events", F.col("value_real") > 100, F.col("value_real") + 1)
+    found = []
+    for name in ("daily", "weekly"):
+        store.refresh_rollup(name)
+        found.append(store.query_rollup(name).select(F.lit(name).alias("rollup"), "tags_json", "bucket_us", *_ALL))
+    return _seven(found[0].unionByName(found[1]))
+
+
+@query("retention_store", f"select {_TAGS} as tags_json, epoch_us(ts) as ts_us, value as value_real from events where epoch_us(ts) - epoch_us(ts) % {DAY} + {DAY} > {TO_US - 3 * DAY}")
+def _(spark, d):
+    store = _store(spark, d)
+    store.add_retention_policy("events", "3d")
+    store.run_retention(TO_US)
+    return store.scan("events").select("tags_json", "ts_us", "value_real")
+
+
+@query("segments_store_overlap", f"""
+select {_TAGS} as tags_json, epoch_us(ts) - epoch_us(ts) % {DAY} as chunk_start_us, count(*)::bigint as row_count, min(value) as min, max(value) as max,
+  arg_min(value, (ts, event_id)) as first, arg_max(value, (ts, event_id)) as last from events group by 1, 2 having max(epoch_us(ts)) >= {FROM_US} and min(epoch_us(ts)) < {TO_US}""")
+def _(spark, d):
+    return _store(spark, d).overlapping_segments("events", FROM_US, TO_US).select("tags_json", "chunk_start_us", "row_count", "min", "max", "first", "last")
+
+
+@query("store_scan_tags", f"select {_TAGS} as tags_json, epoch_us(ts) as ts_us, value as value_real from events where {_RANGE} and event_type in ('click', 'error')")
+def _(spark, d):
+    return _store(spark, d).scan("events", FROM_US, TO_US, tags={"event_type": ["click", "error"]}).select("tags_json", "ts_us", "value_real")
+
+
+@query("store_first_point", f"select {_TAGS} as tags_json, epoch_us(ts) as ts_us, value as value_real from events order by ts, event_id limit 1")
+def _(spark, d):
+    return _store(spark, d).first_point("events").select("tags_json", "ts_us", "value_real")
+
+
+@query("store_series_tags", f"select distinct {_TAGS} as tags_json, k as tag_key, v as tag_value from (select event_type, user_id, unnest(['event_type', 'user_id']) as k, unnest([event_type, user_id::varchar]) as v from events)")
+def _(spark, d):
+    """The tables of series and tags after two writes that share most series."""
+    store = _store(spark, d)
+    return store.series("events").join(store.tags("events"), ["series_id", "metric_name"]).select("tags_json", "tag_key", "tag_value")
+
+
+@query("store_statistics", f"select 'events' as table_name, {_STATS} from events")
+def _(spark, d):
+    store = _store(spark, d)
+    store.enqueue("stats", "events")
+    store.run_maintenance(TO_US, retention=False, downsample=False, stats=False)
+    return store.table_statistics().drop("chunk_us")
+
+
+@query("view_aggregate", f"select 'aggregate' as view, {_TAGS} as tags_json, epoch_us(ts) - epoch_us(ts) % {DAY} as bucket_us, count(value)::bigint as count, max(value) as max from events group by 1, 2, 3 union all select 'rollup', {_TAGS}, epoch_us(ts) - epoch_us(ts) % {DAY}, count(value)::bigint, max(value) from events group by 1, 2, 3")
+def _(spark, d):
+    store = _store(spark, d)
+    store.create_rollup_policy("daily", "events", "1d", ("count", "max"))
+    store.refresh_rollup("daily")
+    store.register_views("events", "1d", ("count", "max"))
+    return spark.sql("select 'aggregate' as view, tags_json, bucket_us, count, max from events_aggregate union all select 'rollup', tags_json, bucket_us, count, max from daily_rollup")
+
+
+_METRIC = "cpu load.a"
+
+
+def _event_lines(df: DataFrame) -> DataFrame:
+    field = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    fields = F.array(field("value", F.col("value").cast("string")), field("n", F.concat(F.col("user_id").cast("string"), F.lit("i"))), field("ok", F.lit("true")))
+    return df.select(line_protocol.render(F.lit(_METRIC), tag_functions.tags_of(event_type=F.col("event_type")), fields, micros(F.col("ts")) * 1000).alias("value"))
+
+
+_LINES = f"""
+select m as metric_name, '{{"event_type":"' || event_type || '"}}' as tags_json, epoch_us(ts) as ts_us, v as value_real from (
+  select *, unnest(['{_METRIC}', '{_METRIC}.n']) as m, unnest([value, user_id::double]) as v from events)"""
+
+
+@query("line_protocol_store", f"select 'own' as route, * from ({_LINES}) union all select 'forced', replace(metric_name, '{_METRIC}', 'other'), tags_json, ts_us, value_real from ({_LINES})")
+def _(spark, d):
+    """Lines of a measurement with a space and a dot and of several fields, to its own table and to one that is named; read back."""
+    text = _event_lines(pin_utc(spark).read.parquet(f"{d}/events.parquet"))
+    store = Timeseries(spark, fresh_path(spark, "store"))
+    store.install()
+    store.write_line_protocol(text)
+    store.write_line_protocol(text, table="other")
+    own, forced = (store.scan(t).select(F.lit(n).alias("route"), "metric_name", "tags_json", "ts_us", "value_real") for n, t in (("own", tag_functions.table_name(_METRIC)), ("forced", "other")))
+    return own.unionByName(forced)
+
+
+@query("line_protocol_units", "select event_id, epoch_us(ts) // 1000000 * 1000000 as ts_s, epoch_us(ts) // 1000 * 1000 as ts_ms, epoch_us(ts) as ts_us, epoch_us(ts) as ts_ns, round(value, 6) as value from events")
+def _(spark, d):
+    """Times of 10, 13, 16 and 19 digits; the value is the first field."""
+    raw = pin_utc(spark).read.parquet(f"{d}/events.parquet")
+    t = micros(F.col("ts"))
+    times = {"ts_s": F.expr("unix_micros(timestamp(ts)) div 1000000"), "ts_ms": F.expr("unix_micros(timestamp(ts)) div 1000"), "ts_us": t, "ts_ns": t * 1000}
+    units = F.explode(F.array(*[F.struct(F.lit(n).alias("unit"), F.concat_ws(" ", F.lit("m"), F.concat(F.lit("v="), F.col("value").cast("string"), F.lit(",n=1i")), v.cast("string")).alias("line")) for n, v in times.items()])).alias("x")
+    parsed = line_protocol.first_field(line_protocol.parse(raw.select("event_id", units).select("event_id", "x.unit", "x.line"), "line"))
+    wide = parsed.groupBy("event_id").agg(*[F.max(F.when(F.col("unit") == n, F.col("ts_us"))).alias(n) for n in times], F.max("first_field.value.f64").alias("value"))
+    return rounded(wide, "value")
+
+
+# -- streams
+
+def _source(spark: SparkSession, d: str) -> DataFrame:
+    return pin_utc(spark).readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/[e]vents.parquet")
+
+
+def _narrow(df: DataFrame) -> DataFrame:
+    tags = tag_functions.tags_json(tag_functions.tags_of(user_id=F.col("user_id"), event_type=F.col("event_type")))
+    return points_of(df, F.lit("events"), tags, micros(F.col("ts")), F.col("value"), F.col("event_id"))
+
+
+@query("streaming_ingest", f"select {_TAGS} as tags_json, epoch_us(ts) as ts_us, value as value_real, event_id as seq from events")
+def _(spark, d):
+    """A stream appended to a hypertable, and its last batch once more, as after a failure: stored once."""
+    store, state = Timeseries(pin_utc(spark), fresh_path(spark, "store")), fresh_path(spark, "state")
+    store.install()
+    store.create_hypertable("events", chunk="1d")
+    streams.ingest(_narrow(_source(spark, d)), store, "events", state).awaitTermination()
+    store.write_points("events", _narrow(spark.read.parquet(f"{d}/events.parquet")), "stream", batch=(state, 0))
+    return store.scan("events").select("tags_json", "ts_us", "value_real", "seq")
+
+
+@query("streaming_ingest_lines", _LINES)
+def _(spark, d):
+    store = Timeseries(pin_utc(spark), fresh_path(spark, "store"))
+    store.install()
+    streams.ingest_lines(_event_lines(_source(spark, d)), store, fresh_path(spark, "state")).awaitTermination()
+    return store.scan(tag_functions.table_name(_METRIC)).select("metric_name", "tags_json", "ts_us", "value_real")
+
+
+@query("streaming_session", f"""
+select user_id, min(epoch_us(ts)) as bucket_us, count(value)::bigint as count, round(sum(value), 2) as sum, min(value) as min, max(value) as max, round(avg(value), 6) as avg from (
+  select *, sum(s) over (partition by user_id order by ts, event_id) as n from (
+    select *, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) <= {6 * HOUR} then 0 else 1 end as s from events)) group by user_id, n""")
+def _(spark, d):
+    return _seven(_streamed(spark, d, lambda s: streams.sessions(s, "6 hours", "1 hour", ["user_id"])))
+
+
+@query("streaming_moving_avg", f"select event_id, round(avg(value) {_OVER}, 6) as moving_avg from events")
+def _(spark, d):
+    shape = lambda s: streams.moving_average(s.select("user_id", micros(F.col("ts")).alias("ts_us"), "value", "event_id"), "1d", ["user_id"], value="value", seq="event_id")
+    return rounded(_streamed(spark, d, shape, "append").select("event_id", "moving_avg"), "moving_avg")
+
+
+def _streamed(spark: SparkSession, d: str, shape: Callable[[DataFrame], DataFrame], mode: str = "complete") -> DataFrame:
+    source, out, state = _source(spark, d), fresh_path(spark, "stream"), fresh_path(spark, "state")
+    write = lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    running = shape(source).writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.read.parquet(out)
 

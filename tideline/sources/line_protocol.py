@@ -18,8 +18,16 @@ _FIELD = rf'{_TOKEN}=(?:"(?:\\.|[^"\\])*"|(?:\\.|[^\\ ,"])*)'
 _LINE = rf"^{_HEAD} +({_FIELD}(?:,{_FIELD})*) +(-?[0-9]+)\s*$"
 
 
+#: Puts the four parts of a line apart; a line that holds it itself takes a slower way.
+_APART = "\u0001"
+
+
+def _backslash(text: Column) -> Column:
+    return F.contains(text, F.lit("\\"))
+
+
 def _unescaped(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\(.)", "$1")
+    return F.when(_backslash(text), F.regexp_replace(text, r"\\(.)", "$1")).otherwise(text)
 
 
 def timestamp_us(text: Column, legacy: bool = False) -> Column:
@@ -31,20 +39,28 @@ def timestamp_us(text: Column, legacy: bool = False) -> Column:
 
 
 def _value(text: Column) -> Column:
-    """A typed field value; type is null where the text is none."""
-    quoted, whole = text.rlike(r'^"(?:\\.|[^"\\])*"$'), text.rlike(r"^[+-]?[0-9]+i$")
-    number = F.when(text.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), finite(text.try_cast("double")))
-    i64 = F.when(whole, F.regexp_replace(text, "i$", "").try_cast("long"))
+    """A typed field value; type is null where the text is none. Whatever begins with a quote is quoted, as the line's form tells."""
+    quoted, whole = text.startswith('"'), text.endswith("i")
+    number = F.when(~quoted & ~whole & text.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), finite(text.try_cast("double")))
+    i64 = F.when(~quoted & whole & text.rlike(r"^[+-]?[0-9]+i$"), F.substring(text, F.lit(1), F.length(text) - 1).try_cast("long"))
     flag = F.when(text.isin("true", "false"), text == "true")
-    string = F.when(quoted, _unescaped(F.regexp_replace(text, r'^"|"$', "")))
-    kind = F.when(i64.isNotNull(), "i64").when(flag.isNotNull(), "bool").when(quoted, "text").when(number.isNotNull(), "f64")
+    string = F.when(quoted, _unescaped(F.substring(text, F.lit(2), F.length(text) - 2)))
+    kind = F.when(quoted, "text").when(i64.isNotNull(), "i64").when(flag.isNotNull(), "bool").when(number.isNotNull(), "f64")
     return F.struct(kind.alias("type"), i64.alias("i64"), number.alias("f64"), flag.alias("b"), string.alias("s"))
 
 
 def _pair(text: Column) -> tuple[Column, Column]:
     """Key and value around the first equals sign that is not escaped."""
-    key = F.regexp_extract(text, rf"^({_TOKEN})=", 1)
-    return _unescaped(key), F.regexp_replace(text, rf"^{_TOKEN}=", "")
+    at = F.locate("=", text)
+    key = F.when(_backslash(text), F.regexp_extract(text, rf"^({_TOKEN})=", 1)).otherwise(F.substring(text, F.lit(1), at - 1))
+    value = F.when(_backslash(text), F.regexp_replace(text, rf"^{_TOKEN}=", "")).otherwise(F.substring(text, at + 1, F.length(text)))
+    return _unescaped(key), value
+
+
+def _parts(text: Column) -> Column:
+    """Measurement, tags, fields and time of a line, as they stand, by one match; anything but four parts is no line."""
+    slow = F.when(text.rlike(_LINE), F.array(*[F.regexp_extract(text, _LINE, i) for i in range(1, 5)]))
+    return F.when(F.contains(text, F.lit(_APART)), slow).otherwise(F.split(F.regexp_replace(text, _LINE, _APART.join(f"${i}" for i in range(1, 5))), _APART))
 
 
 def parse(lines: DataFrame, column: str = "value", legacy_ts: bool = False) -> DataFrame:
@@ -53,10 +69,6 @@ def parse(lines: DataFrame, column: str = "value", legacy_ts: bool = False) -> D
     Blank lines and lines that start with # are left out. A bad line stays, with its error, so that callers can split
     good from rejected or fail (see `strict`).
     """
-    text = F.trim(F.col(column))
-    part = lambda i: F.regexp_extract(text, _LINE, i)
-    tags = F.filter(F.split(F.regexp_replace(F.regexp_replace(part(2), r"^,", ""), r"(?<!\\),", "\u0001"), "\u0001"), lambda t: t != "")
-    fields = F.regexp_extract_all(part(3), F.lit(f"({_FIELD})"), 1)
 
     def tag(t: Column) -> Column:
         k, v = _pair(t)
@@ -66,9 +78,14 @@ def parse(lines: DataFrame, column: str = "value", legacy_ts: bool = False) -> D
         k, v = _pair(f)
         return F.struct(k.alias("key"), _value(v).alias("value"))
 
-    out = lines.where((text != "") & ~text.startswith("#")).select(
-        "*", text.rlike(_LINE).alias("_ok"), _unescaped(part(1)).alias("measurement"), F.transform(tags, tag).alias("tags"),
-        F.transform(F.filter(fields, lambda f: f != ""), field).alias("fields"), timestamp_us(part(4), legacy_ts).alias("ts_us"),
+    text = F.trim(F.col(column))
+    split = lines.where((text != "") & ~text.startswith("#")).select("*", _parts(text).alias("_p")).withColumn("_ok", F.coalesce(F.size("_p") == 4, F.lit(False)))
+    part = lambda i: F.when(F.col("_ok"), F.get("_p", F.lit(i))).otherwise("")
+    tags = F.when(part(1) != "", F.regexp_extract_all(part(1), F.lit(rf",({_TOKEN}={_TOKEN})"), 1)).otherwise(F.expr("cast(array() as array<string>)"))
+    fields = F.regexp_extract_all(part(2), F.lit(f"({_FIELD})"), 1)
+    out = split.select(
+        *lines.columns, "_ok", _unescaped(part(0)).alias("measurement"), F.transform(tags, tag).alias("tags"),
+        F.transform(F.filter(fields, lambda f: f != ""), field).alias("fields"), timestamp_us(part(3), legacy_ts).alias("ts_us"),
     )
     error = (
         F.when(~F.col("_ok"), "malformed line").when(F.trim("measurement") == "", "blank measurement").when(F.exists("tags", lambda t: t["key"] == ""), "empty tag key")
@@ -79,20 +96,25 @@ def parse(lines: DataFrame, column: str = "value", legacy_ts: bool = False) -> D
 
 
 def strict(points: DataFrame) -> DataFrame:
-    """Fails the job at the first bad line."""
-    return points.where(F.coalesce(F.assert_true(F.col("error").isNull(), F.concat(F.lit("line protocol: "), F.col("error"))).isNull(), F.lit(True)))
-
-
-def samples(points: DataFrame, seq: Column | None = None) -> DataFrame:
-    """Narrow samples of good points, one for each numeric field; other fields are left out. A metric is
-    measurement, or measurement.field beyond the first field."""
-    good = points.where("error is null").select("measurement", "tags_json", "ts_us", F.posexplode("fields").alias("at", "f"), (F.lit(0).cast("long") if seq is None else seq).alias("seq"))
+    """Fails the job at the first bad line, whichever of the parsed columns it reads. (A filter would be pushed below the
+    parsing and do all of it twice.)"""
+    wrong = F.concat(F.lit("line protocol: "), F.col("error"))
+    checked = {c: F.when(F.col("error").isNull(), F.col(c)).otherwise(F.raise_error(wrong).cast(points.schema[c].dataType)) for c in ("measurement", "tags_json", "tags", "fields", "ts_us", "error")}
+    return points.select(*[checked[c].alias(c) if c in checked else F.col(c) for c in points.columns])
+
+
+def samples(points: DataFrame, seq: Column | None = None, table: str | None = None) -> DataFrame:
+    """Narrow samples of good points, one for each numeric field; other fields are left out. A metric is the measurement
+    (`table`, where given, in its place), or measurement.field beyond the first field; `measurement` stands beside it."""
+    named = points.select((F.col("measurement") if table is None else F.lit(table)).alias("measurement"), "tags_json", "ts_us", F.when(F.col("error").isNull(), F.col("fields")).alias("fields"), (F.lit(0).cast("long") if seq is None else seq).alias("seq"))
+    each = named.select("measurement", "tags_json", "ts_us", F.posexplode("fields").alias("at", "f"), "seq")
     value = F.coalesce(F.col("f.value.f64"), F.col("f.value.i64").cast("double"))
     metric = F.when(F.col("at") == 0, F.col("measurement")).otherwise(F.concat_ws(".", "measurement", "f.key"))
-    return good.where(value.isNotNull()).select(metric.alias("metric_name"), "tags_json", "ts_us", value.alias("value_real"), F.lit(0).alias("quality"), "seq")
+    return each.where(value.isNotNull()).select(metric.alias("metric_name"), "tags_json", "ts_us", value.alias("value_real"), F.lit(0).alias("quality"), "seq", "measurement")
 
 
 def first_field(points: DataFrame) -> DataFrame:
+    """The first field of each point; null where there is none."""
     return points.withColumn("first_field", F.try_element_at("fields", F.lit(1)))
 
 

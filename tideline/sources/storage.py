@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -9,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir. One of our own only where that is unset and all tasks run on this machine:
+    on a cluster each executor would write to its own disk, and rows would be missed."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -48,33 +52,65 @@ class Files:
         fs, p = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
+    def matching(self, pattern: str) -> list[str]:
+        fs, p = self._at(pattern)
+        return sorted(s.getPath().toString() for s in fs.globStatus(p) or [])
+
+    def write(self, path: str, text: str) -> None:
+        """A small file, seen whole or not at all."""
+        staged = f"{path}.{uuid.uuid4().hex}.tmp"
+        fs, p = self._at(staged)
+        out = fs.create(p, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        if self.exists(path):
+            self.delete(staged)
+            raise OSError(f"changed by another writer: {path}")
+        self.move(staged, path)
+
+    def read(self, path: str) -> str:
+        fs, p = self._at(path)
+        stream = fs.open(p)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
 
 class Catalog:
-    """Small tables below <root>/_catalog; each change writes a new version, and readers see the newest that is whole."""
+    """Small tables below <root>/_catalog, held by the driver; each change is a new version in one file, and readers see
+    the newest. Whoever changes a version that another writer has changed meanwhile fails."""
+
+    KEEP = 2
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, f"{root.rstrip('/')}/_catalog", Files(spark)
 
     def _versions(self, name: str) -> list[int]:
-        path = f"{self.root}/{name}"
-        return [int(v[1:]) for v in self.files.names(path) if v[:1] == "v" and self.files.exists(f"{path}/{v}/_SUCCESS")]
+        return sorted(int(v[1:-5]) for v in self.files.names(f"{self.root}/{name}") if v[:1] == "v" and v.endswith(".json"))
+
+    def exists(self, name: str) -> bool:
+        return bool(self._versions(name))
 
     def rows(self, name: str) -> list[dict]:
         versions = self._versions(name)
-        if not versions:
-            return []
-        return [r.asDict(recursive=True) for r in self.spark.read.parquet(f"{self.root}/{name}/v{max(versions)}").collect()]
+        return json.loads(self.files.read(f"{self.root}/{name}/v{versions[-1]}.json")) if versions else []
 
-    def replace(self, name: str, rows: list[dict], schema: str) -> None:
+    def replace(self, name: str, rows: list[dict]) -> None:
         """Rows of a catalog table (hypertables, policies, jobs): a handful, held by the driver."""
         versions = self._versions(name)
-        made = self.spark.createDataFrame([tuple(r.get(c.split()[0]) for c in schema.split(", ")) for r in rows], schema)
-        made.coalesce(1).write.parquet(f"{self.root}/{name}/v{max(versions, default=0) + 1}")
-        for old in sorted(versions)[:-1]:
-            self.files.delete(f"{self.root}/{name}/v{old}")
+        self.files.write(f"{self.root}/{name}/v{(versions[-1] if versions else 0) + 1}.json", json.dumps(rows))
+        for old in versions[: -self.KEEP]:
+            self.files.delete(f"{self.root}/{name}/v{old}.json")
+
+    def upsert(self, name: str, row: dict, key: str) -> None:
+        self.replace(name, [r for r in self.rows(name) if r[key] != row[key]] + [row])
 
-    def upsert(self, name: str, row: dict, key: str, schema: str) -> None:
-        self.replace(name, [r for r in self.rows(name) if r[key] != row[key]] + [row], schema)
+    def frame(self, name: str, schema: str) -> DataFrame:
+        columns = [c.split()[0] for c in schema.split(", ")]
+        return self.spark.createDataFrame([tuple(r.get(c) for c in columns) for r in self.rows(name)], schema)
 
 
 def write_back(files: Files, df: DataFrame, path: str, partition: str) -> None:
