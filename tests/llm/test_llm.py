@@ -406,3 +406,43 @@ def test_ties_beyond_k():
     block = op3_ann._pack(pa.table({"cid": [7], "embedding": pa.array([[2.0, 0.0]])})).to_pylist()[0]
     got = next(op3_ann._search(iter([pa.RecordBatch.from_pylist([index | block])]), 5, 96)).to_pydict()
     assert got == {"cid": [7] * 5, "vec_id": [0, 1, 2, 3, 4], "score": [2.0] * 5}
+
+
+@pytest.mark.parametrize("name", ["op2_near_dedup", "op8_substring_dedup", "op10_suffix_dedup"])
+def test_queries_match_sql(spark, name):
+    import duckdb
+
+    from tideline.llm import queries
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    expected = con.sql(queries.ORACLES[name])
+    got = queries.QUERIES[name](spark, SF)
+    assert set(expected.columns) == set(got.columns)
+    assert sorted(map(tuple, got.select(*expected.columns).collect())) == sorted(expected.fetchall())
+
+
+def test_previous_factors():
+    """Against the definition: the longest prefix of each suffix that starts earlier as well."""
+    rng = np.random.default_rng(6)
+    for n, letters, length in ((60, 2, 9), (200, 3, 20), (1, 2, 5), (40, 1, 100)):
+        text = rng.integers(97, 97 + letters, n).astype(np.uint8)
+        got = op10_suffix.longest_previous_factors(op10_suffix.suffix_ranks(text, length), np.arange(n))
+        raw = text.tobytes()
+        for i in range(n):
+            best = max((next((k for k in range(min(length, n - i)) if raw[i + k] != raw[j + k]), min(length, n - i)) for j in range(i)), default=0)
+            assert got[i] == best
+    x = rng.permutation(500)
+    assert op10_suffix.previous_smaller(x).tolist() == [max((j for j in range(i) if x[j] < x[i]), default=-1) for i in range(500)]
+
+
+def test_suffix_dedup_with_a_hot_minimizer(spark, monkeypatch):
+    """A line that many texts share in different surroundings, some of which repeat: dealt by what lies beside it."""
+    monkeypatch.setattr(op10_suffix, "HOT", 8)
+    rng = np.random.default_rng(8)
+    line = bytes(rng.integers(97, 123, 60).astype(np.uint8)).decode()
+    sides = [bytes(rng.integers(97, 123, 90).astype(np.uint8)).decode() for _ in range(30)]
+    rows = [(i, sides[rng.integers(30)][rng.integers(40) :] + line + sides[rng.integers(30)][: rng.integers(10, 90)]) for i in range(200)]
+    expected = brute_bytes(dict(rows))
+    got = op10_suffix.dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == expected

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import math
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,15 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideline.session import worker_path
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from tideline.sources.storage import shared_dir
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -69,9 +60,12 @@ class Scratch:
 
 
 def bytes_of(df: DataFrame) -> int:
-    """Catalyst's estimate of the input's size; used only to choose how many groups work is dealt into."""
+    """Bytes of the input: Catalyst's estimate, or those of the texts where there is none. Used only to choose how many
+    groups work is dealt into."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 2**60 else 2**30
+    if size < 2**50:
+        return size
+    return df.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + 8), F.lit(0))).first()[0]
 
 
 def deal(df: DataFrame, bytes_each: int, least: int = 24) -> int:

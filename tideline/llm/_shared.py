@@ -92,7 +92,7 @@ def repeated(df: DataFrame, emit: Callable[[pa.RecordBatch, Block], tuple[np.nda
                 positions.append(pp.tobytes())
         return pa.table({"key": pa.array(keys, pa.int64()), "p": pa.array(positions, pa.binary())})
 
-    return df.mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(settle, ANSWER)
+    return df.mapInArrow(send, PACKED).repartition(n, "bucket").groupBy("bucket").applyInArrow(settle, ANSWER)
 
 
 def answers(found: DataFrame, name: str) -> DataFrame:

@@ -1,15 +1,18 @@
 """Suffix-array de-duplication: longest-previous-factor arrays over the parts of a corpus that repeat at all.
 
 A byte goes when a string of `length` bytes around it also starts earlier in the corpus. A string starts earlier
-exactly where the longest previous factor at its start reaches `length`, and that factor is shared with the previous
-or the next smaller position in suffix order.
+exactly where the longest previous factor (LPF) at its start reaches `length`; it is the longer of the prefixes that a
+suffix shares with the previous and with the next suffix in suffix order that begin at a smaller position.
 
 One suffix array over a corpus does not fit a cluster's tasks, so suffixes are dealt by content. Each string of
 `length` bytes picks its smallest `gram`-byte hash (a minimizer, the leftmost of equals); equal strings pick equal
-minimizers at equal places, so a task that holds every fragment around a minimizer sees all copies of its strings.
+minimizers at equal places, so a task that holds every fragment around a minimizer sees all copies of its strings, and
+the LPF of its suffixes, as far as `length`, is that of the corpus.
 First only hashes are dealt: a minimizer that occurs once cannot repeat a string, and of identical fragments all but
 the earliest repeat wholly. Only different fragments around one minimizer, where copies begin to differ, then travel
-as bytes and get suffix ranks and the previous-factor test.
+as bytes; suffix order, previous and next smaller positions and LPF are made of them. A minimizer with many different
+fragments (a line that many texts share) is dealt once more by the bytes beside it: a string that begins early in its
+fragment by those before the minimizer, one that begins late by those after it.
 """
 
 from __future__ import annotations
@@ -25,37 +28,60 @@ from pyspark.sql import functions as F
 from tideline.llm._dist import Scratch, deal
 from tideline.llm._text import U64, Block, blocks, by_key, covered, ints, mix, runs
 
+#: Different fragments of one minimizer beyond which they are dealt by the bytes beside it.
+HOT = 1024
 #: Low bits of the key that orders minimizers; they hold the position, so that the leftmost of equals wins.
 _PLACE = U64(31)
 
 
-def suffix_ranks(text: np.ndarray, length: int) -> np.ndarray:
-    """Rank of each suffix by its first `length` bytes (equal prefixes share a rank), by prefix doubling.
-
-    Suffixes shorter than `length` rank as if followed by bytes below all others.
-    """
-    n = len(text)
+def suffix_ranks(text: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(k, rank of each suffix by its first k bytes) for k = 1, 2, 4 ... and `length`, by prefix doubling; equal prefixes
+    share a rank. Suffixes that are shorter rank as if followed by bytes below all others."""
     padded = np.concatenate((text.astype(np.int64) + 1, np.zeros(length, np.int64)))
-    rank, have = padded, 1
+    rank, have, out = padded, 1, [(1, padded.astype(np.int32))]
     while have < length:
         step = min(have, length - have)
         low = np.zeros_like(rank)
         low[: len(rank) - step] = rank[step:]
         rank = np.unique(rank * (int(rank.max()) + 1) + low, return_inverse=True)[1].astype(np.int64)
         have += step
-    return rank[:n]
+        out.append((have, rank.astype(np.int32)))
+    return out
 
 
-def previous_factor_reaches(ranks: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """True where a suffix's longest previous factor reaches the length that ranks were made for.
+def previous_smaller(x: np.ndarray) -> np.ndarray:
+    """For each of different values the place of the nearest smaller one before it, or -1, by jumping over larger ones."""
+    out = np.arange(len(x)) - 1
+    todo = np.flatnonzero((out >= 0) & (x[out] > x))
+    while len(todo):
+        out[todo] = out[out[todo]]
+        todo = todo[(out[todo] >= 0) & (x[out[todo]] > x[todo])]
+    return out
 
-    In suffix order, with equal prefixes in the order of their places, the previous smaller position of a suffix that has
-    an earlier equal is its direct neighbour; the next smaller position cannot be equal without that one.
-    """
-    order = np.lexsort((place, ranks))
-    r = ranks[order]
-    out = np.zeros(len(ranks), bool)
-    out[order[1:]] = r[1:] == r[:-1]
+
+def common_prefix(ranks: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of suffixes a and b, as far as ranks reach."""
+    out = np.zeros(len(a), np.int64)
+    most = ranks[-1][0]
+    whole = ranks[-1][1][a] == ranks[-1][1][b]
+    for k, rank in reversed(ranks[:-1]):
+        same = ~whole & (out + k <= most)
+        at = np.flatnonzero(same)
+        at = at[rank[a[at] + out[at]] == rank[b[at] + out[at]]]
+        out[at] += k
+    return np.where(whole, most, out)
+
+
+def longest_previous_factors(ranks: list[tuple[int, np.ndarray]], starts: np.ndarray) -> np.ndarray:
+    """The LPF, as far as ranks reach, of the suffixes at `starts`, which are given in the order of their positions in the corpus."""
+    order = np.lexsort((np.arange(len(starts)), ranks[-1][1][starts]))
+    back = previous_smaller(order)
+    ahead = len(order) - 1 - previous_smaller(order[::-1])[::-1]
+    out = np.zeros(len(starts), np.int64)
+    for near, there in ((back, back >= 0), (ahead, ahead < len(order))):
+        at = np.flatnonzero(there)
+        mine = order[at]
+        out[mine] = np.maximum(out[mine], common_prefix(ranks, starts[mine], starts[order[near[at]]]))
     return out
 
 
@@ -109,7 +135,7 @@ _KINDS = {"h": U64, "f": U64, "d": np.int64, "p": np.int32, "n": np.int32}
 
 def _answers(d: np.ndarray, p: np.ndarray, n: np.ndarray) -> list[dict]:
     """For each document its packed (first start, count) pairs: these starts repeat; with a count of 0, the fragment
-    at that start is to be compared."""
+    at that start is to be compared, with -1 too, after it is dealt by the bytes beside its minimizer."""
     return [{"key": key, "s": np.stack((pp, nn), 1).astype(np.int32).tobytes()} for key, (pp, nn) in by_key(d, p, n)]
 
 
@@ -155,8 +181,9 @@ def _settle_hashes(table: pa.Table) -> pa.Table:
         h, d, p = h[first], d[first], p[first]
         order = np.argsort(h, kind="stable")
         new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
-        many = order[np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1]
-        out += _answers(d[many], p[many], np.zeros(len(many), np.int32))
+        copies = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+        many = order[copies > 1]
+        out += _answers(d[many], p[many], -(copies[copies > 1] > HOT).astype(np.int32))
     return pa.Table.from_pylist(out, schema=_ANSWER)
 
 
@@ -167,21 +194,40 @@ def _take(offs: np.ndarray, text: np.ndarray, rows: np.ndarray) -> tuple[np.ndar
     return cuts, text[np.repeat(offs[rows] - cuts[:-1], size) + np.arange(cuts[-1])]
 
 
+def _beside(block: Block, h: np.ndarray, place: np.ndarray, start: np.ndarray, n: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fragments cut in two, with the hash of their minimizer and of what lies before it (strings that begin early) or
+    after it (late ones): hash, first start and number of starts. Equal strings are on the same side of the cut."""
+    side = (length - gram) // 2
+    cut = np.clip(place - side + 1, start, start + n)  # strings that begin before it hold `side` bytes before the minimizer
+    early, late = cut > start, cut < start + n
+    rolling = block.rolling_bytes()
+    before = rolling.hash(place[early] - side, place[early] + gram)
+    after = rolling.hash(place[late], place[late] + gram + (length - gram - side))
+    keys = np.concatenate((mix(h[early] ^ before), mix(~h[late] ^ after)))
+    return keys, np.concatenate((start[early], cut[late])), np.concatenate(((cut - start)[early], (start + n - cut)[late]))
+
+
 def _send(batches: Iterator[pa.RecordBatch], length: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """The fragments that are to be compared, as bytes, dealt by minimizer."""
+    """The fragments that are to be compared, as bytes, dealt by minimizer, and hot ones by more."""
     for batch in batches:
         hits = batch.column("known")
         for block in blocks(batch):
             h, place, start, n = _minimizers(block, length, gram)
             doc = np.searchsorted(block.offs, start, "right") - 1
-            local, keep = start - block.offs[doc], np.zeros(len(h), bool)
+            local, kind = start - block.offs[doc], np.ones(len(h), np.int64)
             cuts = np.searchsorted(doc, np.arange(len(block.ids) + 1))
             for i in range(len(block.ids)):
                 pairs = _pairs(hits[block.first + i].as_py())
-                keep[cuts[i] : cuts[i + 1]] = np.isin(local[cuts[i] : cuts[i + 1]], pairs[pairs[:, 1] == 0, 0])
-            h, start, n, doc, local = (x[keep] for x in (h, start, n, doc, local))
+                for k in (0, -1):
+                    some = np.isin(local[cuts[i] : cuts[i + 1]], pairs[pairs[:, 1] == k, 0])
+                    kind[cuts[i] : cuts[i + 1]][some] = k
+            plain, hot = kind == 0, kind == -1
+            key, first, many = _beside(block, h[hot], place[hot], start[hot], n[hot], length, gram)
+            h, start, n = np.concatenate((h[plain], key)), np.concatenate((start[plain], first)), np.concatenate((n[plain], many))
             if not len(h):
                 continue
+            doc = np.searchsorted(block.offs, start, "right") - 1
+            local = start - block.offs[doc]
             rows = []
             offs, text = _gather(block.buf, start, n + length - 1)
             for bucket, (r,) in by_key((h >> U64(40)).astype(np.int64) % buckets, np.arange(len(h))):
@@ -196,7 +242,7 @@ def _gather(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.nd
 
 
 #: Bytes of fragments whose suffixes are ranked at once; fragments of one minimizer stay together.
-_RANK_BYTES = 4_000_000
+_RANK_BYTES = 2_000_000
 
 
 def _settle(table: pa.Table, length: int) -> pa.Table:
@@ -217,7 +263,7 @@ def _settle(table: pa.Table, length: int) -> pa.Table:
             of = np.repeat(np.arange(len(part)), n[part])
             inside = np.arange(len(of)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
             # Starts are in the order of (minimizer, document, position); equal strings share their minimizer.
-            hit = previous_factor_reaches(ranks[cuts[of] + inside], np.arange(len(of)))
+            hit = longest_previous_factors(ranks, cuts[of] + inside) >= length
             a, b = runs(hit)
             ends = np.flatnonzero(np.diff(of)) + 1
             cut = np.unique(np.concatenate((a, ends[hit[ends - 1] & hit[ends]] if len(ends) else ends)))
@@ -261,7 +307,7 @@ def dedup_bytes(docs: DataFrame, length: int = 100, scratch: Scratch | None = No
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     buckets = deal(docs, 16_000_000)
     by_doc = lambda answers, name: answers.groupBy(F.col("key").alias("_doc")).agg(F.collect_list("s").alias(name))
-    found = by_doc(docs.mapInArrow(lambda it: _send_hashes(it, length, gram, buckets), _FRAGMENT_DDL).groupBy("bucket").applyInArrow(_settle_hashes, "key long, s binary"), "known")
+    found = by_doc(docs.mapInArrow(lambda it: _send_hashes(it, length, gram, buckets), _FRAGMENT_DDL).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_settle_hashes, "key long, s binary"), "known")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,7 +323,7 @@ def dedup_bytes(docs: DataFrame, length: int = 100, scratch: Scratch | None = No
     scratch.release()
     hit = known.where("sha is null")
     sent = hit.select("doc_id", "text", "known").mapInArrow(lambda it: _send(it, length, gram, buckets), _FRAGMENT_DDL)
-    starts = by_doc(sent.groupBy("bucket").applyInArrow(lambda t: _settle(t, length), "key long, s binary"), "starts")
+    starts = by_doc(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _settle(t, length), "key long, s binary"), "starts")
     cut = hit.join(starts, hit["doc_id"] == starts["_doc"], "left").select("doc_id", "text", "known", "starts").mapInArrow(lambda it: _cut(it, length), _CUT_DDL)
     none = F.lit(0).cast("long")
     clean = known.where("sha is not null").select("doc_id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"), F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)").alias("spans"))

@@ -51,4 +51,20 @@ kept as (
          coalesce(string_agg(word, ' ' order by p) filter (where not out), '') as t from covered group by 1)
 select d.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
 from documents d left join kept using (doc_id)""",
+    "op10_suffix_dedup": """
+with raw as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+strings as (
+  select doc_id, i, md5(substr(h, 2 * i + 1, 200)) as s from (select doc_id, h, unnest(range(0, length(h) // 2 - 99)) as i from raw where length(h) >= 200)),
+hits as (select doc_id, i from (select doc_id, i, row_number() over (partition by s order by doc_id, i) as n from strings) where n > 1),
+spans as (
+  select doc_id, min(i) as a, max(i) + 100 as b from (
+    select doc_id, i, sum(new) over (partition by doc_id order by i) as g from (
+      select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 100 then 0 else 1 end as new from hits)) group by doc_id, g),
+pieces as (
+  select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as x, a as y from spans
+  union all select doc_id, max(b), max(length(h)) // 2 from spans join raw using (doc_id) group by 1),
+kept as (select doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' order by x) as k from pieces join raw using (doc_id) group by 1),
+sums as (select doc_id, sum(b - a)::bigint as n_removed, count(*)::bigint as n_spans from spans group by 1)
+select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(k, h))) as kept_sha256
+from raw left join sums using (doc_id) left join kept using (doc_id)""",
 }
