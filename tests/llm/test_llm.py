@@ -446,3 +446,132 @@ def test_suffix_dedup_with_a_hot_minimizer(spark, monkeypatch):
     expected = brute_bytes(dict(rows))
     got = op10_suffix.dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == expected
+
+
+CLASHES = SCHEMA.replace("n_chars long, ", "") + ", _id int, _text string, _pieces int, _votes int, _m_n_words int, _M_x int, text_ string"
+
+
+@pytest.mark.parametrize("rows", ["odd", "none"])
+def test_pipeline_stages_on_odd_tables(spark, odd, rows):
+    """Nulls, repeats, columns with the names that stages use themselves, no n_chars, and empty tables."""
+    import corpus_pipeline
+
+    df = odd.drop("n_chars").selectExpr("*", "1 as _id", "'t' as _text", "2 as _pieces", "3 as _votes", "4 as _m_n_words", "5 as _M_x", "'u' as text_")
+    df = spark.createDataFrame(df.collect() if rows == "odd" else [], CLASHES)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, SF)
+        got = [r.asDict() for r in out.collect()]
+        if name == "packing":
+            assert len(got) == (0 if rows == "none" else df.where("doc_id is not null").count())
+            continue
+        assert out.columns == df.columns and all(r["_id"] == 1 and r["_text"] == "t" and r["text_"] == "u" for r in got)
+        ids = [r["doc_id"] for r in got]
+        if rows == "none":
+            assert ids == []
+        elif name == "near-dedup":  # 5, 6 and 7 are linked; each text without words stays; 8 to 10 are alone
+            assert sorted(ids) == [0, 1, 2, 3, 4, 5, 8, 9, 10]
+        elif name == "substring dedup":  # 6 is nothing but what 5 has
+            assert {r["doc_id"]: r["text"] for r in got if r["doc_id"] in (0, 5, 7)} == {0: None, 5: odd.where("doc_id = 5").first()["text"], 7: "head tail"} and 6 not in ids
+        elif name == "mixing":
+            assert {0, 1, 2}.isdisjoint(ids) and None not in ids
+        else:
+            assert None not in ids
+
+
+def test_mix_targets_by_hand(odd, docs):
+    """Targets by a rational computation of its own: raise the common share until the budget is spent."""
+    from fractions import Fraction
+
+    for df in (odd, docs):
+        sizes = collections.Counter()
+        for r in df.where("doc_id is not null").select("source", "text").collect():
+            sizes[r["source"]] += len(words(r["text"]))
+        names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode("utf-32-be")) + [None] * (None in sizes)
+        weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+        budget = Fraction(3, 2) * sum(sizes.values())
+        # Sources fill up in the order of 2 * size / weight.
+        left, open_ = budget, sum(weight.values())
+        target = {}
+        for s in sorted(names, key=lambda s: Fraction(2 * sizes[s], weight[s])):
+            target[s] = min(Fraction(2 * sizes[s]), left * weight[s] / open_)
+            left, open_ = left - target[s], open_ - weight[s]
+        got = {(r["source_size"], r["target"]) for r in op5_mix.mix_documents(df)[0].collect()}
+        assert {size for size, _ in got} == set(sizes.values())
+        for size, t in got:
+            assert any(size == sizes[s] and math.isclose(t, float(target[s]), rel_tol=1e-12) for s in names)
+
+
+def test_sizes_and_checksums(odd, docs):
+    for df in (odd, docs):
+        texts = texts_of(df)
+        for r in op4_shards.assign(df).collect():
+            t = texts[r["doc_id"]]
+            assert (r["size"], r["text_crc32"]) == (len((t or "").encode()) + 8, None if t is None else zlib.crc32(t.encode()))
+            assert 0 <= r["shard"] < 24
+        by_text = collections.defaultdict(set)
+        for r in op4_shards.assign(df).collect():
+            by_text[texts[r["doc_id"]]].add(r["shard"])
+        assert all(len(s) == 1 for s in by_text.values())
+
+
+def test_packed_buckets_and_batches(odd, docs):
+    for df in (odd, docs):
+        got = op6_pack.pack(df, buckets=5, budget=3000).toPandas()
+        rows = df.where("doc_id is not null").select("text").collect()
+        assert sorted(got.n_tokens) == sorted(len(words(r["text"])) for r in rows)
+        lengths, counts = np.unique(got.n_tokens, return_counts=True)
+        uppers = np.array(op6_pack.best_buckets(lengths, counts, 5))
+        assert (got.bucket == np.searchsorted(uppers, got.n_tokens)).all() and (got.bucket_len == uppers[got.bucket]).all()
+        for (_, size), part in got.groupby(["bucket", "bucket_len"]):
+            held = max(1, 3000 // max(size, 1))
+            order = part.sort_values(["batch", "place"])
+            assert (order.batch * held + order.place).tolist() == list(range(len(part)))  # no gaps
+            assert order[["n_tokens", "doc_id"]].apply(tuple, axis=1).is_monotonic_increasing
+
+
+def test_quality_counts_and_posterior(odd, docs):
+    for df in (odd, docs):
+        texts = texts_of(df)
+        for r in op7_quality.verdicts(df).collect():
+            t = texts[r["doc_id"]] or ""
+            lines = [x for x in t.encode().split(b"\n") if x.split()]
+            assert (r["n_symbols"], r["n_dup_lines"]) == (sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)))
+    # Three rules that are right with known probabilities: EM finds them, and the posterior is Bayes' rule.
+    rng = np.random.default_rng(3)
+    right, share, n = np.array([0.9, 0.8, 0.7]), 0.6, 200_000
+    good = rng.random(n) < share
+    votes = np.where((rng.random((n, 3)) < right) == good[:, None], 1, 2)
+    votes[rng.random((n, 3)) < 0.2] = 0
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    prior, tables, posterior = op7_quality.fit(patterns, counts.astype(float), 2000)
+    assert abs(prior - share) < 0.02
+    assert np.abs(tables[0, :, 1] / tables[0, :, 1:].sum(1) - right).max() < 0.03 and np.abs(tables[1, :, 2] / tables[1, :, 1:].sum(1) - right).max() < 0.03
+    for pattern, p in zip(patterns, posterior):
+        a, b = share, 1 - share
+        for v, r in zip(pattern, right):
+            a, b = (a * r, b * (1 - r)) if v == 1 else (a * (1 - r), b * r) if v == 2 else (a, b)
+        assert abs(p - a / (a + b)) < 0.04
+
+
+def test_toxicity_chain_of_categories(spark):
+    """Three toxicity categories, of which later ones follow from earlier ones: the chain uses what it has predicted."""
+    rng = np.random.default_rng(9)
+    rows, labels = [], []
+    for i in range(1200):
+        insult, threat = rng.random() < 0.4, rng.random() < 0.4
+        text = " ".join(f"w{rng.integers(80)}" for _ in range(20)) + (" you idiot" if insult else "") + (" will hurt you" if threat else "")
+        rows.append((i, text))
+        if i < 900:
+            labels.append((i, int(insult), int(threat), int(insult and threat) if i % 2 else None))
+    docs = spark.createDataFrame([*rows, rows[0], (5000, ""), (5001, None)], "doc_id long, text string")
+    table = spark.createDataFrame(labels, "doc_id long, insult int, threat int, severe int")
+    chain = op1_toxicity.train(docs, table, {c: F.col(c) for c in ("insult", "threat", "severe")})
+    assert [len(m.earlier) for m in chain.models] == [0, 1, 2] and (chain.models[2].earlier > 0.5).all()
+    got = op1_toxicity.predict(docs, chain).toPandas()
+    assert len(got) == 1203 and got[got.doc_id == 0].drop_duplicates().shape[0] == 1
+    held = got[(got.doc_id >= 900) & (got.doc_id < 5000)]
+    truth = [("idiot" in rows[i][1], "hurt" in rows[i][1]) for i in held.doc_id]
+    for name, expected in (("insult", [a for a, _ in truth]), ("threat", [b for _, b in truth]), ("severe", [a and b for a, b in truth])):
+        assert ((held[f"p_{name}"] >= 0.5) == expected).mean() >= 0.98
+    empty = got[got.doc_id >= 5000].drop(columns="doc_id")
+    assert (empty.iloc[0] == empty.iloc[1]).all() and (empty < 0.5).all().all()

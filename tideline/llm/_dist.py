@@ -25,6 +25,17 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that the frame does not have, in whatever case."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Scratch:
     """Tables that one call writes below the shared folder; reading them back cuts the lineage and survives lost executors."""
 

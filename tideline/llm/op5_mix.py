@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm._dist import Scratch, ranked
+from tideline.llm._dist import Scratch, ranked, unused
 from tideline.llm._text import U64, mix
 
 #: Share of each source by its place, repeating.
@@ -99,7 +99,8 @@ def plan(sizes: list[tuple[str | None, int]], block: int, shards: int, seed: int
 
 
 def slots(spark, p: Plan) -> DataFrame:
-    """One row for each slot of the mix: shard, slot, sid (the source's place) and block (its index in the source)."""
+    """One row for each slot of the mix: shard, slot (from 0 in each shard, no gaps), sid (the source's place) and block (its
+    index in the source). No sources, or none with words, give no rows; the same plan gives the same rows."""
     flat = p.counts.ravel()
     ends = np.cumsum(flat)
     starts_in_source = (np.cumsum(p.counts, 0) - p.counts).ravel()
@@ -155,18 +156,28 @@ def mix_documents(docs: DataFrame, block: int = 32, shards: int = 16, seed: int
 
 
 def mixed_texts(docs: DataFrame, taken: DataFrame) -> DataFrame:
-    """Documents with the words that the mix takes of them as their text, a piece as often as it is taken; others go."""
+    """Documents with the words that the mix takes of them as their text, a piece as often as it is taken; others go.
+
+    `taken` is the first frame of `mix_documents`. All columns of docs stay, whatever their names, but for the text. Of
+    rows that repeat a doc_id each gets the words that the mix takes of one of them; rows without a doc_id, and documents
+    of which nothing is taken (all that have no words), go; an empty table gives none.
+    """
+    key, ranges = unused(docs, "_id", "_pieces")
+    columns = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, pieces in zip(batch.column("text").to_pylist(), batch.column("_pieces").to_pylist(), strict=True):
+            at = columns.index("text")
+            for text, pieces in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
                 words = (text or "").encode().split()
                 texts.append(b" ".join(w for x in pieces for w in words[x["start"] : x["stop"]] * x["times"]).decode())
-            yield batch.drop_columns(["_pieces"]).set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+            rest = [batch.column(i) for i in range(len(columns))]
+            rest[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(rest, names=columns)
 
-    some = taken.where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("pieces").alias("_pieces")).dropDuplicates(["_id"])
-    joined = docs.join(some, docs["doc_id"] == some["_id"]).drop("_id")
+    some = taken.where("taken > 0").select(F.col("doc_id").alias(key), F.col("pieces").alias(ranges)).dropDuplicates([key])
+    joined = docs.join(some, docs["doc_id"] == some[key]).drop(key)
     return joined.mapInArrow(cut, docs.schema)
 
 

@@ -156,24 +156,30 @@ def verdicts(docs: DataFrame, threshold: float = 0.5, scratch: Scratch | None =
 
 def keep_good(docs: DataFrame, threshold: float = 0.5, repeats: int = 50) -> DataFrame:
     """The rows of documents whose quality is `threshold` or more and of whose words no more than `repeats` percent repeat,
-    all columns unchanged and texts not moved: one pass counts votes, another one filters. Rows without a doc_id go."""
+    all columns unchanged and texts not moved: one pass counts votes, another one filters.
+
+    Rows without a doc_id go. Null and empty texts have no words and are judged by the rules that vote on them; rows that
+    repeat are kept or go together, as do texts with equal votes; an empty table gives none; columns may have any names.
+    """
     counted = features(docs).withColumn("votes", _code()).groupBy("votes").count()
     good = [votes for votes, p in posteriors(counted) if p >= threshold]
-    kept = docs.columns
+    kept, prefix = docs.columns, "_m_"
+    while any(c.lower().startswith(prefix) for c in kept):
+        prefix = "_" + prefix
 
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for counts in measure(iter([batch])):
                 n = counts.num_rows
-                yield pa.RecordBatch.from_arrays([*batch.slice(at, n).columns, *counts.columns[1:]], names=[*kept, *(f"_m_{c}" for c in _BASE)])
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, n).columns, *counts.columns[1:]], names=[*kept, *(f"{prefix}{c}" for c in _BASE)])
                 at += n
 
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"_m_{c}", T.LongType()) for c in _BASE)])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"{prefix}{c}", T.LongType()) for c in _BASE)])
     measured = docs.where("doc_id is not null").mapInArrow(beside, schema)
-    votes = measured.select("*", _code("_m_").alias("_votes"))
-    repeated = 100 * F.col("_m_n_repeat_words") > repeats * F.col("_m_n_words")
-    return votes.where((F.col("_votes").isin(good) if good else F.lit(False)) & ~repeated).select(*kept)
+    votes = measured.select("*", _code(prefix).alias(f"{prefix}votes"))
+    repeated = 100 * F.col(f"{prefix}n_repeat_words") > repeats * F.col(f"{prefix}n_words")
+    return votes.where((F.col(f"{prefix}votes").isin(good) if good else F.lit(False)) & ~repeated).select(*kept)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
