@@ -233,3 +233,42 @@ def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
     fake = type("S", (), {"conf": type("C", (), {"get": staticmethod(lambda k, d=None: None)}), "sparkContext": Context})
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         storage.shared_dir(fake)
+
+
+def test_rolling_over_spans(spark):
+    """One hot series over several spans, with negative times and ties, against the definition."""
+    rng = np.random.default_rng(4)
+    times = np.sort(rng.integers(-900, 900, 400))
+    df = spark.createDataFrame([("m", "{}", int(t), float(i % 17), 0, i) for i, t in enumerate(times)], POINTS)
+    values = np.arange(400) % 17.0
+    got = {r["seq"]: r for r in window.rolling(df, 20, ["rolling_sum", "rolling_max", "rolling_count"]).collect()}
+    arrived = {r["seq"]: r["moving_avg"] for r in window.moving_avg_by_arrival(df, 20).collect()}
+    assert len(got) == 400 and set(got[0].asDict()) == {*POINTS.replace(",", "").split()[::2], "rolling_sum", "rolling_max", "rolling_count"}
+    for i, t in enumerate(times):
+        inside = values[(times >= t - 20) & (times <= t)]
+        assert (got[i]["rolling_sum"], got[i]["rolling_max"], got[i]["rolling_count"]) == (inside.sum(), inside.max(), len(inside))
+        so_far = values[: i + 1][times[: i + 1] >= t - 20]
+        assert abs(arrived[i] - so_far.mean()) < 1e-9
+
+
+def test_exact_percentiles(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 30, 501).astype(float)
+    df = spark.createDataFrame([("m", "{}", i, float(v), 0, i) for i, v in enumerate(x)] + [("m", "{}", 0, None, 0, 0), ("m", "{}", 0, float("nan"), 0, 0), ("n", "{}", 0, 7.0, 0, 0)], POINTS)
+    got = {r["metric_name"]: (r["a"], r["b"], r["c"]) for r in aggregate.percentiles(df, {"a": 0.0, "b": 0.33, "c": 0.999}, ["metric_name"]).collect()}
+    assert got["n"] == (7.0, 7.0, 7.0) and np.allclose(got["m"], np.quantile(x, [0, 0.33, 0.999]))
+
+
+def test_streams_with_state_over_batches(spark, tmp_path):
+    """Sessions and the stateful moving average over several micro-batches; the average's state crosses them."""
+    from tideline.streaming import aggregates as streams
+
+    rows = [(1, 0, 10.0, 0), (1, 3, 20.0, 1), (1, 10, 30.0, 2), (1, 12, 50.0, 3), (2, 11, 1.0, 4)]
+    schema = "k int, ts_us long, value_real double, seq long"
+    for i, part in enumerate((rows[:2], rows[2:3], rows[3:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in/part={i}")
+    source = spark.readStream.schema(schema + ", part int").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    out = []
+    q = streams.moving_average(source, 5, ["k"]).writeStream.foreachBatch(lambda b, _: out.extend(b.collect())).option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r["seq"], r["moving_avg"]) for r in out} == {(0, 10.0), (1, 15.0), (2, 30.0), (3, 40.0), (4, 1.0)}

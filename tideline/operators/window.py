@@ -1,15 +1,19 @@
-"""Window operators over points of a series. Each needs one shuffle and sort on (series, time)."""
+"""Window operators over points of a series. Each needs one shuffle and sort on (series, time).
+
+Trailing windows of a bounded length are computed by spans of time, so that a hot series is split over tasks: a span is
+SPAN windows long, and points of its last window go to the next span too, where they are seen but not returned.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideline.functions.time import bucket, width_us
-from tideline.operators.aggregate import SERIES, finite
+from tideline.operators.aggregate import SERIES, arrival, finite
 
 _FUNCTIONS = {"moving_avg": F.avg, "rolling_min": F.min, "rolling_max": F.max, "rolling_sum": F.sum, "rolling_count": F.count}
 
@@ -18,20 +22,43 @@ def _ordered(by: Sequence[str], ts: str, seq: str):
     return Window.partitionBy(*by).orderBy(ts, seq)
 
 
+#: Windows in a span; a share of 1 / SPAN of the points goes to two spans.
+SPAN = 16
+
+
+def _over_spans(points: DataFrame, window: int, ts: str, add: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Columns that `add` computes by the given span column, over all points of the span and the window before it."""
+    span, here = (c + "_" * sum(x.startswith(c) for x in points.columns) for c in ("_span", "_here"))
+    size = SPAN * window
+    start = bucket(F.col(ts), size)
+    spans = F.when(F.col(ts) >= start + (size - window), F.array(start, start + size)).otherwise(F.array(start))
+    dealt = points.select("*", F.posexplode(spans).alias(here, span))
+    return add(dealt, span).where(F.col(here) == 0).drop(here, span)
+
+
 def rolling(points: DataFrame, window: str | int, functions: Sequence[str], by: Sequence[str] = SERIES, value: str = "value_real", ts: str = "ts_us") -> DataFrame:
     """Trailing windows [t - window, t] by event time; points of an equal time see each other."""
-    w = Window.partitionBy(*by).orderBy(ts).rangeBetween(-width_us(window), 0)
-    return points.select("*", *[_FUNCTIONS[f](finite(F.col(value))).over(w).alias(f) for f in functions])
+    size = width_us(window)
+
+    def add(dealt: DataFrame, span: str) -> DataFrame:
+        w = Window.partitionBy(*by, span).orderBy(ts).rangeBetween(-size, 0)
+        return dealt.select("*", *[_FUNCTIONS[f](finite(F.col(value))).over(w).alias(f) for f in functions])
+
+    return _over_spans(points, size, ts, add)
 
 
 def moving_avg_by_arrival(points: DataFrame, window: str | int, by: Sequence[str] = SERIES, value: str = "value_real", ts: str = "ts_us", seq: str = "seq") -> DataFrame:
     """As rolling's moving_avg, but of points with an equal time only those that arrived so far count."""
-    v = finite(F.col(value))
-    range_ = Window.partitionBy(*by).orderBy(ts).rangeBetween(-width_us(window), 0)
-    later = Window.partitionBy(*by, ts).orderBy(seq).rowsBetween(1, Window.unboundedFollowing)
-    total = F.sum(v).over(range_) - F.coalesce(F.sum(v).over(later), F.lit(0.0))
-    count = F.count(v).over(range_) - F.count(v).over(later)
-    return points.select("*", F.when(count > 0, total / count).alias("moving_avg"))
+    size, v = width_us(window), finite(F.col(value))
+
+    def add(dealt: DataFrame, span: str) -> DataFrame:
+        range_ = Window.partitionBy(*by, span).orderBy(ts).rangeBetween(-size, 0)
+        later = Window.partitionBy(*by, span, ts).orderBy(seq).rowsBetween(1, Window.unboundedFollowing)
+        total = F.sum(v).over(range_) - F.coalesce(F.sum(v).over(later), F.lit(0.0))
+        count = F.count(v).over(range_) - F.count(v).over(later)
+        return dealt.select("*", F.when(count > 0, total / count).alias("moving_avg"))
+
+    return _over_spans(points, size, ts, add)
 
 
 def changes(points: DataFrame, by: Sequence[str] = SERIES, value: str = "value_real", ts: str = "ts_us", seq: str = "seq") -> DataFrame:
@@ -57,8 +84,9 @@ def counter_rate(points: DataFrame, width: str | int, by: Sequence[str] = SERIES
 
 
 def last_values(points: DataFrame, by: Sequence[str] = SERIES, value: str = "value_real", ts: str = "ts_us", seq: str = "seq") -> DataFrame:
-    """The latest value of each series, null included; on equal times the later arrival. Pre-aggregated, no sort."""
-    return points.groupBy(*by).agg(F.max(ts).alias("ts_us"), F.max_by(F.struct(F.col(value)), F.struct(ts, seq))[value].alias("value"))
+    """The latest value of each series, null included; on equal times the later arrival. Pre-aggregated; hashed where
+    times, arrivals and values are numbers."""
+    return points.groupBy(*by).agg(F.max(ts).alias("ts_us"), F.max_by(value, arrival(points, ts, seq)).alias("value"))
 
 
 def gap_fill(buckets: DataFrame, width: str | int, by: Sequence[str] = SERIES, value: str = "value", at: str = "bucket_us") -> DataFrame:
@@ -95,5 +123,5 @@ def state_duration(points: DataFrame, state: str, by: Sequence[str] = SERIES, ts
 def stepped(points: DataFrame, window: str | int, step: str | int, functions: Sequence[str], by: Sequence[str] = SERIES, value: str = "value_real", ts: str = "ts_us", seq: str = "seq") -> DataFrame:
     """Rolling functions, sampled: the last point of each step."""
     out = rolling(points, window, functions, by, value, ts).withColumn("step_us", bucket(F.col(ts), width_us(step)))
-    named = [F.struct(F.col(ts).alias("ts_us"), *functions)]
-    return out.groupBy(*by, "step_us").agg(F.max_by(named[0], F.struct(ts, seq)).alias("_x")).select(*by, "step_us", "_x.*")
+    order = arrival(out, ts, seq)
+    return out.groupBy(*by, "step_us").agg(F.max(ts).alias("ts_us"), *[F.max_by(f, order).alias(f) for f in functions])

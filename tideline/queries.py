@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tideline.functions import tags as tag_functions
 from tideline.functions.time import duration_us, micros, time_bucket, time_bucket_ms, time_bucket_ns
 from tideline.operators import catalog, join, window
-from tideline.operators.aggregate import bucketed, finished, histogram, merge, summarise
+from tideline.operators.aggregate import bucketed, finished, histogram, merge, percentiles, summarise
 from tideline.plans import query as plans
 from tideline.session import pin_utc
 from tideline.sources import line_protocol, segment
@@ -190,8 +190,7 @@ def _(spark, d):
 
 @query("median_p95", "select event_type, round(quantile_cont(value, 0.5), 6) as median, round(quantile_cont(value, 0.95), 6) as p95 from events group by 1")
 def _(spark, d):
-    found = events(spark, d).groupBy("event_type").agg(*[F.percentile("value_real", F.lit(p)).alias(n) for n, p in (("median", 0.5), ("p95", 0.95))])
-    return rounded(found, "median", "p95")
+    return rounded(percentiles(events(spark, d), {"median": 0.5, "p95": 0.95}, ["event_type"]), "median", "p95")
 
 
 @query("approx_percentile")
