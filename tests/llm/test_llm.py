@@ -403,8 +403,9 @@ def test_ties_beyond_k():
     ids = np.random.default_rng(4).permutation(60)
     table = pa.table({"cid": np.arange(60), "embedding": pa.array(x.tolist()), "members": pa.array([[int(i)] for i in ids]), "shard": pa.array([0] * 60)})
     index = op3_ann._build(table).to_pylist()[0]
-    block = op3_ann._pack(pa.table({"cid": [7], "embedding": pa.array([[2.0, 0.0]])})).to_pylist()[0]
-    got = next(op3_ann._search(iter([pa.RecordBatch.from_pylist([index | block])]), 5, 96)).to_pydict()
+    block = op3_ann._pack(pa.table({"cid": [7], "embedding": pa.array([[2.0, 0.0]])}), 0).to_pylist()[0]
+    rows = [index | {"block": 0, "q": None, "qid": None}, {c: None for c in index} | block | {"shard": 0}]
+    got = next(op3_ann._search(iter([pa.RecordBatch.from_pylist(rows)]), 5, 96)).to_pydict()
     assert got == {"cid": [7] * 5, "vec_id": [0, 1, 2, 3, 4], "score": [2.0] * 5}
 
 

@@ -28,6 +28,8 @@ from tideline.llm._dist import Scratch
 SHARD_ROWS, SHARDS = 100_000, 12
 #: Queries of a block that is sent to a shard, and of a step of its search.
 BLOCK_ROWS, QUERY_ROWS = 32_768, 2048
+#: Tasks that shards and blocks are dealt into at most.
+MOST_TASKS = 20_000
 #: Nodes that a shard measures its recall with, neighbours of each, and the share of them that its beam has to find.
 SAMPLE, NEAREST, RECALL = 128, 20, 0.96
 
@@ -228,15 +230,24 @@ def _build(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([row], schema=_INDEX)
 
 
-def _pack(table: pa.Table) -> pa.Table:
+def _pack(table: pa.Table, block: int) -> pa.Table:
     x = _matrix(table.column("embedding"), table.num_rows)
-    return pa.table({"dim": pa.array([x.shape[1]], pa.int32()), "q": pa.array([x.tobytes()], pa.binary()), "qid": pa.array([np.asarray(table.column("cid")).astype(np.int64).tobytes()], pa.binary())})
+    return pa.table({"dim": pa.array([x.shape[1]], pa.int32()), "block": pa.array([block], pa.int64()), "q": pa.array([x.tobytes()], pa.binary()), "qid": pa.array([np.asarray(table.column("cid")).astype(np.int64).tobytes()], pa.binary())})
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int, beam: int) -> Iterator[pa.RecordBatch]:
-    """The k best of each query of a block in a shard; of equal products the smaller ids, whatever the beam's order."""
+    """The k best of each query of a block in a shard; of equal products the smaller ids, whatever the beam's order. Rows
+    of a shard and rows of a block come together where both are there, side by side and sorted."""
+    last: dict = {}
     for batch in batches:
         for row in batch.to_pylist():
+            here = (row["dim"], row["shard"], row["block"])
+            if row["q"] is None:
+                last = row | {"here": here}
+                continue
+            if last.get("here") != here:
+                continue
+            row = last | {c: row[c] for c in ("q", "qid")}
             x, q = (np.frombuffer(row[c], np.float64 if row["wide"] else np.float32).reshape(-1, row["dim"]) for c in "xq")
             graph = ProductGraph.load(x, np.frombuffer(row["graph"], np.int32).reshape(len(x), -1), np.frombuffer(row["entries"], np.int64), row["beam"])
             counts = np.frombuffer(row["counts"], np.int32)
@@ -280,7 +291,8 @@ def build_index(embeddings: DataFrame, k: int = 21, scratch: Scratch | None = No
     scratch = scratch or Scratch(embeddings.sparkSession)
     folded = scratch.write(classes(usable(embeddings), k))
     shards = max(SHARDS, -(-folded.count() // SHARD_ROWS))
-    index = folded.withColumn("shard", F.pmod(F.xxhash64("cid"), F.lit(shards)).cast("int")).groupBy("dim", "shard").applyInArrow(_build, INDEX)
+    dealt = folded.withColumn("shard", F.pmod(F.xxhash64("cid"), F.lit(shards)).cast("int")).repartition(shards, "dim", "shard")
+    index = dealt.groupBy("dim", "shard").applyInArrow(_build, INDEX)
     return scratch.write(index), folded
 
 
@@ -300,9 +312,14 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, beam: int = 96,
     queries = scratch.write(usable_rows.where(F.col("vec_id") % every == 0).join(folded.select("embedding", "cid", "dim"), "embedding").select("vec_id", "cid", "dim"))
     distinct = folded.join(queries.select("cid").distinct(), "cid", "left_semi")
     n = max(1, -(-distinct.count() // BLOCK_ROWS))
-    packed = distinct.groupBy("dim", F.pmod(F.xxhash64("cid"), F.lit(n)).alias("block")).applyInArrow(_pack, "dim int, q binary, qid binary")
-    shards = index.select("dim", "shard").distinct()
-    found = packed.join(shards, "dim").join(index, ["dim", "shard"]).mapInArrow(lambda it: _search(it, k + 1, beam), "cid long, vec_id long, score double")
+    packed = distinct.groupBy("dim", F.pmod(F.xxhash64("cid"), F.lit(n)).alias("block")).applyInArrow(lambda key, t: _pack(t, key[1].as_py()), "dim int, block long, q binary, qid binary")
+    # A shard goes to each block of queries once, and meets it in a task of its own.
+    shards = index.agg(F.max("shard")).first()[0] or 0
+    both = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    both = both.unionByName(packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards)))), allowMissingColumns=True)
+    keys = ["dim", "shard", "block"]
+    met = both.repartition(min((shards + 1) * n, MOST_TASKS), *keys).sortWithinPartitions(*keys, F.col("q").isNotNull())
+    found = met.mapInArrow(lambda it: _search(it, k + 1, beam), "cid long, vec_id long, score double")
     best = found.groupBy("cid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k + 1).alias("best"))
     own = queries.select(F.col("vec_id").alias("query_id"), "cid").join(best, "cid")
     top = own.select("query_id", F.posexplode(F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k)).alias("at", "b"))
