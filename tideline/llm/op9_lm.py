@@ -4,17 +4,18 @@ Restaurants: one for each previous word (by its 64-bit hash), all of which share
 its parent is uniform over the vocabulary and one unknown word. A dish's customers in the unigram restaurant are its
 tables in the context restaurants.
 
-The corpus is dealt by pair (previous word, word), so that a word or a context that makes up a third of all tokens is
-spread over all buckets; a block of documents sends a pair once, with its count. Where a pair occurs stays with its
-block. A bucket holds the tables of its pairs. What it needs of a restaurant as a whole (customers and tables of a
-context, customers and tables of a word in the unigram restaurant) is added up, by part of the contexts and of the
-words, after every sweep, and each bucket is sent back that of its own; the parts of the words draw the unigram tables.
-These totals are written and joined by bucket, and the driver sees sums over all of them only.
+The corpus is dealt by word: a word's bucket holds its counts in every context, hence all its unigram customers. Words
+that make up more than a set share of all tokens are hot: their pairs (previous word, word) are dealt by pair, so that
+they are spread over all buckets. The number of hot words is bounded by that share, and so is what the driver keeps of
+them: their customers and tables in the unigram restaurant, summed over the buckets; it draws those tables. Of a
+context, a bucket knows the totals (customers, tables) only: after a sweep every bucket sends its share of them by part
+of the contexts, where they are added up, and is sent back those of its own contexts; they are written and joined by
+bucket, and the driver sees counts over all restaurants.
 
 A sweep draws, in every bucket, the tables of each pair from their conditional distribution given the totals of the
 sweep before: exactly, by generalised Stirling numbers, up to EXACT customers, and beyond by seating in batches. A sweep
 is replayed from its seed and the totals instead of being stored. Predictive probabilities are averaged over the sweeps
-after the burn-in, and go back to the blocks, which add them up by document.
+after the burn-in.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
@@ -39,12 +40,18 @@ EXACT = 32
 _END = U64(0x9D8F3B1C5E7A6421)
 
 
+#: A word is hot with a share of all tokens of 1 / (HOT_BUCKETS * buckets), or 1 / MOST_HOT where that is more.
+HOT_BUCKETS, MOST_HOT = 4, 1 << 16
+
+
 @dataclass
 class Totals:
-    """Of one sweep: tables of all context restaurants, and of the unigram restaurant."""
+    """Of one sweep: tables of all context restaurants, and of the unigram restaurant; its customers and tables of hot words."""
 
     tables: int
     top_tables: int
+    hot_customers: np.ndarray
+    hot_tables: np.ndarray
 
 
 @dataclass
@@ -56,6 +63,8 @@ class Model:
     strength: float
     seed: int
     sweeps: list[Totals]
+    #: Training tokens of each hot word.
+    hot_count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
 
 def held_out(doc_id: int, fold: int = 2, folds: int = 7) -> bool:
@@ -73,13 +82,32 @@ def _tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, before, doc
 
 
-_SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("w", "pairs", "u", "c", "sizes", "inc", "doc", "docs"))])
-_SENT_DDL = "bucket int, block long, kind int, w binary, pairs binary, u binary, c binary, sizes binary, inc binary, doc binary, docs binary"
+def _common(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Words with a share of 1 / (2 * most) of a block's tokens, and (word 0) all of its tokens."""
+    for batch in batches:
+        for block in blocks(batch):
+            words, n = np.unique(_tokens(block)[0], return_counts=True)
+            some = 2 * most * n >= n.sum()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((words[some].view(np.int64), [0]))), pa.array(np.concatenate((n[some], [n.sum()])))], names=["word", "n"])
+
+
+def hot_words(docs: DataFrame, buckets: int) -> np.ndarray:
+    """Hashes, sorted, of the words that are hot; twice as many as the share allows at most. A word with the whole share
+    has half of it in blocks where it is common, so that counts from there find all."""
+    most = min(MOST_HOT, HOT_BUCKETS * buckets)
+    counts = docs.mapInArrow(lambda it: _common(it, most), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = counts.where("word = 0").first()
+    rows = counts.where((F.col("word") != 0) & (2 * most * F.col("n") >= total["n"])).collect() if total else []
+    return np.sort(np.array([r["word"] for r in rows], np.int64).view(U64))
+
+
+_SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("w", "pairs", "u", "inc", "doc", "times", "docs"))])
+_SENT_DDL = "bucket int, block long, kind int, w binary, pairs binary, u binary, inc binary, doc binary, times binary, docs binary"
 
 
-def _send(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """For each block, a row of its own (kind 0) with its documents and, pair by pair in the order of (bucket, word,
-    context), the documents that the pair occurs in; and for each bucket a row (kind 1) of its pairs with training counts."""
+def _send(batches: Iterator[pa.RecordBatch], n: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """For each block and bucket: distinct words, their contexts, and for each of those the documents it occurs in, with
+    how often."""
     part, count = TaskContext.get().partitionId(), 0
     for batch in batches:
         for block in blocks(batch):
@@ -87,54 +115,60 @@ def _send(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
             h, u, doc = _tokens(block)
             train = np.array([not held_out(i) for i in block.ids.tolist()])
             ids = np.stack((block.ids, np.bincount(doc, minlength=len(block.ids)), train), 1).astype(np.int64)
-            to = (mix(h ^ mix(u + U64(0x632BE59BD9B4E019))) >> U64(40)).astype(np.int64) % n
+            rows: list[dict] = [{"bucket": uid % n, "block": uid, "kind": 0, "docs": ids.tobytes()}]
+            to = (np.where(np.isin(h, hot), mix(h ^ mix(u + U64(0x632BE59BD9B4E019))), h) >> U64(40)).astype(np.int64) % n
             order = np.lexsort((doc, u, h, to))
             h, u, doc, to = h[order], u[order], doc[order], to[order]
-            pair = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (u[1:] != u[:-1]))))
-            inc = np.diff(np.concatenate((pair, [len(h)])))
-            c = np.add.reduceat(train[doc].astype(np.int64), pair)
-            sizes = np.bincount(to[pair], minlength=n)
-            rows: list[dict] = [{"bucket": uid % n, "block": uid, "kind": 0, "sizes": sizes.astype(np.int32).tobytes(), "inc": inc.astype(np.int32).tobytes(), "doc": doc.astype(np.int32).tobytes(), "docs": ids.tobytes()}]
-            for bucket, (hh, uu, cc) in by_key(to[pair], h[pair], u[pair], c):
-                new = np.flatnonzero(np.concatenate(([True], hh[1:] != hh[:-1])))
-                per_word = np.diff(np.concatenate((new, [len(hh)])))
-                rows.append({"bucket": bucket, "block": uid, "kind": 1, "w": hh[new].tobytes(), "pairs": per_word.astype(np.int32).tobytes(), "u": uu.tobytes(), "c": cc.astype(np.int32).tobytes()})
+            first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (u[1:] != u[:-1]) | (doc[1:] != doc[:-1]))))
+            times = np.diff(np.concatenate((first, [len(h)])))
+            for bucket, (hh, uu, dd, tt) in by_key(to[first], h[first], u[first], doc[first], times):
+                new_w = np.concatenate(([True], hh[1:] != hh[:-1]))
+                pair = np.flatnonzero(new_w | np.concatenate(([True], uu[1:] != uu[:-1])))
+                per_word = np.bincount((np.cumsum(new_w) - 1)[pair])
+                inc = np.diff(np.concatenate((pair, [len(hh)])))
+                rows.append({"bucket": bucket, "block": uid, "kind": 1, "w": hh[new_w].tobytes(), "pairs": per_word.astype(np.int32).tobytes(), "u": uu[pair].tobytes(), "inc": inc.astype(np.int32).tobytes(), "doc": dd.astype(np.int32).tobytes(), "times": tt.astype(np.int32).tobytes(), "docs": train.astype(np.int8).tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema=_SENT)
 
 
-_MERGED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("words", "pairs", "contexts", "u", "c", "place", "blocks", "sizes", "inc", "doc", "docs"))])
-_MERGED_DDL = "bucket int, block long, kind int, words binary, pairs binary, contexts binary, u binary, c binary, place binary, blocks binary, sizes binary, inc binary, doc binary, docs binary"
+_MERGED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("hot", "pairs", "contexts", "u", "c", "inc", "doc", "times", "blocks", "docs"))])
+_MERGED_DDL = "bucket int, kind int, hot binary, pairs binary, contexts binary, u binary, c binary, inc binary, doc binary, times binary, blocks binary, docs binary"
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """A bucket's pairs, once each: words in the order of their hash, their contexts (as places in the sorted `contexts`)
-    with training counts, and for each block the places of the pairs that it sent (as steps). Rows of blocks pass."""
+def _merge(table: pa.Table, hot: np.ndarray) -> pa.Table:
+    """A bucket's blocks as one: words in the order of their hash (`hot`: the place among hot words, or -1), their contexts
+    (as places in the sorted `contexts`) with training counts, and where they occur. Rows of blocks pass."""
     kind = np.asarray(table.column("kind"))
-    own = table.filter(pa.array(kind == 0))
-    out = [{c: row[c] for c in ("bucket", "block", "kind", "sizes", "inc", "doc", "docs")} for row in own.to_pylist()]
+    bucket = table.column("bucket")[0].as_py()
+    out = [{"bucket": bucket, "kind": 0, "blocks": np.array([row["block"]], np.int64).tobytes(), "docs": row["docs"]} for row in table.filter(pa.array(kind == 0)).to_pylist()]
     body = table.filter(pa.array(kind == 1)).sort_by("block")
     if body.num_rows:
         read = lambda name, kind: [np.frombuffer(x, kind) for x in body.column(name).to_pylist()]
-        us = read("u", U64)
-        ends = np.cumsum([len(x) for x in us])
+        train = read("docs", np.int8)
+        base = np.concatenate(([0], np.cumsum([len(x) for x in train])))
+        doc = np.concatenate([d + b for d, b in zip(read("doc", np.int32), base[:-1], strict=True)])
+        times, inc = np.concatenate(read("times", np.int32)), np.concatenate(read("inc", np.int32))
         h = np.repeat(np.concatenate(read("w", U64)), np.concatenate(read("pairs", np.int32)))
-        u, c = np.concatenate(us), np.concatenate(read("c", np.int32)).astype(np.int64)
+        u = np.concatenate(read("u", U64))
         order = np.lexsort((u, h))
-        h, u, c = h[order], u[order], c[order]
-        first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (u[1:] != u[:-1]))))
-        group = np.zeros(len(h), np.int64)
-        group[first[1:]] = 1
-        place = np.empty(len(h), np.int64)
-        place[order] = np.cumsum(group)
-        h, u, c = h[first], u[first], np.add.reduceat(c, first)
-        new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        contexts, u = np.unique(u, return_inverse=True)
-        steps = np.diff(place, prepend=0)
-        steps[ends[:-1]] = place[ends[:-1]]  # each block begins anew
+        start = np.concatenate(([0], np.cumsum(inc)))[:-1][order]
+        size = inc[order]
+        cuts = np.concatenate(([0], np.cumsum(size)))
+        at = np.repeat(start - cuts[:-1], size) + np.arange(cuts[-1])
+        doc, times = doc[at], times[at]
+        h, u = h[order], u[order]
+        new_w = np.concatenate(([True], h[1:] != h[:-1]))
+        first = np.flatnonzero(new_w | np.concatenate(([True], u[1:] != u[:-1])))
+        learn = np.concatenate(train)[doc] * times.astype(np.int64)
+        c = np.add.reduceat(learn, cuts[:-1][first])
+        pairs = np.bincount((np.cumsum(new_w) - 1)[first])
+        contexts, u = np.unique(u[first], return_inverse=True)
+        words = h[new_w]
+        place = np.minimum(np.searchsorted(hot, words), max(0, len(hot) - 1))
+        is_hot = hot[place] == words if len(hot) else np.zeros(len(words), bool)
         uids = np.array(body.column("block").to_pylist(), np.int64)
         out.append({
-            "bucket": table.column("bucket")[0].as_py(), "block": -1, "kind": 1, "words": h[new].tobytes(), "pairs": np.diff(np.concatenate((new, [len(h)]))).astype(np.int32).tobytes(), "contexts": contexts.tobytes(),
-            "u": u.astype(np.int32).tobytes(), "c": c.tobytes(), "place": steps.astype(np.int32).tobytes(), "blocks": np.stack((uids, np.diff(np.concatenate(([0], ends)))), 1).astype(np.int64).tobytes(),
+            "bucket": bucket, "kind": 1, "hot": np.where(is_hot, place, -1).astype(np.int32).tobytes(), "pairs": pairs.astype(np.int32).tobytes(), "contexts": contexts.tobytes(), "u": u.astype(np.int32).tobytes(), "c": c.tobytes(),
+            "inc": np.add.reduceat(size, first).astype(np.int32).tobytes(), "doc": doc.astype(np.int32).tobytes(), "times": times.tobytes(), "blocks": np.stack((uids, np.diff(base)), 1).astype(np.int64).tobytes(),
         })
     return pa.Table.from_pylist(out, schema=_MERGED)
 
@@ -178,179 +212,185 @@ def seat(c: np.ndarray, tables: np.ndarray, base: np.ndarray, discount: float, s
 
 
 class Bucket:
-    """The pairs of one bucket, with the sweeps replayed over them."""
+    """The words of one bucket, with the sweeps replayed over them."""
 
     def __init__(self, row: dict):
         self.bucket = row["bucket"]
-        self.words, self.contexts = (np.frombuffer(row[k], U64) for k in ("words", "contexts"))
-        self.pairs, self.u = (np.frombuffer(row[k], np.int32) for k in ("pairs", "u"))
+        self.contexts = np.frombuffer(row["contexts"], U64)
+        # Of each sweep so far the tables, and the customers, of the bucket's contexts; parts are in the order of contexts.
+        known: dict[int, list[dict]] = {}
+        for x in sorted(row.get("totals") or [], key=lambda x: (x["sweep"], x["part"])):
+            known.setdefault(x["sweep"], []).append(x)
+        self.tables = [np.frombuffer(b"".join(x["tables"] for x in known[k]), np.int64) for k in sorted(known)]
+        self.customers = np.frombuffer(b"".join(x["customers"] for x in known.get(0, [])), np.int64)
+        self.pairs, self.u, self.hot = (np.frombuffer(row[k], np.int32) for k in ("pairs", "u", "hot"))
         self.c = np.frombuffer(row["c"], np.int64)
         self.word = np.repeat(np.arange(len(self.pairs)), self.pairs)
-        # Of each sweep so far the tables of the bucket's contexts, and customers and tables of its words in the unigram
-        # restaurant; parts are in the order of contexts and words.
-        known: dict[tuple[int, int], list[dict]] = {}
-        for x in sorted(row.get("totals") or [], key=lambda x: (x["sweep"], x["kind"], x["part"])):
-            known.setdefault((x["kind"], x["sweep"]), []).append(x)
-        joined = lambda kind, sweep, name: np.frombuffer(b"".join(x[name] or b"" for x in known.get((kind, sweep), [])), np.int64)
-        sweeps = sorted({sweep for _, sweep in known})
-        self.tables, self.top_customers, self.top_tables = ([joined(kind, k, name) for k in sweeps] for kind, name in ((0, "a"), (1, "a"), (1, "b")))
-        self.customers, self.count = joined(0, 0, "b"), joined(1, 0, "c")
-
-    def top(self, model: Model, sweep: int) -> np.ndarray:
-        """The unigram probability of each word, in a sweep whose totals are known."""
-        d, s, totals = model.top_discount, model.strength, model.sweeps[sweep]
-        return (np.maximum(self.top_customers[sweep] - d * self.top_tables[sweep], 0) + (s + d * totals.top_tables) / (model.vocabulary + 1)) / (s + totals.tables)
-
-    def replay(self, model: Model) -> Iterator[np.ndarray]:
-        """Tables by pair: at first one for each pair, then after each sweep whose totals are known."""
+        # Hot words and those that are the bucket's own.
+        self.far, self.near = np.flatnonzero(self.hot >= 0), self.hot < 0
+
+    def by_word(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.word, x, len(self.pairs)).astype(np.int64)
+
+    def count(self, model: Model) -> np.ndarray:
+        """Training tokens of each word."""
+        out = self.by_word(self.c)
+        if len(self.far):
+            out[self.far] = model.hot_count[self.hot[self.far]]
+        return out
+
+    def replay(self, model: Model) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+        """Tables by pair, unigram tables by word (of its own words), and the unigram probability by word, null after the
+        last sweep whose totals are known."""
         t = np.minimum(self.c, 1)
-        yield t
-        for k in range(len(model.sweeps)):
+        top_t = np.minimum(self.by_word(self.c), 1)
+        uniform = np.full(len(self.pairs), 1 / (model.vocabulary + 1))
+        d, s = model.top_discount, model.strength
+        for k, totals in enumerate(model.sweeps):
             rng = np.random.Generator(np.random.PCG64([model.seed, k, self.bucket]))
-            t = seat(self.c, np.maximum(self.tables[k][self.u] - t, 0), self.top(model, k)[self.word], model.discount, model.strength, rng)
-            yield t
-
-    def probability(self, model: Model, t: np.ndarray, sweep: int) -> np.ndarray:
+            customers, tables = self.by_word(t), top_t.copy()
+            customers[self.far], tables[self.far] = totals.hot_customers[self.hot[self.far]], totals.hot_tables[self.hot[self.far]]
+            p = (np.maximum(customers - d * tables, 0) + (s + d * totals.top_tables) * uniform) / (s + totals.tables)
+            yield t, top_t, p
+            t = seat(self.c, np.maximum(self.tables[k][self.u] - t, 0), p[self.word], model.discount, model.strength, rng)
+            top_t = seat(np.where(self.near, self.by_word(t), 0), np.maximum(totals.top_tables - top_t, 0), uniform, d, s, rng)
+        yield t, top_t, None
+
+    def probability(self, model: Model, t: np.ndarray, p: np.ndarray, sweep: int) -> np.ndarray:
         """Of each pair's word after its context."""
         d, s = model.discount, model.strength
-        rest = (s + d * self.tables[sweep][self.u]) * self.top(model, sweep)[self.word]
-        return (np.maximum(self.c - d * t, 0) + rest) / (s + self.customers[self.u])
+        return (np.maximum(self.c - d * t, 0) + (s + d * self.tables[sweep][self.u]) * p[self.word]) / (s + self.customers[self.u])
 
 
-#: Sums of one part. kind 0, contexts: a tables, b customers. kind 1, words: a customers and b tables in the unigram
-#: restaurant, c training tokens. kind 2: counts over all only. m0..m7: tokens, words, tables, unigram tables, pairs with
-#: one customer and with two, words with one customer and with two.
+#: Rows of a bucket: kind 0, its contexts by part; kind 1, its hot words, one each (part: the place, x: customers, y: tokens);
+#: kind 2, counts over all: tokens, words, tables, unigram tables, pairs with one customer and with two, words likewise.
 _COUNTS = [f"m{i}" for i in range(8)]
-_SUMS_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), *((c, pa.binary()) for c in "abc"), *((m, pa.int64()) for m in _COUNTS)])
-_SUMS = "kind int, part int, bucket int, keys binary, a binary, b binary, c binary, " + ", ".join(f"{m} long" for m in _COUNTS)
+_SUMS_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("contexts", "customers", "tables")), *((m, pa.int64()) for m in ("x", "y", *_COUNTS))])
+_SUMS = "kind int, part int, bucket int, contexts binary, customers binary, tables binary, x long, y long, " + ", ".join(f"{m} long" for m in _COUNTS)
 
 
 def _totals(batches: Iterator[pa.RecordBatch], model: Model, parts: int) -> Iterator[pa.RecordBatch]:
-    """A bucket's share of the totals, by part of its contexts and of its words (their high bits)."""
+    """A bucket's share of the totals: of contexts by part (their high bits), of hot words, and counts."""
     edges = np.arange(1, parts, dtype=U64) << U64(64 - (parts.bit_length() - 1))
     first = not model.sweeps
     for batch in batches:
         for row in batch.to_pylist():
             b = Bucket(row)
-            for t in b.replay(model):
+            for t, top_t, _ in b.replay(model):
                 pass
-            rows: list[dict] = [{"kind": 2, "part": b.bucket % parts, "bucket": -1, "m2": int(t.sum()), "m4": int((b.c == 1).sum()), "m5": int((b.c == 2).sum())}]
-            add = lambda at, x, size: np.bincount(at, x, size).astype(np.int64)
-            last = np.zeros(0, np.int64) if first else b.top_tables[-1]
-            for kind, keys, sums in (
-                (0, b.contexts, {"a": add(b.u, t, len(b.contexts)), **({"b": add(b.u, b.c, len(b.contexts))} if first else {})}),
-                (1, b.words, {"a": add(b.word, t, len(b.words)), **({"c": add(b.word, b.c, len(b.words))} if first else {"b": last})}),
-            ):
-                cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-                for part, (i, j) in enumerate(zip(cuts, cuts[1:])):
-                    if i < j:
-                        rows.append({"kind": kind, "part": part, "bucket": b.bucket, "keys": keys[i:j].tobytes(), **{c: x[i:j].tobytes() for c, x in sums.items()}})
+            add = lambda x: np.bincount(b.u, x, len(b.contexts)).astype(np.int64)  # noqa: B023, E731
+            count, top = b.by_word(b.c), b.by_word(t)
+            near = b.near
+            numbers = [count[near].sum(), (count[near] > 0).sum(), t.sum(), top_t[near].sum(), (b.c == 1).sum(), (b.c == 2).sum(), (top[near] == 1).sum(), (top[near] == 2).sum()]
+            rows: list[dict] = [{"kind": 2, "bucket": -1, **{m: int(x) for m, x in zip(_COUNTS, numbers, strict=True)}}]
+            rows += [{"kind": 1, "part": int(b.hot[i]), "bucket": -1, "x": int(top[i]), "y": int(count[i])} for i in b.far]
+            sums = {"tables": add(t), **({"customers": add(b.c)} if first else {})}
+            cuts = [0, *np.searchsorted(b.contexts, edges).tolist(), len(b.contexts)]
+            for part, (i, j) in enumerate(zip(cuts, cuts[1:])):
+                if i < j:
+                    rows.append({"kind": 0, "part": part, "bucket": b.bucket, "contexts": b.contexts[i:j].tobytes(), **{c: x[i:j].tobytes() for c, x in sums.items()}})
             yield pa.RecordBatch.from_pylist(rows, schema=_SUMS_SCHEMA)
 
 
-def _add(table: pa.Table, model: Model) -> pa.Table:
-    """The sums of a part over all buckets, for each bucket those of its own keys; of words also the unigram tables, drawn
-    here, where all customers of a word are known."""
-    kind, part = table.column("kind")[0].as_py(), table.column("part")[0].as_py()
-    if kind == 2:
-        return pa.Table.from_pylist([{"kind": 2, "part": part, "bucket": -1, **{m: sum(x or 0 for x in table.column(m).to_pylist()) for m in _COUNTS}}], schema=_SUMS_SCHEMA)
-    table = table.sort_by("bucket")
-    read = lambda name: [np.frombuffer(x or b"", np.int64) for x in table.column(name).to_pylist()]
-    keys = [np.frombuffer(x, U64) for x in table.column("keys").to_pylist()]
-    cuts = np.cumsum([len(x) for x in keys])[:-1]
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    add = lambda name: np.bincount(place, x, len(distinct)).astype(np.int64) if len(x := np.concatenate(read(name))) else None
-    out, more = {"a": add("a")}, []
-    if kind == 0:
-        out["b"] = add("b")
-    else:
-        out["c"] = add("c")
-        if model.sweeps:
-            before = np.zeros(len(distinct), np.int64)
-            before[place] = np.concatenate(read("b"))
-            rng = np.random.Generator(np.random.PCG64([model.seed, len(model.sweeps), part, 1]))
-            others = np.maximum(model.sweeps[-1].top_tables - before, 0)
-            out["b"] = seat(out["a"], others, np.full(len(distinct), 1 / (model.vocabulary + 1)), model.top_discount, model.strength, rng)
-        else:
-            out["b"] = np.minimum(out["a"], 1)
-        count = out["c"] if out["c"] is not None else np.zeros(0, np.int64)
-        more = [{"kind": 1, "part": part, "bucket": -1, "m0": int(count.sum()), "m1": int((count > 0).sum()), "m3": int(out["b"].sum()), "m6": int((out["a"] == 1).sum()), "m7": int((out["a"] == 2).sum())}]
-    rows = [{"kind": kind, "part": part, "bucket": x} for x in table.column("bucket").to_pylist()]
-    for name, sums in out.items():
-        for row, x in zip(rows, np.split(sums[place], cuts) if sums is not None else [], strict=False):
-            row[name] = x.tobytes()
-    return pa.Table.from_pylist(rows + more, schema=_SUMS_SCHEMA)
+_TOTALS_SCHEMA = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("customers", pa.binary()), ("tables", pa.binary())])
+_TOTALS = "part int, bucket int, customers binary, tables binary"
+
+
+def _add(table: pa.Table) -> pa.Table:
+    """The sums of a part of the contexts over all buckets, for each bucket those of its own."""
+    read = lambda name, kind: [np.frombuffer(x or b"", kind) for x in table.column(name).to_pylist()]
+    contexts = read("contexts", U64)
+    cuts = np.cumsum([len(x) for x in contexts])[:-1]
+    place = np.unique(np.concatenate(contexts), return_inverse=True)[1]
+    out: dict[str, object] = {"part": table.column("part"), "bucket": table.column("bucket")}
+    for name in ("customers", "tables"):
+        given = np.concatenate(read(name, np.int64))
+        sums = np.split(np.bincount(place, given).astype(np.int64)[place], cuts) if len(given) else [None] * table.num_rows
+        out[name] = pa.array([None if x is None else x.tobytes() for x in sums], pa.binary())
+    return pa.table(out, schema=_TOTALS_SCHEMA)
 
 
 def _with_totals(body: DataFrame, written: list[DataFrame]) -> DataFrame:
-    """Buckets with the totals of their contexts and words in each sweep so far."""
+    """Buckets with the totals of their contexts in each sweep so far."""
     if not written:
         return body
-    rows = [x.where("bucket >= 0").select("bucket", F.struct(F.lit(k).alias("sweep"), "kind", "part", "a", "b", "c").alias("one")) for k, x in enumerate(written)]
+    rows = [x.select("bucket", F.struct(F.lit(k).alias("sweep"), "part", "customers", "tables").alias("one")) for k, x in enumerate(written)]
     totals = reduce(DataFrame.unionByName, rows).groupBy("bucket").agg(F.collect_list("one").alias("totals"))
     return body.join(totals.hint("merge"), "bucket", "left")
 
 
-def advanced(model: Model, sums: list[int]) -> None:
-    """The model after a sweep, from the sums of all its counts."""
-    tokens, words, tables, top_tables, *seen = sums
-    if not model.sweeps:
-        model.train_tokens, model.vocabulary = tokens, words
+def advanced(model: Model, counts: list[int], hot: dict[int, tuple[int, int]], n_hot: int) -> None:
+    """The model after a sweep, from the sums of all its counts and of the hot words (customers, tokens); draws their tables."""
+    tokens, words, tables, top_tables, *seen = counts
+    customers, count = (np.array([hot.get(i, (0, 0))[c] for i in range(n_hot)], np.int64) for c in (0, 1))
+    if model.sweeps:
+        rng = np.random.Generator(np.random.PCG64([model.seed, len(model.sweeps), 2**31]))
+        last = model.sweeps[-1]
+        hot_tables = seat(customers, np.maximum(last.top_tables - last.hot_tables, 0), np.full(n_hot, 1 / (model.vocabulary + 1)), model.top_discount, model.strength, rng)
+    else:
+        hot_tables = np.minimum(customers, 1)
+        model.hot_count, model.train_tokens, model.vocabulary = count, tokens + int(count.sum()), words + int((count > 0).sum())
         # Discounts from counts of counts, as for absolute discounting.
-        model.discount, model.top_discount = (float(np.clip(one / max(1, one + 2 * two), 0.05, 0.95)) for one, two in (seen[:2], seen[2:]))
-    model.sweeps.append(Totals(tables, top_tables))
+        ones, twos = (seen[2 + i] + int((customers == i + 1).sum()) for i in (0, 1))
+        model.discount, model.top_discount = (float(np.clip(one / max(1, one + 2 * two), 0.05, 0.95)) for one, two in (seen[:2], (ones, twos)))
+    model.sweeps.append(Totals(tables, top_tables + int(hot_tables.sum()), customers, hot_tables))
 
 
-def train(merged: DataFrame, n: int, sweeps: int, strength: float, seed: int, scratch: Scratch) -> tuple[Model, list[DataFrame]]:
+def train(merged: DataFrame, n: int, n_hot: int, sweeps: int, strength: float, seed: int, scratch: Scratch) -> tuple[Model, list[DataFrame]]:
     """The model's counts over all, and the written totals of each sweep."""
-    body = merged.where("kind = 1").select("bucket", "words", "pairs", "contexts", "u", "c")
+    body = merged.where("kind = 1").select("bucket", "hot", "pairs", "contexts", "u", "c")
     model, written = Model(0, 0, 0.5, 0.5, strength, seed, []), []
     for _ in range(sweeps + 1):
-        sums = _with_totals(body, written).mapInArrow(lambda it: _totals(it, model, n // 2), _SUMS)
-        added = sums.repartition(n, "kind", "part").groupBy("kind", "part").applyInArrow(lambda t: _add(t, model), _SUMS)
-        written.append(scratch.write(added.drop("keys")))
-        advanced(model, [int(x) for x in written[-1].agg(*[F.coalesce(F.sum(m), F.lit(0)) for m in _COUNTS]).first()])
+        # Written before they are dealt, as two things are made of them.
+        sums = scratch.write(_with_totals(body, written).mapInArrow(lambda it: _totals(it, model, max(1, n // 2)), _SUMS))
+        added = sums.where("kind = 0").repartition(n, "part").groupBy("part").applyInArrow(_add, _TOTALS)
+        written.append(scratch.write(added))
+        counts = sums.where("kind = 2").agg(*[F.coalesce(F.sum(m), F.lit(0)) for m in _COUNTS]).first()
+        hot = sums.where("kind = 1").groupBy("part").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()  # a row for each hot word
+        advanced(model, [int(x) for x in counts], {r["part"]: (r["x"], r["y"]) for r in hot}, n_hot)
+        scratch.drop(sums)
     return model, written
 
 
-_BACK = "block long, bucket int, logs binary, counts binary, sizes binary, inc binary, doc binary, docs binary"
-_BACK_SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("logs", "counts", "sizes", "inc", "doc", "docs"))])
-
-
 def _score(batches: Iterator[pa.RecordBatch], model: Model, burn_in: int) -> Iterator[pa.RecordBatch]:
-    """For each bucket and block, in the order in which the block sent its pairs: log10 of the probability, averaged over
-    the sweeps after the burn-in, and the word's training count."""
+    """For each bucket and block: documents (by place in the block) with their sums over the bucket's tokens."""
     for batch in batches:
         for row in batch.to_pylist():
+            if row["kind"] == 0:
+                yield pa.RecordBatch.from_pydict({"block": np.frombuffer(row["blocks"], np.int64), "place": pa.array([None], pa.binary()), "sums": pa.array([None], pa.binary()), "docs": pa.array([row["docs"]], pa.binary())})
+                continue
             b = Bucket(row)
             mean, n, last = np.zeros(len(b.c)), 0, len(model.sweeps) - 1
-            for k, t in enumerate(b.replay(model)):
+            for k, (t, _, p) in enumerate(b.replay(model)):
                 if k > burn_in or k == last:
-                    mean, n = mean + b.probability(model, t, k), n + 1
+                    mean, n = mean + b.probability(model, t, p, k), n + 1
                 if k == last:
                     break
-            logs, counts = np.log10(mean / n).astype(np.float32), b.count[b.word]
+            count = b.count(model)
+            base = np.log10((count + 1) / (model.train_tokens + model.vocabulary + 1))
+            inc = np.frombuffer(row["inc"], np.int32)
+            doc, times = np.frombuffer(row["doc"], np.int32), np.frombuffer(row["times"], np.int32)
+            each = np.stack((np.log10(mean / n), base[b.word], (count > 0)[b.word].astype(float)), 1)
             info = np.frombuffer(row["blocks"], np.int64).reshape(-1, 2)
-            steps = np.split(np.frombuffer(row["place"], np.int32), np.cumsum(info[:, 1])[:-1])
-            for (uid, _), step in zip(info.tolist(), steps, strict=True):
-                place = np.cumsum(step)
-                yield pa.RecordBatch.from_pylist([{"block": uid, "bucket": b.bucket, "logs": logs[place].tobytes(), "counts": counts[place].tobytes()}], schema=_BACK_SCHEMA)
-
-
-def _finish(table: pa.Table, model: Model) -> pa.Table:
-    """A block's documents with the sums over their tokens."""
-    table = table.sort_by("bucket")
-    own = next(row for row in table.filter(table.column("docs").is_valid()).to_pylist())
-    back = table.filter(table.column("logs").is_valid())
-    logs = np.concatenate([np.frombuffer(x, np.float32) for x in back.column("logs").to_pylist()]).astype(float)
-    counts = np.concatenate([np.frombuffer(x, np.int64) for x in back.column("counts").to_pylist()])
-    inc, doc = np.frombuffer(own["inc"], np.int32), np.frombuffer(own["doc"], np.int32)
-    if len(logs) != np.frombuffer(own["sizes"], np.int32).sum():
-        raise RuntimeError("a block misses probabilities of its pairs")
-    docs = np.frombuffer(own["docs"], np.int64).reshape(-1, 3)
-    base = np.log10((counts + 1) / (model.train_tokens + model.vocabulary + 1))
-    score, base, known = (np.bincount(doc, np.repeat(x, inc), len(docs)) for x in (logs, base, (counts > 0).astype(float)))
-    return pa.table({"doc_id": docs[:, 0], "held_out": docs[:, 2] == 0, "n_tokens": docs[:, 1], "n_known": np.rint(known).astype(np.int64), "base_score": base, "score": score})
+            edges = np.concatenate(([0], np.cumsum(info[:, 1])))
+            sums = np.stack([np.bincount(doc, np.repeat(each[:, j], inc) * times, edges[-1]) for j in range(3)], 1)
+            there = np.bincount(doc, minlength=edges[-1]) > 0
+            places, packed = [], []
+            for i in range(len(info)):
+                at = np.flatnonzero(there[edges[i] : edges[i + 1]])
+                places.append(at.astype(np.int32).tobytes())
+                packed.append(sums[edges[i] + at].tobytes())
+            yield pa.RecordBatch.from_pydict({"block": np.ascontiguousarray(info[:, 0]), "place": pa.array(places, pa.binary()), "sums": pa.array(packed, pa.binary()), "docs": pa.nulls(len(info), pa.binary())})
+
+
+def _finish(table: pa.Table) -> pa.Table:
+    docs = next(x for x in table.column("docs").to_pylist() if x is not None)
+    docs = np.frombuffer(docs, np.int64).reshape(-1, 3)
+    sums = np.zeros((len(docs), 3))
+    for place, part in zip(table.column("place").to_pylist(), table.column("sums").to_pylist(), strict=True):
+        if place is not None:
+            sums[np.frombuffer(place, np.int32)] += np.frombuffer(part, float).reshape(-1, 3)
+    return pa.table({"doc_id": docs[:, 0], "held_out": docs[:, 2] == 0, "n_tokens": docs[:, 1], "n_known": np.rint(sums[:, 2]).astype(np.int64), "base_score": sums[:, 1], "score": sums[:, 0]})
 
 
 def score(docs: DataFrame, sweeps: int = 4, burn_in: int = 1, strength: float = 1.0, seed: int = 9, scratch: Scratch | None = None) -> DataFrame:
@@ -365,12 +405,13 @@ def score(docs: DataFrame, sweeps: int = 4, burn_in: int = 1, strength: float =
     scratch = scratch or Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     n = deal(docs, 5_000_000)
-    merged = scratch.write(docs.mapInArrow(lambda it: _send(it, n), _SENT_DDL).repartition(n, "bucket").groupBy("bucket").applyInArrow(_merge, _MERGED_DDL))
-    model, written = train(merged, n, sweeps, strength, seed, scratch)
-    own = merged.where("kind = 0").select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("logs"), F.lit(None).cast("binary").alias("counts"), "sizes", "inc", "doc", "docs")
-    body = _with_totals(merged.where("kind = 1").select("bucket", "words", "pairs", "contexts", "u", "c", "place", "blocks"), written)
-    back = own.unionByName(body.mapInArrow(lambda it: _score(it, model, burn_in), _BACK))
-    out = back.repartition(n, "block").groupBy("block").applyInArrow(lambda t: _finish(t, model), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    hot = hot_words(docs, n)
+    merged = scratch.write(docs.mapInArrow(lambda it: _send(it, n, hot), _SENT_DDL).repartition(n, "bucket").groupBy("bucket").applyInArrow(lambda t: _merge(t, hot), _MERGED_DDL))
+    model, written = train(merged, n, len(hot), sweeps, strength, seed, scratch)
+    columns = ["bucket", "kind", "hot", "pairs", "contexts", "u", "c", "inc", "doc", "times", "blocks", "docs"]
+    scored = lambda rows: rows.mapInArrow(lambda it: _score(it, model, burn_in), "block long, place binary, sums binary, docs binary")
+    parts = scored(merged.where("kind = 0").select(*columns)).unionByName(scored(_with_totals(merged.where("kind = 1").select(*columns), written)))
+    out = parts.repartition(n, "block").groupBy("block").applyInArrow(_finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score", F.expr("power(10, -score / n_tokens)").alias("perplexity"))
 
 
