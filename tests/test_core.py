@@ -272,3 +272,38 @@ def test_streams_with_state_over_batches(spark, tmp_path):
     q = streams.moving_average(source, 5, ["k"]).writeStream.foreachBatch(lambda b, _: out.extend(b.collect())).option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r["seq"], r["moving_avg"]) for r in out} == {(0, 10.0), (1, 15.0), (2, 30.0), (3, 40.0), (4, 1.0)}
+
+
+def test_orders(spark, tmp_path):
+    """What is returned in an order: samples by series, time and arrival; aggregates and rollups by series and bucket; files by series and time."""
+    store, points = _store(spark, tmp_path)
+    mixed = points.withColumn("tags_json", F.concat(F.lit('{"d":"'), (F.col("seq") % 3).cast("string"), F.lit('"}'))).withColumn("ts_us", F.col("ts_us") % 7_000_000 * 13).orderBy(F.col("seq").desc())
+    store.write_points("t", mixed)
+    rows = [tuple(r) for r in store.read_points("t").select("tags_json", "ts_us", "seq").collect()]
+    assert rows == sorted(rows) and len(rows) == 120
+    rows = [tuple(r) for r in store.aggregate("t", "10s", ["count"]).select("tags_json", "bucket_us").collect()]
+    assert rows == sorted(rows) and len(rows) > 3
+    store.create_rollup_policy("r", "t", "10s", ["count"]), store.refresh_rollup("r")
+    assert [tuple(r) for r in store.query_rollup("r").select("tags_json", "bucket_us").collect()] == rows
+    for name in store.files.matching(f"{store.path('t')}/*/*/*.parquet"):
+        inside = [tuple(r) for r in spark.read.parquet(name).select("metric_name", "tags_json", "ts_us", "seq").collect()]
+        assert inside == sorted(inside)
+    assert store.register_views("t") == ["r_rollup"] + [f"t_{x}" for x in ("aggregate", "chunks", "last_value", "scan", "segments", "series")]
+    rows = [tuple(r) for r in spark.sql("select ts_us, seq from t_scan").collect()]
+    assert rows == sorted(rows)
+    assert (store.first_point("t").first()["ts_us"], store.first_point("t", F.col("ts_us") < 0).count()) == (0, 0)
+
+
+def test_names_and_versions_in_sql(spark):
+    times.register(spark)
+    row = spark.sql("select extension_loaded(), engine_version(), time_bucket_us(-1, 10), time_bucket_ms(null, 10), parse_duration_micros('x')").first()
+    assert row[0] == 1 and re.fullmatch(r"\d+\.\d+", row[1]) and tuple(row[2:]) == (-10, None, None)
+
+
+def test_upserts_keep_one_row(spark, tmp_path):
+    store, points = _store(spark, tmp_path)
+    store.create_hypertable("t", chunk="2m")
+    assert [r["chunk_us"] for r in store.catalog.rows("hypertables")] == [120_000_000] and store.ensure("t")["chunk_us"] == 120_000_000
+    assert store.ensure("new")["chunk_us"] == 3_600_000_000
+    store.write_points("t", points), store.write_points("t", points.withColumn("tags_json", F.lit('{"d":"b"}')).union(points))
+    assert sorted(r["tags_json"] for r in store.series("t").collect()) == ['{"d":"a"}', '{"d":"b"}'] and store.tags("t").count() == 2
