@@ -595,17 +595,13 @@ def sampled(rows, sweeps, parts=1, n_hot=0, seed=9):
     model = op9_lm.Model(0, 0, 0.5, 0.5, 1.0, seed, [])
     rows = [r | {"totals": []} for r in rows]
     for k in range(sweeps + 1):
-        sums = pa.Table.from_batches(op9_lm._totals(iter([Rows(rows)]), model, parts)).to_pylist()
-        groups, hot = collections.defaultdict(list), collections.defaultdict(lambda: (0, 0))
-        for x in sums:
-            if x["kind"] == 0:
-                groups[x["part"]].append(x)
-            if x["kind"] == 1:
-                hot[x["part"]] = (hot[x["part"]][0] + x["x"], hot[x["part"]][1] + x["y"])
+        groups = collections.defaultdict(list)
+        for x in pa.Table.from_batches(op9_lm._totals(iter([Rows(rows)]), model, parts, n_hot)).to_pylist():
+            groups[x["kind"], x["part"]].append(x)
         added = [x for g in groups.values() for x in op9_lm._add(pa.Table.from_pylist(g, schema=op9_lm._SUMS_SCHEMA)).to_pylist()]
         for r in rows:
             r["totals"] += [x | {"sweep": k} for x in added if x["bucket"] == r["bucket"]]
-        op9_lm.advanced(model, [sum(x[m] or 0 for x in sums if x["kind"] == 2) for m in op9_lm._COUNTS], hot, n_hot)
+        op9_lm.advanced(model, added, n_hot)
     return model, [op9_lm.Bucket(r) for r in rows]
 
 

@@ -126,7 +126,7 @@ def _send(batches: Iterator[pa.RecordBatch], n: int, hot: np.ndarray) -> Iterato
                 pair = np.flatnonzero(new_w | np.concatenate(([True], uu[1:] != uu[:-1])))
                 per_word = np.bincount((np.cumsum(new_w) - 1)[pair])
                 inc = np.diff(np.concatenate((pair, [len(hh)])))
-                rows.append({"bucket": bucket, "block": uid, "kind": 1, "w": hh[new_w].tobytes(), "pairs": per_word.astype(np.int32).tobytes(), "u": uu[pair].tobytes(), "inc": inc.astype(np.int32).tobytes(), "doc": dd.astype(np.int32).tobytes(), "times": tt.astype(np.int32).tobytes(), "docs": train.astype(np.int8).tobytes()})
+                rows.append({"bucket": bucket, "block": uid, "kind": 1, "w": hh[new_w].tobytes(), "pairs": per_word.astype(np.int32).tobytes(), "u": uu[pair].tobytes(), "inc": inc.astype(np.int32).tobytes(), "doc": dd.astype(_narrow(len(train))).tobytes(), "times": tt.astype(np.int32).tobytes(), "docs": train.astype(np.int8).tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema=_SENT)
 
 
@@ -134,6 +134,11 @@ _MERGED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.bina
 _MERGED_DDL = "bucket int, kind int, hot binary, pairs binary, contexts binary, u binary, c binary, inc binary, doc binary, times binary, blocks binary, docs binary"
 
 
+def _narrow(n: int) -> type:
+    """A type for places below n."""
+    return np.uint16 if n <= 1 << 16 else np.int32
+
+
 def _merge(table: pa.Table, hot: np.ndarray) -> pa.Table:
     """A bucket's blocks as one: words in the order of their hash (`hot`: the place among hot words, or -1), their contexts
     (as places in the sorted `contexts`) with training counts, and where they occur. Rows of blocks pass."""
@@ -145,7 +150,7 @@ def _merge(table: pa.Table, hot: np.ndarray) -> pa.Table:
         read = lambda name, kind: [np.frombuffer(x, kind) for x in body.column(name).to_pylist()]
         train = read("docs", np.int8)
         base = np.concatenate(([0], np.cumsum([len(x) for x in train])))
-        doc = np.concatenate([d + b for d, b in zip(read("doc", np.int32), base[:-1], strict=True)])
+        doc = np.concatenate([np.frombuffer(x, _narrow(len(t))) + b for x, t, b in zip(body.column("doc").to_pylist(), train, base[:-1], strict=True)])
         times, inc = np.concatenate(read("times", np.int32)), np.concatenate(read("inc", np.int32))
         h = np.repeat(np.concatenate(read("w", U64)), np.concatenate(read("pairs", np.int32)))
         u = np.concatenate(read("u", U64))
@@ -262,67 +267,78 @@ class Bucket:
         return (np.maximum(self.c - d * t, 0) + (s + d * self.tables[sweep][self.u]) * p[self.word]) / (s + self.customers[self.u])
 
 
-#: Rows of a bucket: kind 0, its contexts by part; kind 1, its hot words, one each (part: the place, x: customers, y: tokens);
-#: kind 2, counts over all: tokens, words, tables, unigram tables, pairs with one customer and with two, words likewise.
+#: kind 0, a bucket's contexts by part: customers, tables. kind 1, the hot words by part, summed over a task's buckets:
+#: customers, tokens (as tables). kind 2, counts over all: tokens, words, tables, unigram tables, pairs with one customer
+#: and with two, words likewise.
 _COUNTS = [f"m{i}" for i in range(8)]
-_SUMS_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("contexts", "customers", "tables")), *((m, pa.int64()) for m in ("x", "y", *_COUNTS))])
-_SUMS = "kind int, part int, bucket int, contexts binary, customers binary, tables binary, x long, y long, " + ", ".join(f"{m} long" for m in _COUNTS)
+_SUMS_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("contexts", "customers", "tables")), *((m, pa.int64()) for m in _COUNTS)])
+_SUMS = "kind int, part int, bucket int, contexts binary, customers binary, tables binary, " + ", ".join(f"{m} long" for m in _COUNTS)
+#: Hot words of a part.
+_HOT_PART = 4096
 
 
-def _totals(batches: Iterator[pa.RecordBatch], model: Model, parts: int) -> Iterator[pa.RecordBatch]:
-    """A bucket's share of the totals: of contexts by part (their high bits), of hot words, and counts."""
+def _totals(batches: Iterator[pa.RecordBatch], model: Model, parts: int, n_hot: int) -> Iterator[pa.RecordBatch]:
+    """A bucket's share of the totals of contexts, by part (their high bits); of a task's buckets those of hot words, and counts."""
     edges = np.arange(1, parts, dtype=U64) << U64(64 - (parts.bit_length() - 1))
     first = not model.sweeps
+    hot, counts = np.zeros((2, n_hot), np.int64), np.zeros(len(_COUNTS), np.int64)
     for batch in batches:
         for row in batch.to_pylist():
             b = Bucket(row)
             for t, top_t, _ in b.replay(model):
                 pass
             add = lambda x: np.bincount(b.u, x, len(b.contexts)).astype(np.int64)  # noqa: B023, E731
-            count, top = b.by_word(b.c), b.by_word(t)
-            near = b.near
-            numbers = [count[near].sum(), (count[near] > 0).sum(), t.sum(), top_t[near].sum(), (b.c == 1).sum(), (b.c == 2).sum(), (top[near] == 1).sum(), (top[near] == 2).sum()]
-            rows: list[dict] = [{"kind": 2, "bucket": -1, **{m: int(x) for m, x in zip(_COUNTS, numbers, strict=True)}}]
-            rows += [{"kind": 1, "part": int(b.hot[i]), "bucket": -1, "x": int(top[i]), "y": int(count[i])} for i in b.far]
+            count, top, near = b.by_word(b.c), b.by_word(t), b.near
+            counts += [count[near].sum(), (count[near] > 0).sum(), t.sum(), top_t[near].sum(), (b.c == 1).sum(), (b.c == 2).sum(), (top[near] == 1).sum(), (top[near] == 2).sum()]
+            hot[0, b.hot[b.far]] += top[b.far]
+            hot[1, b.hot[b.far]] += count[b.far]
             sums = {"tables": add(t), **({"customers": add(b.c)} if first else {})}
             cuts = [0, *np.searchsorted(b.contexts, edges).tolist(), len(b.contexts)]
+            rows: list[dict] = []
             for part, (i, j) in enumerate(zip(cuts, cuts[1:])):
                 if i < j:
                     rows.append({"kind": 0, "part": part, "bucket": b.bucket, "contexts": b.contexts[i:j].tobytes(), **{c: x[i:j].tobytes() for c, x in sums.items()}})
             yield pa.RecordBatch.from_pylist(rows, schema=_SUMS_SCHEMA)
-
-
-_TOTALS_SCHEMA = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("customers", pa.binary()), ("tables", pa.binary())])
-_TOTALS = "part int, bucket int, customers binary, tables binary"
+    rows = [{"kind": 2, "part": 0, "bucket": -1, **{m: int(x) for m, x in zip(_COUNTS, counts, strict=True)}}]
+    rows += [{"kind": 1, "part": i // _HOT_PART, "bucket": -1, "customers": hot[0, i : i + _HOT_PART].tobytes(), "tables": hot[1, i : i + _HOT_PART].tobytes()} for i in range(0, n_hot, _HOT_PART)]
+    yield pa.RecordBatch.from_pylist(rows, schema=_SUMS_SCHEMA)
 
 
 def _add(table: pa.Table) -> pa.Table:
-    """The sums of a part of the contexts over all buckets, for each bucket those of its own."""
-    read = lambda name, kind: [np.frombuffer(x or b"", kind) for x in table.column(name).to_pylist()]
+    """The sums of a part over all buckets; of contexts, for each bucket those of its own."""
+    kind, part = table.column("kind")[0].as_py(), table.column("part")[0].as_py()
+    if kind == 2:
+        return pa.Table.from_pylist([{"kind": 2, "part": part, "bucket": -1, **{m: sum(table.column(m).to_pylist()) for m in _COUNTS}}], schema=_SUMS_SCHEMA)
+    read = lambda name, as_type: [np.frombuffer(x or b"", as_type) for x in table.column(name).to_pylist()]
+    if kind == 1:
+        return pa.Table.from_pylist([{"kind": 1, "part": part, "bucket": -1, **{c: np.sum(read(c, np.int64), axis=0).tobytes() for c in ("customers", "tables")}}], schema=_SUMS_SCHEMA)
     contexts = read("contexts", U64)
     cuts = np.cumsum([len(x) for x in contexts])[:-1]
     place = np.unique(np.concatenate(contexts), return_inverse=True)[1]
-    out: dict[str, object] = {"part": table.column("part"), "bucket": table.column("bucket")}
+    rows: list[dict] = [{"kind": 0, "part": part, "bucket": b} for b in table.column("bucket").to_pylist()]
     for name in ("customers", "tables"):
         given = np.concatenate(read(name, np.int64))
-        sums = np.split(np.bincount(place, given).astype(np.int64)[place], cuts) if len(given) else [None] * table.num_rows
-        out[name] = pa.array([None if x is None else x.tobytes() for x in sums], pa.binary())
-    return pa.table(out, schema=_TOTALS_SCHEMA)
+        if len(given):
+            for row, x in zip(rows, np.split(np.bincount(place, given).astype(np.int64)[place], cuts), strict=True):
+                row[name] = x.tobytes()
+    return pa.Table.from_pylist(rows, schema=_SUMS_SCHEMA)
 
 
 def _with_totals(body: DataFrame, written: list[DataFrame]) -> DataFrame:
     """Buckets with the totals of their contexts in each sweep so far."""
     if not written:
         return body
-    rows = [x.select("bucket", F.struct(F.lit(k).alias("sweep"), "part", "customers", "tables").alias("one")) for k, x in enumerate(written)]
+    rows = [x.where("kind = 0").select("bucket", F.struct(F.lit(k).alias("sweep"), "part", "customers", "tables").alias("one")) for k, x in enumerate(written)]
     totals = reduce(DataFrame.unionByName, rows).groupBy("bucket").agg(F.collect_list("one").alias("totals"))
     return body.join(totals.hint("merge"), "bucket", "left")
 
 
-def advanced(model: Model, counts: list[int], hot: dict[int, tuple[int, int]], n_hot: int) -> None:
-    """The model after a sweep, from the sums of all its counts and of the hot words (customers, tokens); draws their tables."""
-    tokens, words, tables, top_tables, *seen = counts
-    customers, count = (np.array([hot.get(i, (0, 0))[c] for i in range(n_hot)], np.int64) for c in (0, 1))
+def advanced(model: Model, rows: list[dict], n_hot: int) -> None:
+    """The model after a sweep, from the summed rows of hot words and of counts; draws the tables of hot words."""
+    counts = next((r for r in rows if r["kind"] == 2), None)
+    tokens, words, tables, top_tables, *seen = [counts[m] if counts else 0 for m in _COUNTS]
+    some = sorted((r for r in rows if r["kind"] == 1), key=lambda r: r["part"])
+    customers, count = (np.frombuffer(b"".join(r[c] for r in some), np.int64) if some else np.zeros(n_hot, np.int64) for c in ("customers", "tables"))
     if model.sweeps:
         rng = np.random.Generator(np.random.PCG64([model.seed, len(model.sweeps), 2**31]))
         last = model.sweeps[-1]
@@ -341,14 +357,10 @@ def train(merged: DataFrame, n: int, n_hot: int, sweeps: int, strength: float, s
     body = merged.where("kind = 1").select("bucket", "hot", "pairs", "contexts", "u", "c")
     model, written = Model(0, 0, 0.5, 0.5, strength, seed, []), []
     for _ in range(sweeps + 1):
-        # Written before they are dealt, as two things are made of them.
-        sums = scratch.write(_with_totals(body, written).mapInArrow(lambda it: _totals(it, model, max(1, n // 2)), _SUMS))
-        added = sums.where("kind = 0").repartition(n, "part").groupBy("part").applyInArrow(_add, _TOTALS)
-        written.append(scratch.write(added))
-        counts = sums.where("kind = 2").agg(*[F.coalesce(F.sum(m), F.lit(0)) for m in _COUNTS]).first()
-        hot = sums.where("kind = 1").groupBy("part").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()  # a row for each hot word
-        advanced(model, [int(x) for x in counts], {r["part"]: (r["x"], r["y"]) for r in hot}, n_hot)
-        scratch.drop(sums)
+        sums = _with_totals(body, written).mapInArrow(lambda it: _totals(it, model, max(1, n // 2), n_hot), _SUMS)
+        written.append(scratch.write(sums.repartition(n, "kind", "part").groupBy("kind", "part").applyInArrow(_add, _SUMS).drop("contexts")))
+        # A row of counts, and one for each part of the hot words, whose number is bounded.
+        advanced(model, [r.asDict() for r in written[-1].where("kind > 0").collect()], n_hot)
     return model, written
 
 
@@ -393,7 +405,7 @@ def _finish(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": docs[:, 0], "held_out": docs[:, 2] == 0, "n_tokens": docs[:, 1], "n_known": np.rint(sums[:, 2]).astype(np.int64), "base_score": sums[:, 1], "score": sums[:, 0]})
 
 
-def score(docs: DataFrame, sweeps: int = 4, burn_in: int = 1, strength: float = 1.0, seed: int = 9, scratch: Scratch | None = None) -> DataFrame:
+def score(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, strength: float = 1.0, seed: int = 9, scratch: Scratch | None = None) -> DataFrame:
     """Score every document with a model learnt from those that are not held out.
 
     Takes doc_id and text; other columns are not looked at. Returns doc_id, held_out, n_tokens, n_known, train_tokens,
