@@ -28,8 +28,8 @@ from tideline.llm._dist import Scratch
 SHARD_ROWS, SHARDS = 100_000, 12
 #: Queries of a block that is sent to a shard, and of a step of its search.
 BLOCK_ROWS, QUERY_ROWS = 32_768, 2048
-#: Tasks that shards and blocks are dealt into at most.
-MOST_TASKS = 20_000
+#: Tasks for each shard, or shard and block, so that few of them meet in one; and tasks at most.
+SPREAD, MOST_TASKS = 4, 20_000
 #: Nodes that a shard measures its recall with, neighbours of each, and the share of them that its beam has to find.
 SAMPLE, NEAREST, RECALL = 128, 20, 0.96
 
@@ -291,7 +291,7 @@ def build_index(embeddings: DataFrame, k: int = 21, scratch: Scratch | None = No
     scratch = scratch or Scratch(embeddings.sparkSession)
     folded = scratch.write(classes(usable(embeddings), k))
     shards = max(SHARDS, -(-folded.count() // SHARD_ROWS))
-    dealt = folded.withColumn("shard", F.pmod(F.xxhash64("cid"), F.lit(shards)).cast("int")).repartition(shards, "dim", "shard")
+    dealt = folded.withColumn("shard", F.pmod(F.xxhash64("cid"), F.lit(shards)).cast("int")).repartition(min(SPREAD * shards, MOST_TASKS), "dim", "shard")
     index = dealt.groupBy("dim", "shard").applyInArrow(_build, INDEX)
     return scratch.write(index), folded
 
@@ -318,7 +318,7 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, beam: int = 96,
     both = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     both = both.unionByName(packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards)))), allowMissingColumns=True)
     keys = ["dim", "shard", "block"]
-    met = both.repartition(min((shards + 1) * n, MOST_TASKS), *keys).sortWithinPartitions(*keys, F.col("q").isNotNull())
+    met = both.repartition(min(SPREAD * (shards + 1) * n, MOST_TASKS), *keys).sortWithinPartitions(*keys, F.col("q").isNotNull())
     found = met.mapInArrow(lambda it: _search(it, k + 1, beam), "cid long, vec_id long, score double")
     best = found.groupBy("cid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k + 1).alias("best"))
     own = queries.select(F.col("vec_id").alias("query_id"), "cid").join(best, "cid")
