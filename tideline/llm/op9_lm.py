@@ -82,13 +82,29 @@ def _tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, before, doc
 
 
+def _small(x: np.ndarray) -> bytes:
+    """Numbers from 0 on, in the narrowest type that holds them all."""
+    most = int(x.max()) if len(x) else 0
+    return x.astype(next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.int64, 63)) if most < 1 << bits)).tobytes()
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    """The n numbers that `_small` has packed."""
+    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[len(raw) // n] if n else np.uint8).astype(np.int64)
+
+
 def _common(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Words with a share of 1 / (2 * most) of a block's tokens, and (word 0) all of its tokens."""
     for batch in batches:
         for block in blocks(batch):
-            words, n = np.unique(_tokens(block)[0], return_counts=True)
-            some = 2 * most * n >= n.sum()
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((words[some].view(np.int64), [0]))), pa.array(np.concatenate((n[some], [n.sum()])))], names=["word", "n"])
+            h = _tokens(block)[0]
+            total = len(h)
+            # Only words in cells that are full enough can be common; few are left to be counted one by one.
+            cell = (h >> U64(48)).astype(np.int64)
+            h = h[(2 * most * np.bincount(cell, minlength=1 << 16) >= total)[cell]]
+            words, n = np.unique(h, return_counts=True)
+            some = 2 * most * n >= total
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((words[some].view(np.int64), [0]))), pa.array(np.concatenate((n[some], [total])).astype(np.int64))], names=["word", "n"])
 
 
 def hot_words(docs: DataFrame, buckets: int) -> np.ndarray:
@@ -101,8 +117,8 @@ def hot_words(docs: DataFrame, buckets: int) -> np.ndarray:
     return np.sort(np.array([r["word"] for r in rows], np.int64).view(U64))
 
 
-_SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("w", "pairs", "u", "inc", "doc", "times", "docs"))])
-_SENT_DDL = "bucket int, block long, kind int, w binary, pairs binary, u binary, inc binary, doc binary, times binary, docs binary"
+_SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), *((c, pa.binary()) for c in ("w", "pairs", "u", "inc", "doc", "times", "docs"))])
+_SENT_DDL = "bucket int, block long, kind int, n long, w binary, pairs binary, u binary, inc binary, doc binary, times binary, docs binary"
 
 
 def _send(batches: Iterator[pa.RecordBatch], n: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -126,21 +142,16 @@ def _send(batches: Iterator[pa.RecordBatch], n: int, hot: np.ndarray) -> Iterato
                 pair = np.flatnonzero(new_w | np.concatenate(([True], uu[1:] != uu[:-1])))
                 per_word = np.bincount((np.cumsum(new_w) - 1)[pair])
                 inc = np.diff(np.concatenate((pair, [len(hh)])))
-                rows.append({"bucket": bucket, "block": uid, "kind": 1, "w": hh[new_w].tobytes(), "pairs": per_word.astype(np.int32).tobytes(), "u": uu[pair].tobytes(), "inc": inc.astype(np.int32).tobytes(), "doc": dd.astype(_narrow(len(train))).tobytes(), "times": tt.astype(np.int32).tobytes(), "docs": train.astype(np.int8).tobytes()})
+                rows.append({"bucket": bucket, "block": uid, "kind": 1, "w": hh[new_w].tobytes(), "pairs": _small(per_word), "u": uu[pair].tobytes(), "inc": _small(inc), "doc": _small(dd), "times": _small(tt), "docs": train.astype(np.int8).tobytes(), "n": len(dd)})
             yield pa.RecordBatch.from_pylist(rows, schema=_SENT)
 
 
-_MERGED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("hot", "pairs", "contexts", "u", "c", "inc", "doc", "times", "blocks", "docs"))])
-_MERGED_DDL = "bucket int, kind int, hot binary, pairs binary, contexts binary, u binary, c binary, inc binary, doc binary, times binary, blocks binary, docs binary"
-
-
-def _narrow(n: int) -> type:
-    """A type for places below n."""
-    return np.uint16 if n <= 1 << 16 else np.int32
+_MERGED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), *((c, pa.binary()) for c in ("hot", "pairs", "contexts", "u", "c", "inc", "doc", "times", "blocks", "docs"))])
+_MERGED_DDL = "bucket int, kind int, n long, hot binary, pairs binary, contexts binary, u binary, c binary, inc binary, doc binary, times binary, blocks binary, docs binary"
 
 
 def _merge(table: pa.Table, hot: np.ndarray) -> pa.Table:
-    """A bucket's blocks as one: words in the order of their hash (`hot`: the place among hot words, or -1), their contexts
+    """A bucket's blocks as one: words in the order of their hash (`hot`: the place among hot words from 1, or 0), their contexts
     (as places in the sorted `contexts`) with training counts, and where they occur. Rows of blocks pass."""
     kind = np.asarray(table.column("kind"))
     bucket = table.column("bucket")[0].as_py()
@@ -148,12 +159,13 @@ def _merge(table: pa.Table, hot: np.ndarray) -> pa.Table:
     body = table.filter(pa.array(kind == 1)).sort_by("block")
     if body.num_rows:
         read = lambda name, kind: [np.frombuffer(x, kind) for x in body.column(name).to_pylist()]
-        train = read("docs", np.int8)
+        narrow = lambda name, sizes: [_wide(x, n) for x, n in zip(body.column(name).to_pylist(), sizes, strict=True)]
+        train, w, u, n = read("docs", np.int8), read("w", U64), read("u", U64), body.column("n").to_pylist()
         base = np.concatenate(([0], np.cumsum([len(x) for x in train])))
-        doc = np.concatenate([np.frombuffer(x, _narrow(len(t))) + b for x, t, b in zip(body.column("doc").to_pylist(), train, base[:-1], strict=True)])
-        times, inc = np.concatenate(read("times", np.int32)), np.concatenate(read("inc", np.int32))
-        h = np.repeat(np.concatenate(read("w", U64)), np.concatenate(read("pairs", np.int32)))
-        u = np.concatenate(read("u", U64))
+        doc = np.concatenate([d + b for d, b in zip(narrow("doc", n), base[:-1], strict=True)])
+        times, inc = np.concatenate(narrow("times", n)), np.concatenate(narrow("inc", map(len, u)))
+        h = np.repeat(np.concatenate(w), np.concatenate(narrow("pairs", map(len, w))))
+        u = np.concatenate(u)
         order = np.lexsort((u, h))
         start = np.concatenate(([0], np.cumsum(inc)))[:-1][order]
         size = inc[order]
@@ -172,8 +184,8 @@ def _merge(table: pa.Table, hot: np.ndarray) -> pa.Table:
         is_hot = hot[place] == words if len(hot) else np.zeros(len(words), bool)
         uids = np.array(body.column("block").to_pylist(), np.int64)
         out.append({
-            "bucket": bucket, "kind": 1, "hot": np.where(is_hot, place, -1).astype(np.int32).tobytes(), "pairs": pairs.astype(np.int32).tobytes(), "contexts": contexts.tobytes(), "u": u.astype(np.int32).tobytes(), "c": c.tobytes(),
-            "inc": np.add.reduceat(size, first).astype(np.int32).tobytes(), "doc": doc.astype(np.int32).tobytes(), "times": times.tobytes(), "blocks": np.stack((uids, np.diff(base)), 1).astype(np.int64).tobytes(),
+            "bucket": bucket, "kind": 1, "hot": _small(np.where(is_hot, place + 1, 0)), "pairs": _small(pairs), "n": len(words), "contexts": contexts.tobytes(), "u": u.astype(np.int32).tobytes(), "c": _small(c),
+            "inc": _small(np.add.reduceat(size, first)), "doc": doc.astype(np.int32).tobytes(), "times": _small(times), "blocks": np.stack((uids, np.diff(base)), 1).astype(np.int64).tobytes(),
         })
     return pa.Table.from_pylist(out, schema=_MERGED)
 
@@ -228,8 +240,8 @@ class Bucket:
             known.setdefault(x["sweep"], []).append(x)
         self.tables = [np.frombuffer(b"".join(x["tables"] for x in known[k]), np.int64) for k in sorted(known)]
         self.customers = np.frombuffer(b"".join(x["customers"] for x in known.get(0, [])), np.int64)
-        self.pairs, self.u, self.hot = (np.frombuffer(row[k], np.int32) for k in ("pairs", "u", "hot"))
-        self.c = np.frombuffer(row["c"], np.int64)
+        self.u = np.frombuffer(row["u"], np.int32)
+        self.pairs, self.hot, self.c = _wide(row["pairs"], row["n"]), _wide(row["hot"], row["n"]) - 1, _wide(row["c"], len(self.u))
         self.word = np.repeat(np.arange(len(self.pairs)), self.pairs)
         # Hot words and those that are the bucket's own.
         self.far, self.near = np.flatnonzero(self.hot >= 0), self.hot < 0
@@ -354,7 +366,7 @@ def advanced(model: Model, rows: list[dict], n_hot: int) -> None:
 
 def train(merged: DataFrame, n: int, n_hot: int, sweeps: int, strength: float, seed: int, scratch: Scratch) -> tuple[Model, list[DataFrame]]:
     """The model's counts over all, and the written totals of each sweep."""
-    body = merged.where("kind = 1").select("bucket", "hot", "pairs", "contexts", "u", "c")
+    body = merged.where("kind = 1").select("bucket", "n", "hot", "pairs", "contexts", "u", "c")
     model, written = Model(0, 0, 0.5, 0.5, strength, seed, []), []
     for _ in range(sweeps + 1):
         sums = _with_totals(body, written).mapInArrow(lambda it: _totals(it, model, max(1, n // 2), n_hot), _SUMS)
@@ -369,7 +381,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, burn_in: int) -> Ite
     for batch in batches:
         for row in batch.to_pylist():
             if row["kind"] == 0:
-                yield pa.RecordBatch.from_pydict({"block": np.frombuffer(row["blocks"], np.int64), "place": pa.array([None], pa.binary()), "sums": pa.array([None], pa.binary()), "docs": pa.array([row["docs"]], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"block": np.frombuffer(row["blocks"], np.int64), "n": pa.array([0], pa.int64()), "place": pa.array([None], pa.binary()), "sums": pa.array([None], pa.binary()), "docs": pa.array([row["docs"]], pa.binary())})
                 continue
             b = Bucket(row)
             mean, n, last = np.zeros(len(b.c)), 0, len(model.sweeps) - 1
@@ -380,28 +392,34 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, burn_in: int) -> Ite
                     break
             count = b.count(model)
             base = np.log10((count + 1) / (model.train_tokens + model.vocabulary + 1))
-            inc = np.frombuffer(row["inc"], np.int32)
-            doc, times = np.frombuffer(row["doc"], np.int32), np.frombuffer(row["times"], np.int32)
+            inc, doc = _wide(row["inc"], len(b.u)), np.frombuffer(row["doc"], np.int32)
+            times = _wide(row["times"], len(doc))
             each = np.stack((np.log10(mean / n), base[b.word], (count > 0)[b.word].astype(float)), 1)
             info = np.frombuffer(row["blocks"], np.int64).reshape(-1, 2)
             edges = np.concatenate(([0], np.cumsum(info[:, 1])))
             sums = np.stack([np.bincount(doc, np.repeat(each[:, j], inc) * times, edges[-1]) for j in range(3)], 1)
             there = np.bincount(doc, minlength=edges[-1]) > 0
-            places, packed = [], []
+            places, packed, many = [], [], []
             for i in range(len(info)):
                 at = np.flatnonzero(there[edges[i] : edges[i + 1]])
-                places.append(at.astype(np.int32).tobytes())
-                packed.append(sums[edges[i] + at].tobytes())
-            yield pa.RecordBatch.from_pydict({"block": np.ascontiguousarray(info[:, 0]), "place": pa.array(places, pa.binary()), "sums": pa.array(packed, pa.binary()), "docs": pa.nulls(len(info), pa.binary())})
+                mine = sums[edges[i] + at]
+                many.append(len(at))
+                places.append(_small(at))
+                packed.append(mine[:, 0].astype(np.float32).tobytes() + np.ascontiguousarray(mine[:, 1]).tobytes() + _small(np.rint(mine[:, 2]).astype(np.int64)))
+            yield pa.RecordBatch.from_pydict({"block": np.ascontiguousarray(info[:, 0]), "n": pa.array(many, pa.int64()), "place": pa.array(places, pa.binary()), "sums": pa.array(packed, pa.binary()), "docs": pa.nulls(len(info), pa.binary())})
 
 
 def _finish(table: pa.Table) -> pa.Table:
     docs = next(x for x in table.column("docs").to_pylist() if x is not None)
     docs = np.frombuffer(docs, np.int64).reshape(-1, 3)
     sums = np.zeros((len(docs), 3))
-    for place, part in zip(table.column("place").to_pylist(), table.column("sums").to_pylist(), strict=True):
-        if place is not None:
-            sums[np.frombuffer(place, np.int32)] += np.frombuffer(part, float).reshape(-1, 3)
+    for place, part, n in zip(*(table.column(c).to_pylist() for c in ("place", "sums", "n")), strict=True):
+        if place is None:
+            continue
+        at = _wide(place, n)
+        sums[at, 0] += np.frombuffer(part[: 4 * n], np.float32)
+        sums[at, 1] += np.frombuffer(part[4 * n : 12 * n], float)
+        sums[at, 2] += _wide(part[12 * n :], n)
     return pa.table({"doc_id": docs[:, 0], "held_out": docs[:, 2] == 0, "n_tokens": docs[:, 1], "n_known": np.rint(sums[:, 2]).astype(np.int64), "base_score": sums[:, 1], "score": sums[:, 0]})
 
 
@@ -416,12 +434,12 @@ def score(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, strength: float =
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    n = deal(docs, 5_000_000)
+    n = deal(docs, 2_500_000)
     hot = hot_words(docs, n)
     merged = scratch.write(docs.mapInArrow(lambda it: _send(it, n, hot), _SENT_DDL).repartition(n, "bucket").groupBy("bucket").applyInArrow(lambda t: _merge(t, hot), _MERGED_DDL))
     model, written = train(merged, n, len(hot), sweeps, strength, seed, scratch)
-    columns = ["bucket", "kind", "hot", "pairs", "contexts", "u", "c", "inc", "doc", "times", "blocks", "docs"]
-    scored = lambda rows: rows.mapInArrow(lambda it: _score(it, model, burn_in), "block long, place binary, sums binary, docs binary")
+    columns = ["bucket", "kind", "n", "hot", "pairs", "contexts", "u", "c", "inc", "doc", "times", "blocks", "docs"]
+    scored = lambda rows: rows.mapInArrow(lambda it: _score(it, model, burn_in), "block long, n long, place binary, sums binary, docs binary")
     parts = scored(merged.where("kind = 0").select(*columns)).unionByName(scored(_with_totals(merged.where("kind = 1").select(*columns), written)))
     out = parts.repartition(n, "block").groupBy("block").applyInArrow(_finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score", F.expr("power(10, -score / n_tokens)").alias("perplexity"))
