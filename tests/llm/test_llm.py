@@ -635,7 +635,7 @@ def test_language_model_sums_to_one(spark):
                     for u, x in zip(b.u, b.probability(model, t, p, 3)):
                         sums[int(b.contexts[u])] += x
         # After the unknown word, all words but the end were asked for.
-        assert sum(abs(x - 1) < 1e-9 for u, x in sums.items() if u != int(op9_lm._END)) >= 9
+        assert sum(abs(x - 1) < 1e-9 for u, x in sums.items() if u != int(op9_lm._END) >> 16) >= 9
 
 
 @pytest.mark.parametrize("hot", [(), ("a", "b")])
@@ -646,7 +646,7 @@ def test_language_model_against_the_exact_posterior(spark, hot):
     texts = ["a b", "a b", "a c"]
     train, _ = train_ids(3)
     model, buckets = sampled(merged_pairs(spark, list(zip(train, texts)), 2, hashes(*hot) if hot else ()), 80, 1, len(hot))
-    names = dict(zip(hashes("a", "b", "c"), "abc")) | {int(op9_lm._END): "$"}
+    names = {x >> 64 - op9_lm.CONTEXT_BITS: w for x, w in zip([*hashes("a", "b", "c"), int(op9_lm._END)], "abc$")}
     got = collections.Counter()
     of_count = {("$", 3): "a", ("a", 2): "b", ("a", 1): "c"}  # a context and a count name the word here
     for b in buckets:
@@ -690,6 +690,6 @@ def test_language_model_spreads_a_hot_word(spark):
     train, _ = train_ids(300)
     texts = [(i, " ".join(f"the x{i * 7 + j}" for j in range(40))) for i in train]
     hot = op9_lm.hot_words(spark.createDataFrame(texts, "doc_id long, text string"), 16)
-    assert hashes("the")[0] in hot.tolist() and len(hot) <= 2 * op9_lm.HOT_BUCKETS * 16
-    sizes = [len(r["u"]) for r in merged_pairs(spark, texts, 16, hot)]
-    assert len(sizes) == 16 and max(sizes) < 1.4 * min(sizes)
+    assert hashes("the")[0] in hot.tolist() and len(hot) <= 16
+    sizes = [r["n_pairs"] for r in merged_pairs(spark, texts, 16, hot)]
+    assert len(sizes) == 16 and max(sizes) < 2.5 * min(sizes)  # the end of texts is not common enough to be hot

@@ -38,10 +38,12 @@ from tideline.llm._text import U64, Block, blocks, by_key, mix
 #: Customers of a dish up to which its tables are drawn exactly.
 EXACT = 32
 _END = U64(0x9D8F3B1C5E7A6421)
+#: Bits of a context's hash: of 10 million contexts no two are expected to be one, of a billion some two thousand pairs.
+CONTEXT_BITS = 48
 
 
-#: A word is hot with a share of all tokens of 1 / (HOT_BUCKETS * buckets), or 1 / MOST_HOT where that is more.
-HOT_BUCKETS, MOST_HOT = 4, 1 << 16
+#: A word is hot that would fill half a bucket, or that has a share of all tokens of 1 / (2 * MOST_HOT) where that is more.
+MOST_HOT = 1 << 16
 
 
 @dataclass
@@ -72,25 +74,28 @@ def held_out(doc_id: int, fold: int = 2, folds: int = 7) -> bool:
 
 
 def _tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hash, context (the hash of the word before) and document of each token; every document ends in one end token, which is also its first context."""
+    """Word hash, context (CONTEXT_BITS of the hash of the word before) and document of each token; every document ends in one end token, which is also its first context."""
     words = block.words(lower=True)
     n = len(block.ids)
     doc = np.concatenate((words.doc(), np.arange(n)))
     order = np.argsort(doc, kind="stable")
     doc, h = doc[order], np.concatenate((words.hash, np.full(n, _END)))[order]
-    before = np.concatenate(([_END], h[:-1]))
+    before = np.concatenate(([_END], h[:-1])) >> U64(64 - CONTEXT_BITS)
     return h, before, doc
 
 
 def _small(x: np.ndarray) -> bytes:
-    """Numbers from 0 on, in the narrowest type that holds them all."""
-    most = int(x.max()) if len(x) else 0
-    return x.astype(next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.int64, 63)) if most < 1 << bits)).tobytes()
+    """Numbers from 0 on, in as few bytes each as hold them all."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def _wide(raw: bytes, n: int) -> np.ndarray:
     """The n numbers that `_small` has packed."""
-    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[len(raw) // n] if n else np.uint8).astype(np.int64)
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(n, -1)
+    return out.reshape(-1).view(np.int64)
 
 
 def _common(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -110,15 +115,15 @@ def _common(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
 def hot_words(docs: DataFrame, buckets: int) -> np.ndarray:
     """Hashes, sorted, of the words that are hot; twice as many as the share allows at most. A word with the whole share
     has half of it in blocks where it is common, so that counts from there find all."""
-    most = min(MOST_HOT, HOT_BUCKETS * buckets)
+    most = min(MOST_HOT, max(1, buckets // 2))
     counts = docs.mapInArrow(lambda it: _common(it, most), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     total = counts.where("word = 0").first()
     rows = counts.where((F.col("word") != 0) & (2 * most * F.col("n") >= total["n"])).collect() if total else []
     return np.sort(np.array([r["word"] for r in rows], np.int64).view(U64))
 
 
-_SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), *((c, pa.binary()) for c in ("w", "pairs", "u", "inc", "doc", "times", "docs"))])
-_SENT_DDL = "bucket int, block long, kind int, n long, w binary, pairs binary, u binary, inc binary, doc binary, times binary, docs binary"
+_SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("n_pairs", pa.int64()), *((c, pa.binary()) for c in ("w", "pairs", "u", "inc", "doc", "times", "docs"))])
+_SENT_DDL = "bucket int, block long, kind int, n long, n_pairs long, w binary, pairs binary, u binary, inc binary, doc binary, times binary, docs binary"
 
 
 def _send(batches: Iterator[pa.RecordBatch], n: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -142,12 +147,12 @@ def _send(batches: Iterator[pa.RecordBatch], n: int, hot: np.ndarray) -> Iterato
                 pair = np.flatnonzero(new_w | np.concatenate(([True], uu[1:] != uu[:-1])))
                 per_word = np.bincount((np.cumsum(new_w) - 1)[pair])
                 inc = np.diff(np.concatenate((pair, [len(hh)])))
-                rows.append({"bucket": bucket, "block": uid, "kind": 1, "w": hh[new_w].tobytes(), "pairs": _small(per_word), "u": uu[pair].tobytes(), "inc": _small(inc), "doc": _small(dd), "times": _small(tt), "docs": train.astype(np.int8).tobytes(), "n": len(dd)})
+                rows.append({"bucket": bucket, "block": uid, "kind": 1, "w": hh[new_w].tobytes(), "pairs": _small(per_word), "u": _small(uu[pair]), "n_pairs": len(pair), "inc": _small(inc), "doc": _small(dd), "times": _small(tt), "docs": train.astype(np.int8).tobytes(), "n": len(dd)})
             yield pa.RecordBatch.from_pylist(rows, schema=_SENT)
 
 
-_MERGED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), *((c, pa.binary()) for c in ("hot", "pairs", "contexts", "u", "c", "inc", "doc", "times", "blocks", "docs"))])
-_MERGED_DDL = "bucket int, kind int, n long, hot binary, pairs binary, contexts binary, u binary, c binary, inc binary, doc binary, times binary, blocks binary, docs binary"
+_MERGED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.int64()) for c in ("n", "n_pairs", "n_contexts", "n_docs")), *((c, pa.binary()) for c in ("hot", "pairs", "contexts", "u", "c", "inc", "doc", "times", "blocks", "docs"))])
+_MERGED_DDL = "bucket int, kind int, n long, n_pairs long, n_contexts long, n_docs long, hot binary, pairs binary, contexts binary, u binary, c binary, inc binary, doc binary, times binary, blocks binary, docs binary"
 
 
 def _merge(table: pa.Table, hot: np.ndarray) -> pa.Table:
@@ -160,12 +165,12 @@ def _merge(table: pa.Table, hot: np.ndarray) -> pa.Table:
     if body.num_rows:
         read = lambda name, kind: [np.frombuffer(x, kind) for x in body.column(name).to_pylist()]
         narrow = lambda name, sizes: [_wide(x, n) for x, n in zip(body.column(name).to_pylist(), sizes, strict=True)]
-        train, w, u, n = read("docs", np.int8), read("w", U64), read("u", U64), body.column("n").to_pylist()
+        train, w, n, n_pairs = read("docs", np.int8), read("w", U64), body.column("n").to_pylist(), body.column("n_pairs").to_pylist()
         base = np.concatenate(([0], np.cumsum([len(x) for x in train])))
         doc = np.concatenate([d + b for d, b in zip(narrow("doc", n), base[:-1], strict=True)])
-        times, inc = np.concatenate(narrow("times", n)), np.concatenate(narrow("inc", map(len, u)))
+        times, inc = np.concatenate(narrow("times", n)), np.concatenate(narrow("inc", n_pairs))
         h = np.repeat(np.concatenate(w), np.concatenate(narrow("pairs", map(len, w))))
-        u = np.concatenate(u)
+        u = np.concatenate(narrow("u", n_pairs))
         order = np.lexsort((u, h))
         start = np.concatenate(([0], np.cumsum(inc)))[:-1][order]
         size = inc[order]
@@ -184,8 +189,8 @@ def _merge(table: pa.Table, hot: np.ndarray) -> pa.Table:
         is_hot = hot[place] == words if len(hot) else np.zeros(len(words), bool)
         uids = np.array(body.column("block").to_pylist(), np.int64)
         out.append({
-            "bucket": bucket, "kind": 1, "hot": _small(np.where(is_hot, place + 1, 0)), "pairs": _small(pairs), "n": len(words), "contexts": contexts.tobytes(), "u": u.astype(np.int32).tobytes(), "c": _small(c),
-            "inc": _small(np.add.reduceat(size, first)), "doc": doc.astype(np.int32).tobytes(), "times": _small(times), "blocks": np.stack((uids, np.diff(base)), 1).astype(np.int64).tobytes(),
+            "bucket": bucket, "kind": 1, "hot": _small(np.where(is_hot, place + 1, 0)), "pairs": _small(pairs), "n": len(words), "n_pairs": len(u), "n_contexts": len(contexts), "n_docs": len(doc), "contexts": _small(contexts), "u": _small(u), "c": _small(c),
+            "inc": _small(np.add.reduceat(size, first)), "doc": _small(doc), "times": _small(times), "blocks": np.stack((uids, np.diff(base)), 1).astype(np.int64).tobytes(),
         })
     return pa.Table.from_pylist(out, schema=_MERGED)
 
@@ -233,15 +238,15 @@ class Bucket:
 
     def __init__(self, row: dict):
         self.bucket = row["bucket"]
-        self.contexts = np.frombuffer(row["contexts"], U64)
+        self.contexts = _wide(row["contexts"], row["n_contexts"])
         # Of each sweep so far the tables, and the customers, of the bucket's contexts; parts are in the order of contexts.
         known: dict[int, list[dict]] = {}
         for x in sorted(row.get("totals") or [], key=lambda x: (x["sweep"], x["part"])):
             known.setdefault(x["sweep"], []).append(x)
-        self.tables = [np.frombuffer(b"".join(x["tables"] for x in known[k]), np.int64) for k in sorted(known)]
-        self.customers = np.frombuffer(b"".join(x["customers"] for x in known.get(0, [])), np.int64)
-        self.u = np.frombuffer(row["u"], np.int32)
-        self.pairs, self.hot, self.c = _wide(row["pairs"], row["n"]), _wide(row["hot"], row["n"]) - 1, _wide(row["c"], len(self.u))
+        joined = lambda sweep, name: np.concatenate([_wide(x[name], x["n"]) for x in known.get(sweep, [])] or [np.zeros(0, np.int64)])
+        self.tables, self.customers = [joined(k, "tables") for k in sorted(known)], joined(0, "customers")
+        self.u, self.c = _wide(row["u"], row["n_pairs"]), _wide(row["c"], row["n_pairs"])
+        self.pairs, self.hot = _wide(row["pairs"], row["n"]), _wide(row["hot"], row["n"]) - 1
         self.word = np.repeat(np.arange(len(self.pairs)), self.pairs)
         # Hot words and those that are the bucket's own.
         self.far, self.near = np.flatnonzero(self.hot >= 0), self.hot < 0
@@ -283,15 +288,15 @@ class Bucket:
 #: customers, tokens (as tables). kind 2, counts over all: tokens, words, tables, unigram tables, pairs with one customer
 #: and with two, words likewise.
 _COUNTS = [f"m{i}" for i in range(8)]
-_SUMS_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("contexts", "customers", "tables")), *((m, pa.int64()) for m in _COUNTS)])
-_SUMS = "kind int, part int, bucket int, contexts binary, customers binary, tables binary, " + ", ".join(f"{m} long" for m in _COUNTS)
+_SUMS_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), *((c, pa.binary()) for c in ("contexts", "customers", "tables")), *((m, pa.int64()) for m in _COUNTS)])
+_SUMS = "kind int, part int, bucket int, n long, contexts binary, customers binary, tables binary, " + ", ".join(f"{m} long" for m in _COUNTS)
 #: Hot words of a part.
 _HOT_PART = 4096
 
 
 def _totals(batches: Iterator[pa.RecordBatch], model: Model, parts: int, n_hot: int) -> Iterator[pa.RecordBatch]:
     """A bucket's share of the totals of contexts, by part (their high bits); of a task's buckets those of hot words, and counts."""
-    edges = np.arange(1, parts, dtype=U64) << U64(64 - (parts.bit_length() - 1))
+    edges = np.arange(1, parts, dtype=np.int64) << (CONTEXT_BITS - (parts.bit_length() - 1))
     first = not model.sweeps
     hot, counts = np.zeros((2, n_hot), np.int64), np.zeros(len(_COUNTS), np.int64)
     for batch in batches:
@@ -309,7 +314,7 @@ def _totals(batches: Iterator[pa.RecordBatch], model: Model, parts: int, n_hot:
             rows: list[dict] = []
             for part, (i, j) in enumerate(zip(cuts, cuts[1:])):
                 if i < j:
-                    rows.append({"kind": 0, "part": part, "bucket": b.bucket, "contexts": b.contexts[i:j].tobytes(), **{c: x[i:j].tobytes() for c, x in sums.items()}})
+                    rows.append({"kind": 0, "part": part, "bucket": b.bucket, "n": j - i, "contexts": _small(b.contexts[i:j]), **{c: _small(x[i:j]) for c, x in sums.items()}})
             yield pa.RecordBatch.from_pylist(rows, schema=_SUMS_SCHEMA)
     rows = [{"kind": 2, "part": 0, "bucket": -1, **{m: int(x) for m, x in zip(_COUNTS, counts, strict=True)}}]
     rows += [{"kind": 1, "part": i // _HOT_PART, "bucket": -1, "customers": hot[0, i : i + _HOT_PART].tobytes(), "tables": hot[1, i : i + _HOT_PART].tobytes()} for i in range(0, n_hot, _HOT_PART)]
@@ -324,15 +329,15 @@ def _add(table: pa.Table) -> pa.Table:
     read = lambda name, as_type: [np.frombuffer(x or b"", as_type) for x in table.column(name).to_pylist()]
     if kind == 1:
         return pa.Table.from_pylist([{"kind": 1, "part": part, "bucket": -1, **{c: np.sum(read(c, np.int64), axis=0).tobytes() for c in ("customers", "tables")}}], schema=_SUMS_SCHEMA)
-    contexts = read("contexts", U64)
-    cuts = np.cumsum([len(x) for x in contexts])[:-1]
-    place = np.unique(np.concatenate(contexts), return_inverse=True)[1]
-    rows: list[dict] = [{"kind": 0, "part": part, "bucket": b} for b in table.column("bucket").to_pylist()]
+    n = table.column("n").to_pylist()
+    place = np.unique(np.concatenate([_wide(x, k) for x, k in zip(table.column("contexts").to_pylist(), n, strict=True)]), return_inverse=True)[1]
+    rows: list[dict] = [{"kind": 0, "part": part, "bucket": b, "n": k} for b, k in zip(table.column("bucket").to_pylist(), n, strict=True)]
     for name in ("customers", "tables"):
-        given = np.concatenate(read(name, np.int64))
-        if len(given):
-            for row, x in zip(rows, np.split(np.bincount(place, given).astype(np.int64)[place], cuts), strict=True):
-                row[name] = x.tobytes()
+        given = table.column(name).to_pylist()
+        if given[0] is not None:
+            given = np.concatenate([_wide(x, k) for x, k in zip(given, n, strict=True)])
+            for row, x in zip(rows, np.split(np.bincount(place, given).astype(np.int64)[place], np.cumsum(n)[:-1]), strict=True):
+                row[name] = _small(x)
     return pa.Table.from_pylist(rows, schema=_SUMS_SCHEMA)
 
 
@@ -340,7 +345,7 @@ def _with_totals(body: DataFrame, written: list[DataFrame]) -> DataFrame:
     """Buckets with the totals of their contexts in each sweep so far."""
     if not written:
         return body
-    rows = [x.where("kind = 0").select("bucket", F.struct(F.lit(k).alias("sweep"), "part", "customers", "tables").alias("one")) for k, x in enumerate(written)]
+    rows = [x.where("kind = 0").select("bucket", F.struct(F.lit(k).alias("sweep"), "part", "n", "customers", "tables").alias("one")) for k, x in enumerate(written)]
     totals = reduce(DataFrame.unionByName, rows).groupBy("bucket").agg(F.collect_list("one").alias("totals"))
     return body.join(totals.hint("merge"), "bucket", "left")
 
@@ -366,7 +371,7 @@ def advanced(model: Model, rows: list[dict], n_hot: int) -> None:
 
 def train(merged: DataFrame, n: int, n_hot: int, sweeps: int, strength: float, seed: int, scratch: Scratch) -> tuple[Model, list[DataFrame]]:
     """The model's counts over all, and the written totals of each sweep."""
-    body = merged.where("kind = 1").select("bucket", "n", "hot", "pairs", "contexts", "u", "c")
+    body = merged.where("kind = 1").select("bucket", "n", "n_pairs", "n_contexts", "hot", "pairs", "contexts", "u", "c")
     model, written = Model(0, 0, 0.5, 0.5, strength, seed, []), []
     for _ in range(sweeps + 1):
         sums = _with_totals(body, written).mapInArrow(lambda it: _totals(it, model, max(1, n // 2), n_hot), _SUMS)
@@ -392,8 +397,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, burn_in: int) -> Ite
                     break
             count = b.count(model)
             base = np.log10((count + 1) / (model.train_tokens + model.vocabulary + 1))
-            inc, doc = _wide(row["inc"], len(b.u)), np.frombuffer(row["doc"], np.int32)
-            times = _wide(row["times"], len(doc))
+            inc, doc, times = _wide(row["inc"], len(b.u)), _wide(row["doc"], row["n_docs"]), _wide(row["times"], row["n_docs"])
             each = np.stack((np.log10(mean / n), base[b.word], (count > 0)[b.word].astype(float)), 1)
             info = np.frombuffer(row["blocks"], np.int64).reshape(-1, 2)
             edges = np.concatenate(([0], np.cumsum(info[:, 1])))
@@ -438,7 +442,7 @@ def score(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, strength: float =
     hot = hot_words(docs, n)
     merged = scratch.write(docs.mapInArrow(lambda it: _send(it, n, hot), _SENT_DDL).repartition(n, "bucket").groupBy("bucket").applyInArrow(lambda t: _merge(t, hot), _MERGED_DDL))
     model, written = train(merged, n, len(hot), sweeps, strength, seed, scratch)
-    columns = ["bucket", "kind", "n", "hot", "pairs", "contexts", "u", "c", "inc", "doc", "times", "blocks", "docs"]
+    columns = ["bucket", "kind", "n", "n_pairs", "n_contexts", "n_docs", "hot", "pairs", "contexts", "u", "c", "inc", "doc", "times", "blocks", "docs"]
     scored = lambda rows: rows.mapInArrow(lambda it: _score(it, model, burn_in), "block long, n long, place binary, sums binary, docs binary")
     parts = scored(merged.where("kind = 0").select(*columns)).unionByName(scored(_with_totals(merged.where("kind = 1").select(*columns), written)))
     out = parts.repartition(n, "block").groupBy("block").applyInArrow(_finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
