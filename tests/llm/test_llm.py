@@ -689,7 +689,7 @@ def test_language_model_spreads_a_hot_word(spark):
     """A word that is half of all tokens, and follows and precedes everything, is found and dealt over all buckets."""
     train, _ = train_ids(300)
     texts = [(i, " ".join(f"the x{i * 7 + j}" for j in range(40))) for i in train]
-    hot = op9_lm.hot_words(spark.createDataFrame(texts, "doc_id long, text string"), 16)
+    hot = op9_lm.hot_words(spark.createDataFrame(texts, "doc_id long, text string"), 16, op9_lm.Scratch(spark))
     assert hashes("the")[0] in hot.tolist() and len(hot) <= 16
     sizes = [r["n_pairs"] for r in merged_pairs(spark, texts, 16, hot)]
     assert len(sizes) == 16 and max(sizes) < 2.5 * min(sizes)  # the end of texts is not common enough to be hot

@@ -112,11 +112,11 @@ def _common(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((words[some].view(np.int64), [0]))), pa.array(np.concatenate((n[some], [total])).astype(np.int64))], names=["word", "n"])
 
 
-def hot_words(docs: DataFrame, buckets: int) -> np.ndarray:
+def hot_words(docs: DataFrame, buckets: int, scratch: Scratch) -> np.ndarray:
     """Hashes, sorted, of the words that are hot; twice as many as the share allows at most. A word with the whole share
     has half of it in blocks where it is common, so that counts from there find all."""
     most = min(MOST_HOT, max(1, buckets // 2))
-    counts = docs.mapInArrow(lambda it: _common(it, most), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = scratch.write(docs.mapInArrow(lambda it: _common(it, most), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.where("word = 0").first()
     rows = counts.where((F.col("word") != 0) & (2 * most * F.col("n") >= total["n"])).collect() if total else []
     return np.sort(np.array([r["word"] for r in rows], np.int64).view(U64))
@@ -438,8 +438,8 @@ def score(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, strength: float =
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    n = deal(docs, 2_500_000)
-    hot = hot_words(docs, n)
+    n = deal(docs, 5_000_000)
+    hot = hot_words(docs, n, scratch)
     merged = scratch.write(docs.mapInArrow(lambda it: _send(it, n, hot), _SENT_DDL).repartition(n, "bucket").groupBy("bucket").applyInArrow(lambda t: _merge(t, hot), _MERGED_DDL))
     model, written = train(merged, n, len(hot), sweeps, strength, seed, scratch)
     columns = ["bucket", "kind", "n", "n_pairs", "n_contexts", "n_docs", "hot", "pairs", "contexts", "u", "c", "inc", "doc", "times", "blocks", "docs"]
