@@ -67,4 +67,29 @@ kept as (select doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' order b
 sums as (select doc_id, sum(b - a)::bigint as n_removed, count(*)::bigint as n_spans from spans group by 1)
 select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(k, h))) as kept_sha256
 from raw left join sums using (doc_id) left join kept using (doc_id)""",
+    "op4_shards": """
+with recursive
+d as (select doc_id, text, (coalesce(octet_length(encode(text)), 0) + 8)::bigint as size from documents where doc_id is not null),
+g as (select text, min(doc_id) as first, sum(size)::bigint as bytes from d group by text),
+e as (select text, first, bytes, (sum(bytes) over (order by first))::bigint as e from g),
+search(lo, hi, pos, used) as (
+  select max(bytes)::bigint, max(e)::bigint, 0::bigint, 0 from e having count(*) > 0
+  union all
+  select case when next < total and used = 23 then mid + 1 else lo end, case when next = total then mid else hi end,
+         case when next = total or used = 23 then 0 else next end, case when next = total or used = 23 then 0 else used + 1 end
+  from (select lo, hi, used, mid, max(e.e)::bigint as next, max(total)::bigint as total
+        from (select *, (lo + hi) // 2 as mid from search where lo < hi) s, (select max(e) as total from e) t, e where e.e <= s.pos + s.mid group by lo, hi, pos, used, mid)),
+walk(pos, n) as (
+  select 0::bigint, 0
+  union all
+  select max(e.e)::bigint, max(n) + 1 from walk, e, (select lo as cap from search where lo = hi limit 1) c where e.e <= pos + cap and n < 24 having count(*) > 0),
+cuts as (select pos from walk where n > 0),
+placed as (select doc_id, d.size, d.text, e - bytes as before, (select count(*) from cuts where pos <= e.e - e.bytes)::int as shard from d join e on d.text is not distinct from e.text),
+crc_table as (select list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end) order by n) as crc from (select unnest(range(256)) as n)),
+hexed as (select text, hex(encode(text)) as h from (select distinct text from d where text is not null)),
+crcs as (
+  select text, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(h) + 1, 2), lambda i: ('0x' || h[i:i + 1])::bigint)),
+    lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8))) as text_crc32 from hexed, crc_table)
+select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by before, doc_id) - 1 as slot, null::int as grown_shard
+from placed left join crcs on placed.text = crcs.text""",
 }
