@@ -94,7 +94,11 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", tag_functions.tags_json(tags).alias("tags_json"))
 
 
-@query("crc32_props")
+@query("crc32_props", """
+with crc_table as (select list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end) order by n) as crc from (select unnest(range(256)) as n)),
+hexed as (select event_id, hex(encode(props)) as h from events)
+select event_id, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(h) + 1, 2), lambda i: ('0x' || h[i:i + 1])::bigint)),
+  lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8))) as crc from hexed, crc_table""")
 def _(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.crc32(F.col("props").cast("binary")).alias("crc"))
 
