@@ -537,21 +537,19 @@ def test_quality_counts_and_posterior(odd, docs):
             t = texts[r["doc_id"]] or ""
             lines = [x for x in t.encode().split(b"\n") if x.split()]
             assert (r["n_symbols"], r["n_dup_lines"]) == (sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)))
-    # Three rules that are right with known probabilities: EM finds them, and the posterior is Bayes' rule.
-    rng = np.random.default_rng(3)
-    right, share, n = np.array([0.9, 0.8, 0.7]), 0.6, 200_000
-    good = rng.random(n) < share
-    votes = np.where((rng.random((n, 3)) < right) == good[:, None], 1, 2)
-    votes[rng.random((n, 3)) < 0.2] = 0
-    patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    prior, tables, posterior = op7_quality.fit(patterns, counts.astype(float), 2000)
-    assert abs(prior - share) < 0.02
-    assert np.abs(tables[0, :, 1] / tables[0, :, 1:].sum(1) - right).max() < 0.03 and np.abs(tables[1, :, 2] / tables[1, :, 1:].sum(1) - right).max() < 0.03
-    for pattern, p in zip(patterns, posterior):
-        a, b = share, 1 - share
-        for v, r in zip(pattern, right):
-            a, b = (a * r, b * (1 - r)) if v == 1 else (a * (1 - r), b * r) if v == 2 else (a, b)
-        assert abs(p - a / (a + b)) < 0.06
+    # Five rules that are right with known probabilities, and every pattern as often as it is expected, so that nothing is
+    # left to chance: EM finds them, and the posterior is Bayes' rule.
+    import itertools
+
+    right, share = np.array([0.9, 0.85, 0.8, 0.75, 0.7]), 0.6
+    patterns = np.array(list(itertools.product((0, 1, 2), repeat=5)))
+    chance = [np.prod(np.where(patterns == 0, 0.2, 0.8 * np.where(patterns == yes, right, 1 - right)), axis=1) for yes in (1, 2)]
+    good, bad = share * chance[0], (1 - share) * chance[1]
+    prior, tables, posterior = op7_quality.fit(patterns, 1e6 * (good + bad), 5000)
+    assert abs(prior - share) < 0.01
+    assert np.abs(tables[0, :, 1] / tables[0, :, 1:].sum(1) - right).max() < 0.01 and np.abs(tables[1, :, 2] / tables[1, :, 1:].sum(1) - right).max() < 0.01
+    voted = (patterns > 0).any(1)
+    assert np.abs(posterior - good / (good + bad))[voted].max() < 0.02
 
 
 def test_toxicity_chain_of_categories(spark):
