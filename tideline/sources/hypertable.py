@@ -39,8 +39,7 @@ _SEGMENTS = (
     "last_ts_us long, last_seq long, last double, row_count long, segment_start_us long, segment_end_us long"
 )
 _SERIES = "series_id long, metric_name string, tags_json string"
-_TAGS = "metric_name string, series_id long, tag_key string, tag_value string"
-_SCHEMAS = {"points": f"{_POINTS}, {_PLACE}", "segments": f"{_SEGMENTS}, {_PLACE}", "series": f"{_SERIES}, write_id long", "tags": f"{_TAGS}, write_id long"}
+_SCHEMAS = {"points": f"{_POINTS}, {_PLACE}", "segments": f"{_SEGMENTS}, {_PLACE}", "series": f"{_SERIES}, write_id long"}
 _ROLLUPS = "rollup_name string, table_name string, bucket_us long, aggregates string, refresh_lag_us long, enabled boolean, watermark_us long"
 _STATISTICS = "table_name string, row_count long, chunk_count long, series_count long, min_time_us long, max_time_us long"
 JOB_KINDS = ("compact", "downsample", "retention", "stats", "rollup_refresh")
@@ -191,7 +190,7 @@ class Timeseries:
         self.catalog.replace("writes", [r for r in self.catalog.rows("writes") if r not in dead])
 
     def _read(self, name: str, what: str, write_id: int | None = None) -> DataFrame:
-        """What is committed of a table's samples, segments, series or tags; or what one write has left."""
+        """What is committed of a table's samples, segments or series; or what one write has left."""
         path, schema = self.path(name, what), _SCHEMAS[what]
         files = (self.files.matching(f"{path}/chunk_start_us=*/write_id={write_id}") + self.files.matching(f"{path}/write_id={write_id}")) if write_id else [path] if self.files.exists(path) else []
         if not files:
@@ -219,7 +218,7 @@ class Timeseries:
         if "chunk_start_us" in df.columns:
             numbered.hint("rebalance", "chunk_start_us").sortWithinPartitions("chunk_start_us", *SERIES, *order).write.mode("append").partitionBy("chunk_start_us", "write_id").parquet(self.path(name, what))
         else:
-            numbered.hint("rebalance").write.mode("append").partitionBy("write_id").parquet(self.path(name, what))
+            numbered.write.mode("append").partitionBy("write_id").parquet(self.path(name, what))
 
     def _write(self, name: str, points: DataFrame, width: int, write_id: int) -> DataFrame:
         """Samples, checked on their way, and the segments of what has been written; the input is evaluated once."""
@@ -249,7 +248,6 @@ class Timeseries:
             if stats[0]:
                 new = catalog.new_series(found, self.series(name)).select(*(c.split()[0] for c in _SERIES.split(", ")))
                 self._append(new, name, "series", write_id)
-                self._append(catalog.tag_index(self._read(name, "series", write_id)), name, "tags", write_id)
                 self.invalidate(name, [(stats[3], stats[4])], reason)
             self._commit(name, write_id, batch=batch)
         return WriteStats(*stats[:3])
@@ -300,11 +298,12 @@ class Timeseries:
         return self._read(name, "series").drop("write_id")
 
     def tags(self, name: str) -> DataFrame:
-        return self._read(name, "tags").drop("write_id")
+        """metric_name, series_id, tag_key and tag_value of every series; made of the table of series, which is small."""
+        return catalog.tag_index(self.series(name))
 
     def scan(self, name: str, start_us: int | None = None, end_us: int | None = None, where: Column | None = None, tags: dict[str, str | list[str]] | None = None) -> DataFrame:
         """Samples of a half-open time range; prunes chunks, then row groups, then rows. Tags are looked up in the table
-        of tags, so that samples are filtered by their stored key and not by reading each row's tags."""
+        of series, so that samples are filtered by their stored key and not by reading each row's tags."""
         width = self.hypertable(name)["chunk_us"]
         out = self.points(name).where(chunk_range(width, start_us, end_us)).where(time_range(start_us, end_us))
         if tags:
