@@ -135,6 +135,14 @@ def test_mix(spark, odd, docs):
     assert op5_mix.mixed_texts(docs, op5_mix.mix_documents(docs)[0]).count() > 0
 
 
+def test_mix_broadcasts_no_blocks_or_texts(docs):
+    """Both are estimated by the files that they come from, which are a small part of what the driver would hold."""
+    taken = op5_mix.mix_documents(docs)[0]
+    for df in (taken, op5_mix.mixed_texts(docs, taken)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
 def test_packing(odd, docs):
     rng = np.random.default_rng(1)
     for _ in range(20):

@@ -145,12 +145,13 @@ def mix_documents(docs: DataFrame, block: int = 32, shards: int = 16, seed: int
     mixed = slots(spark, p)
     times = mixed.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
     parts = known.where("size > 0").select("doc_id", "sid", "first", "size", F.explode(F.sequence(F.expr(f"first div {block}"), F.expr(f"(first + size - 1) div {block}"))).alias("block"))
-    parts = parts.join(times, ["sid", "block"]).select(
+    # A document's blocks are estimated as large as its one row, and would be broadcast.
+    parts = parts.join(times.hint("merge"), ["sid", "block"]).select(
         "doc_id", "sid", "first", "times", (F.greatest(F.col("block") * block, F.col("first")) - F.col("first")).alias("start"),
         (F.least((F.col("block") + 1) * block, F.col("first") + F.col("size")) - F.col("first")).alias("stop"),
     )
     taken = parts.groupBy("sid", "first", "doc_id").agg(F.sum((F.col("stop") - F.col("start")) * F.col("times")).alias("taken"), F.array_sort(F.collect_list(F.struct("start", "stop", "times"))).alias("pieces"))
-    out = known.join(taken, ["sid", "first", "doc_id"], "left")
+    out = known.join(taken.hint("merge"), ["sid", "first", "doc_id"], "left")
     taken = F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long")
     return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.when(F.col("size") > 0, F.col("pieces")).alias("pieces")), p, mixed
 
@@ -177,7 +178,7 @@ def mixed_texts(docs: DataFrame, taken: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(rest, names=columns)
 
     some = taken.where("taken > 0").select(F.col("doc_id").alias(key), F.col("pieces").alias(ranges)).dropDuplicates([key])
-    joined = docs.join(some, docs["doc_id"] == some[key]).drop(key)
+    joined = docs.join(some.hint("merge"), docs["doc_id"] == some[key]).drop(key)  # texts are larger than their files, and are not broadcast
     return joined.mapInArrow(cut, docs.schema)
 
 
