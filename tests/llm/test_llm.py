@@ -699,3 +699,38 @@ def test_language_model_spreads_a_hot_word(spark):
     assert hashes("the")[0] in hot.tolist() and len(hot) <= 16
     sizes = [r["n_pairs"] for r in merged_pairs(spark, texts, 16, hot)]
     assert len(sizes) == 16 and max(sizes) < 2.5 * min(sizes)  # the end of texts is not common enough to be hot
+
+
+def test_language_model_memory():
+    """A bucket's working memory does not grow with the dishes of one size that it draws at once, nor with documents that
+    it does not hold, nor do buckets with the input."""
+    import tracemalloc
+
+    def peak(f):
+        tracemalloc.start()
+        try:
+            return f(), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    rng = np.random.default_rng(3)
+    c, base = np.full(100_000, 20), np.full(100_000, 0.01)
+    tables, took = peak(lambda: op9_lm.seat(c, rng.integers(0, 50, 100_000), base, 0.5, 1.0, rng))
+    assert took < 30_000_000 and 1 <= tables.min() and tables.max() <= 20
+
+    model = op9_lm.Model(4, 1, 0.5, 0.5, 1.0, 9, [op9_lm.Totals(2, 1, np.zeros(0, np.int64), np.zeros(0, np.int64))])
+    numbers = lambda *x: op9_lm._small(np.array(x, np.int64))
+    row = {"bucket": 0, "kind": 1, "n": 1, "n_pairs": 2, "n_contexts": 2, "n_docs": 3, "hot": numbers(0), "pairs": numbers(2), "contexts": numbers(5, 6), "u": numbers(0, 1), "c": numbers(3, 1), "inc": numbers(2, 1)}
+    row |= {"doc": numbers(0, 900_001, 900_001), "times": numbers(1, 2, 1), "blocks": np.array([[7, 900_000], [8, 1_000_000], [9, 50]], np.int64).tobytes()}
+    row |= {"totals": [{"sweep": 0, "part": 0, "n": 2, "tables": numbers(1, 1), "customers": numbers(3, 1)}]}
+    scored = lambda: list(op9_lm._score(iter([Rows([row])]), model, 1))
+    scored()  # what it imports does not count
+    got, took = peak(scored)
+    assert took < 10_000_000
+    got = got[0].to_pylist()
+    assert [(x["block"], x["n"], op9_lm._wide(x["place"], x["n"]).tolist()) for x in got] == [(7, 1, [0]), (8, 1, [1]), (9, 0, [])]
+    known = [op9_lm._wide(x["sums"][12 * x["n"] :], x["n"]).tolist() for x in got]
+    assert known == [[1], [3], []] and np.isclose(np.frombuffer(got[1]["sums"][4:12], float)[0], 3 * math.log10(5 / 6))
+
+    for size in (0, 10**6, 81 * 10**6, 220 * 10**6, 1_300 * 10**6):
+        assert op9_lm.bucket_count(size) >= 32 and size / op9_lm.bucket_count(size) <= 2_500_000

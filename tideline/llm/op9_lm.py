@@ -20,9 +20,11 @@ after the burn-in.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import zlib
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -32,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm._dist import Scratch, deal
+from tideline.llm._dist import Scratch, bytes_of
 from tideline.llm._text import U64, Block, blocks, by_key, mix
 
 #: Customers of a dish up to which its tables are drawn exactly.
@@ -42,6 +44,12 @@ _END = U64(0x9D8F3B1C5E7A6421)
 CONTEXT_BITS = 48
 
 
+#: Bytes of the input, by Catalyst's estimate, that a bucket holds, whatever the input's size; buckets at least.
+BUCKET_BYTES, LEAST_BUCKETS = 2_500_000, 32
+#: Elements of an array that `seat` works on at once.
+SEAT_CELLS = 250_000
+
+
 #: A word is hot that would fill half a bucket, or that has a share of all tokens of 1 / (2 * MOST_HOT) where that is more.
 MOST_HOT = 1 << 16
 
@@ -69,6 +77,25 @@ class Model:
     hot_count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
 
+def bucket_count(size: int) -> int:
+    """Buckets of an input of so many bytes: no power of two, so that none is twice as large as another input's."""
+    return max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
+
+
+def _give_back() -> None:
+    """Hand freed memory to the system: a worker keeps all that it ever held otherwise, beside the JVM and other tasks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError, TypeError):  # other C libraries
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _singly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a row each: rows are large."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1)
+
+
 def held_out(doc_id: int, fold: int = 2, folds: int = 7) -> bool:
     return zlib.crc32(str(doc_id).encode()) % folds == fold
 
@@ -161,38 +188,53 @@ def _merge(table: pa.Table, hot: np.ndarray) -> pa.Table:
     kind = np.asarray(table.column("kind"))
     bucket = table.column("bucket")[0].as_py()
     out = [{"bucket": bucket, "kind": 0, "blocks": np.array([row["block"]], np.int64).tobytes(), "docs": row["docs"]} for row in table.filter(pa.array(kind == 0)).to_pylist()]
-    body = table.filter(pa.array(kind == 1)).sort_by("block")
-    if body.num_rows:
-        read = lambda name, kind: [np.frombuffer(x, kind) for x in body.column(name).to_pylist()]
-        narrow = lambda name, sizes: [_wide(x, n) for x, n in zip(body.column(name).to_pylist(), sizes, strict=True)]
-        train, w, n, n_pairs = read("docs", np.int8), read("w", U64), body.column("n").to_pylist(), body.column("n_pairs").to_pylist()
-        base = np.concatenate(([0], np.cumsum([len(x) for x in train])))
-        doc = np.concatenate([d + b for d, b in zip(narrow("doc", n), base[:-1], strict=True)])
-        times, inc = np.concatenate(narrow("times", n)), np.concatenate(narrow("inc", n_pairs))
-        h = np.repeat(np.concatenate(w), np.concatenate(narrow("pairs", map(len, w))))
-        u = np.concatenate(narrow("u", n_pairs))
-        order = np.lexsort((u, h))
-        start = np.concatenate(([0], np.cumsum(inc)))[:-1][order]
-        size = inc[order]
-        cuts = np.concatenate(([0], np.cumsum(size)))
-        at = np.repeat(start - cuts[:-1], size) + np.arange(cuts[-1])
-        doc, times = doc[at], times[at]
-        h, u = h[order], u[order]
-        new_w = np.concatenate(([True], h[1:] != h[:-1]))
-        first = np.flatnonzero(new_w | np.concatenate(([True], u[1:] != u[:-1])))
-        learn = np.concatenate(train)[doc] * times.astype(np.int64)
-        c = np.add.reduceat(learn, cuts[:-1][first])
-        pairs = np.bincount((np.cumsum(new_w) - 1)[first])
-        contexts, u = np.unique(u[first], return_inverse=True)
-        words = h[new_w]
-        place = np.minimum(np.searchsorted(hot, words), max(0, len(hot) - 1))
-        is_hot = hot[place] == words if len(hot) else np.zeros(len(words), bool)
-        uids = np.array(body.column("block").to_pylist(), np.int64)
-        out.append({
-            "bucket": bucket, "kind": 1, "hot": _small(np.where(is_hot, place + 1, 0)), "pairs": _small(pairs), "n": len(words), "n_pairs": len(u), "n_contexts": len(contexts), "n_docs": len(doc), "contexts": _small(contexts), "u": _small(u), "c": _small(c),
-            "inc": _small(np.add.reduceat(size, first)), "doc": _small(doc), "times": _small(times), "blocks": np.stack((uids, np.diff(base)), 1).astype(np.int64).tobytes(),
-        })
-    return pa.Table.from_pylist(out, schema=_MERGED)
+    at = np.flatnonzero(kind == 1)
+    if len(at):
+        out.append({"bucket": bucket, "kind": 1, **_body(table, at, hot)})
+    merged = pa.Table.from_pylist(out, schema=_MERGED)
+    del out
+    _give_back()
+    return merged
+
+
+def _body(table: pa.Table, rows: np.ndarray, hot: np.ndarray) -> dict:
+    """The given rows of a bucket as one; values are read in place, and arrays are dropped once they are used."""
+    uids = np.asarray(table.column("block"))[rows]
+    rows, uids = rows[np.argsort(uids)], np.sort(uids)
+    raw = lambda name: [table.column(name)[i].as_buffer() for i in rows.tolist()]
+    n, n_pairs = (np.asarray(table.column(name).fill_null(0))[rows].tolist() for name in ("n", "n_pairs"))
+    train, w = [np.frombuffer(x, np.int8) for x in raw("docs")], [np.frombuffer(x, U64) for x in raw("w")]
+    base = np.concatenate(([0], np.cumsum([len(x) for x in train])))
+    place = np.int32 if max(sum(n), base[-1]) < 2**31 else np.int64
+    narrow = lambda name, sizes, kind: np.concatenate([_wide(x, k).astype(kind) for x, k in zip(raw(name), sizes, strict=True)])
+    doc = np.concatenate([(_wide(x, k) + b).astype(place) for x, k, b in zip(raw("doc"), n, base[:-1], strict=True)])
+    times, inc = narrow("times", n, place), narrow("inc", n_pairs, place)
+    h = np.repeat(np.concatenate(w), narrow("pairs", map(len, w), place))
+    u = narrow("u", n_pairs, np.int64)
+    order = np.lexsort((u, h))
+    h, u, size = h[order], u[order], inc[order]
+    start = np.concatenate(([0], np.cumsum(inc, dtype=np.int64)))[:-1][order]
+    del order, inc
+    cuts = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+    at = np.repeat((start - cuts[:-1]).astype(place), size)
+    at += np.arange(cuts[-1], dtype=place)
+    doc, times = doc[at], times[at]
+    del at, start
+    new_w = np.concatenate(([True], h[1:] != h[:-1]))
+    first = np.flatnonzero(new_w | np.concatenate(([True], u[1:] != u[:-1])))
+    words, u = h[new_w], u[first]
+    del h
+    c = np.add.reduceat(np.concatenate(train)[doc] * times, cuts[:-1][first], dtype=np.int64)
+    pairs = np.bincount((np.cumsum(new_w) - 1)[first])
+    inc = np.add.reduceat(size, first, dtype=np.int64)
+    del new_w, first, size, cuts
+    contexts, u = np.unique(u, return_inverse=True)
+    where = np.minimum(np.searchsorted(hot, words), max(0, len(hot) - 1))
+    is_hot = hot[where] == words if len(hot) else np.zeros(len(words), bool)
+    return {
+        "hot": _small(np.where(is_hot, where + 1, 0)), "pairs": _small(pairs), "n": len(words), "n_pairs": len(u), "n_contexts": len(contexts), "n_docs": len(doc), "contexts": _small(contexts), "u": _small(u), "c": _small(c),
+        "inc": _small(inc), "doc": _small(doc), "times": _small(times), "blocks": np.stack((uids, np.diff(base)), 1).astype(np.int64).tobytes(),
+    }
 
 
 def stirling(discount: float, n: int = EXACT) -> np.ndarray:
@@ -215,7 +257,7 @@ def seat(c: np.ndarray, tables: np.ndarray, base: np.ndarray, discount: float, s
     log_base = np.log(base)
     for n in range(2, EXACT + 1):
         at = np.flatnonzero(c == n)
-        for at in np.array_split(at, max(1, len(at) * n // 2_000_000)):
+        for at in np.array_split(at, max(1, -(-len(at) * n // SEAT_CELLS))):
             if len(at):
                 steps = np.log(strength + discount * (tables[at, None] + np.arange(n)))
                 log_w = np.cumsum(steps + log_base[at, None], 1) + log_s[n, 1 : n + 1]
@@ -316,6 +358,8 @@ def _totals(batches: Iterator[pa.RecordBatch], model: Model, parts: int, n_hot:
                 if i < j:
                     rows.append({"kind": 0, "part": part, "bucket": b.bucket, "n": j - i, "contexts": _small(b.contexts[i:j]), **{c: _small(x[i:j]) for c, x in sums.items()}})
             yield pa.RecordBatch.from_pylist(rows, schema=_SUMS_SCHEMA)
+            del b, t, top_t, top, count, near, sums, rows
+            _give_back()
     rows = [{"kind": 2, "part": 0, "bucket": -1, **{m: int(x) for m, x in zip(_COUNTS, counts, strict=True)}}]
     rows += [{"kind": 1, "part": i // _HOT_PART, "bucket": -1, "customers": hot[0, i : i + _HOT_PART].tobytes(), "tables": hot[1, i : i + _HOT_PART].tobytes()} for i in range(0, n_hot, _HOT_PART)]
     yield pa.RecordBatch.from_pylist(rows, schema=_SUMS_SCHEMA)
@@ -374,7 +418,7 @@ def train(merged: DataFrame, n: int, n_hot: int, sweeps: int, strength: float, s
     body = merged.where("kind = 1").select("bucket", "n", "n_pairs", "n_contexts", "hot", "pairs", "contexts", "u", "c")
     model, written = Model(0, 0, 0.5, 0.5, strength, seed, []), []
     for _ in range(sweeps + 1):
-        sums = _with_totals(body, written).mapInArrow(lambda it: _totals(it, model, max(1, n // 2), n_hot), _SUMS)
+        sums = _with_totals(body, written).mapInArrow(lambda it: _totals(_singly(it), model, 1 << max(0, n.bit_length() - 2), n_hot), _SUMS)
         written.append(scratch.write(sums.repartition(n, "kind", "part").groupBy("kind", "part").applyInArrow(_add, _SUMS).drop("contexts")))
         # A row of counts, and one for each part of the hot words, whose number is bounded.
         advanced(model, [r.asDict() for r in written[-1].where("kind > 0").collect()], n_hot)
@@ -387,30 +431,36 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, burn_in: int) -> Ite
         for row in batch.to_pylist():
             if row["kind"] == 0:
                 yield pa.RecordBatch.from_pydict({"block": np.frombuffer(row["blocks"], np.int64), "n": pa.array([0], pa.int64()), "place": pa.array([None], pa.binary()), "sums": pa.array([None], pa.binary()), "docs": pa.array([row["docs"]], pa.binary())})
-                continue
-            b = Bucket(row)
-            mean, n, last = np.zeros(len(b.c)), 0, len(model.sweeps) - 1
-            for k, (t, _, p) in enumerate(b.replay(model)):
-                if k > burn_in or k == last:
-                    mean, n = mean + b.probability(model, t, p, k), n + 1
-                if k == last:
-                    break
-            count = b.count(model)
-            base = np.log10((count + 1) / (model.train_tokens + model.vocabulary + 1))
-            inc, doc, times = _wide(row["inc"], len(b.u)), _wide(row["doc"], row["n_docs"]), _wide(row["times"], row["n_docs"])
-            each = np.stack((np.log10(mean / n), base[b.word], (count > 0)[b.word].astype(float)), 1)
-            info = np.frombuffer(row["blocks"], np.int64).reshape(-1, 2)
-            edges = np.concatenate(([0], np.cumsum(info[:, 1])))
-            sums = np.stack([np.bincount(doc, np.repeat(each[:, j], inc) * times, edges[-1]) for j in range(3)], 1)
-            there = np.bincount(doc, minlength=edges[-1]) > 0
-            places, packed, many = [], [], []
-            for i in range(len(info)):
-                at = np.flatnonzero(there[edges[i] : edges[i + 1]])
-                mine = sums[edges[i] + at]
-                many.append(len(at))
-                places.append(_small(at))
-                packed.append(mine[:, 0].astype(np.float32).tobytes() + np.ascontiguousarray(mine[:, 1]).tobytes() + _small(np.rint(mine[:, 2]).astype(np.int64)))
-            yield pa.RecordBatch.from_pydict({"block": np.ascontiguousarray(info[:, 0]), "n": pa.array(many, pa.int64()), "place": pa.array(places, pa.binary()), "sums": pa.array(packed, pa.binary()), "docs": pa.nulls(len(info), pa.binary())})
+            else:
+                yield _scored(row, model, burn_in)
+            _give_back()
+
+
+def _scored(row: dict, model: Model, burn_in: int) -> pa.RecordBatch:
+    """Of a bucket's blocks; only documents that the bucket holds take memory."""
+    b = Bucket(row)
+    mean, n, last = np.zeros(len(b.c)), 0, len(model.sweeps) - 1
+    for k, (t, _, p) in enumerate(b.replay(model)):
+        if k > burn_in or k == last:
+            mean, n = mean + b.probability(model, t, p, k), n + 1
+        if k == last:
+            break
+    count = b.count(model)
+    base = np.log10((count + 1) / (model.train_tokens + model.vocabulary + 1))
+    each = (np.log10(mean / n), base[b.word], (count > 0)[b.word].astype(float))
+    inc, n_docs = _wide(row["inc"], len(b.u)), row["n_docs"]
+    info = np.frombuffer(row["blocks"], np.int64).reshape(-1, 2)
+    del b, t, p, mean, count, base
+    times = _wide(row["times"], n_docs)
+    doc, at = np.unique(_wide(row["doc"], n_docs), return_inverse=True)
+    sums = [np.bincount(at, np.repeat(x, inc) * times, len(doc)) for x in each]
+    edges = np.concatenate(([0], np.cumsum(info[:, 1])))
+    cuts = np.searchsorted(doc, edges)
+    places, packed = [], []
+    for edge, i, j in zip(edges.tolist(), cuts.tolist(), cuts[1:].tolist()):
+        places.append(_small(doc[i:j] - edge))
+        packed.append(sums[0][i:j].astype(np.float32).tobytes() + sums[1][i:j].tobytes() + _small(np.rint(sums[2][i:j]).astype(np.int64)))
+    return pa.RecordBatch.from_pydict({"block": np.ascontiguousarray(info[:, 0]), "n": pa.array(np.diff(cuts), pa.int64()), "place": pa.array(places, pa.binary()), "sums": pa.array(packed, pa.binary()), "docs": pa.nulls(len(info), pa.binary())})
 
 
 def _finish(table: pa.Table) -> pa.Table:
@@ -438,12 +488,12 @@ def score(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, strength: float =
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    n = deal(docs, 5_000_000)
+    n = bucket_count(bytes_of(docs))
     hot = hot_words(docs, n, scratch)
     merged = scratch.write(docs.mapInArrow(lambda it: _send(it, n, hot), _SENT_DDL).repartition(n, "bucket").groupBy("bucket").applyInArrow(lambda t: _merge(t, hot), _MERGED_DDL))
     model, written = train(merged, n, len(hot), sweeps, strength, seed, scratch)
     columns = ["bucket", "kind", "n", "n_pairs", "n_contexts", "n_docs", "hot", "pairs", "contexts", "u", "c", "inc", "doc", "times", "blocks", "docs"]
-    scored = lambda rows: rows.mapInArrow(lambda it: _score(it, model, burn_in), "block long, n long, place binary, sums binary, docs binary")
+    scored = lambda rows: rows.mapInArrow(lambda it: _score(_singly(it), model, burn_in), "block long, n long, place binary, sums binary, docs binary")
     parts = scored(merged.where("kind = 0").select(*columns)).unionByName(scored(_with_totals(merged.where("kind = 1").select(*columns), written)))
     out = parts.repartition(n, "block").groupBy("block").applyInArrow(_finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score", F.expr("power(10, -score / n_tokens)").alias("perplexity"))
